@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WHITE, WORD, documents, strip, whole
 
-#: Fixed values. Ends of a sentence, marks of a menu, and phrases of page furniture (in lower case).
-TERMINAL = r"[.!?…。！？؟।:;][\"'”’»)\]]*$"
-MENU = r"(?:[^|›»•>]{1,40}[|›»•>]){3,}|^\W*(?:home|menu|next|previous|back to top|skip to (?:main )?content|log ?in|sign ?in|sign ?up|read more|share this|search)\W*$"
-FURNITURE = r"cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|javascript is disabled|lorem ipsum|subscribe to our|click here to|we use cookies"
+#: Fixed values. Ends of a sentence and what may close after them, marks and words of a menu, phrases of page furniture (lower case).
+TERMINAL, CLOSERS, MARKS = ".!?…。！？؟।:;", "\"'”’»)]", "|›»•>"
+MENU = r"^\W*(?:home|menu|next|previous|back to top|skip to (?:main )?content|log ?in|sign ?in|sign ?up|read more|share this|search)\W*$"
+FURNITURE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "javascript is disabled", "lorem ipsum", "subscribe to our", "click here to", "we use cookies")
 SYMBOL = "#*$%&|<>"
 #: Share of a line's words that may end in a symbol, words a line needs to be held to the sentence rule, and the share of word characters a document must keep.
 MOST_SYMBOLS, SENTENCE_WORDS, LEAST_KEPT = 0.1, 3, 0.5
@@ -33,12 +35,20 @@ def repeated(triples: str) -> str:
     return f"CASE WHEN size(array_distinct({triples})) = size({triples}) THEN 0L ELSE {cover} END"
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule: symbols for words, menu, furniture, or a sentence left open."""
+def furnished(low: Column) -> Column:
+    return reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in FURNITURE))
+
+
+def line_fails(line: Column, of: Column) -> Column:
+    """Whether a line with a word breaks a rule: symbols for words, menu, furniture, or a sentence left open.
+
+    Rules that few documents touch look at the document's own counts first (of: n_symbols, n_marks, furniture).
+    """
     low, count = F.lower(line), F.regexp_count(line, F.lit(WORD))
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOL, ""))
-    open_end = (count >= SENTENCE_WORDS) & ~strip(line).rlike(TERMINAL)
-    return (symbols > MOST_SYMBOLS * count + 1) | low.rlike(MENU) | low.rlike(FURNITURE) | open_end
+    symbols, marks = (F.length(line) - F.length(F.translate(line, x, "")) for x in (SYMBOL, MARKS))
+    menu = ((of.n_marks >= 3) & (marks >= 3) & (marks * 40 >= F.length(line))) | ((F.length(line) < 60) & low.rlike(MENU))
+    open_end = ~F.right(F.rtrim(line, F.lit(WHITE + CLOSERS)), F.lit(1)).isin(*TERMINAL) & (count >= SENTENCE_WORDS)
+    return ((of.n_symbols > 0) & (symbols > MOST_SYMBOLS * count + 1)) | menu | open_end | (of.furniture & furnished(low))
 
 
 def measure(docs: DataFrame, *also: str) -> DataFrame:
@@ -49,13 +59,18 @@ def measure(docs: DataFrame, *also: str) -> DataFrame:
     A line is kept if it has a word and breaks no rule.
     """
     a = docs.select("doc_id", *also, whole().alias("text_"))
-    b = a.select("*", words(F.col("text_")).alias("w"), F.filter(F.split("text_", "\n"), lambda x: strip(x) != "").alias("lines"))
-    c = b.select("*", F.expr("CASE WHEN size(w) < 3 THEN array() ELSE transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END").alias("triples"))
+    b = a.select(
+        "*", words(F.col("text_")).alias("w"), F.filter(F.split("text_", "\n"), lambda x: strip(x) != "").alias("lines"), furnished(F.lower("text_")).alias("furniture"),
+        *((F.length("text_") - F.length(F.translate("text_", x, ""))).cast("long").alias(n) for x, n in ((SYMBOL, "n_symbols"), (MARKS, "n_marks"))),
+    )
+    c = b.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    c = c.select("*", F.expr("CASE WHEN size(h) < 3 THEN array() ELSE transform(sequence(0, size(h) - 3), i -> xxhash64(h[i], h[i + 1], h[i + 2])) END").alias("triples"))
+    # Bound to a lambda's variable, the document's counts are found once; as columns, the optimizer would move them into the test of each line.
+    clean = F.element_at(F.transform(F.array(F.struct("n_symbols", "n_marks", "furniture")), lambda of: F.filter("lines", lambda x: ~line_fails(x, of))), 1)
     d = c.select(
-        "doc_id", *also, F.size("w").cast("long").alias("n_words"), F.length(F.translate("text_", WHITE, "")).cast("long").alias("word_chars"),
-        (F.length("text_") - F.length(F.translate("text_", SYMBOL, ""))).cast("long").alias("n_symbols"),
+        "doc_id", *also, F.size("w").cast("long").alias("n_words"), F.length(F.translate("text_", WHITE, "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(repeated("triples")).alias("n_repeat_words"), F.filter("lines", lambda x: ~line_fails(x)).alias("clean"),
+        F.expr(repeated("triples")).alias("n_repeat_words"), clean.alias("clean"),
     )
     return d.select("*", F.length(F.translate(F.array_join("clean", ""), WHITE, "")).cast("long").alias("clean_chars"))
 
