@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import content_sort, golay, line_dedup, mixing, packing, quality
+from . import content_sort, golay, line_dedup, mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_line_dedup": line_dedup.query,
     "op3_quality_rules": quality.query,
     "op4_simhash_golay": golay.query,
+    "op5_kd_sharding": sharding.query,
     "op7_mixing": mixing.query,
     "op9_exact_dedup": content_sort.query,
 }
