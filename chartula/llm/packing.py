@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import documents, whole
 
 #: Tokens of a sequence, open bins, pieces that a task orders before it packs them, remembered chunks of text.
-LENGTH, OPEN, BLOCK, REMEMBERED = 1024, 4096, 1 << 16, 800_000
+LENGTH, OPEN, BLOCK, REMEMBERED = 1024, 4096, 1 << 16, 400_000
+#: Characters of text that are encoded together.
+TOGETHER = 1 << 20
 END = 2
 TWO_WHITE = re.compile(r"\s\s")
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -88,6 +90,19 @@ class Bins:
         return at, self.length - free
 
 
+def groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of a few rows at a time: TOGETHER characters, or one longer text."""
+    ids, texts, held = [], [], 0
+    for i in range(batch.num_rows):
+        ids.append(batch.column(0)[i].as_py())
+        texts.append(batch.column(1)[i].as_py())
+        held += len(texts[-1])
+        if held >= TOGETHER:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    yield ids, texts
+
+
 def cut(n: int, length: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; only the first may be shorter than ``length`` where there are several."""
     start = 0
@@ -121,11 +136,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
 
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, got in zip(ids, encode(texts)):
-                got += stop
-                for k, (start, size) in enumerate(cut(len(got) // 4, length)):
-                    rows.append((doc, k, start, size, zlib.crc32(got[4 * start : 4 * (start + size)])))
+            for ids, texts in groups(batch):
+                for doc, got in zip(ids, encode(texts)):
+                    got += stop
+                    for k, (start, size) in enumerate(cut(len(got) // 4, length)):
+                        rows.append((doc, k, start, size, zlib.crc32(got[4 * start : 4 * (start + size)])))
             while len(rows) >= BLOCK:
                 yield placed()
         yield placed()
