@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import documents, whole
 
 #: Tokens of a sequence, open bins, pieces that a task orders before it packs them, remembered chunks of text.
-LENGTH, OPEN, BLOCK, REMEMBERED = 1024, 4096, 1 << 16, 400_000
+LENGTH, OPEN, BLOCK, REMEMBERED = 1024, 4096, 1 << 16, 300_000
 #: Characters of text that are encoded together.
 TOGETHER = 1 << 20
 END = 2
@@ -28,8 +30,9 @@ class Encoder:
     """Texts to little-endian unsigned 32-bit ids.
 
     Where no two white-space characters meet, no pre-token crosses a space, so a text is the sum of its chunks, each with
-    the space before it; chunks are remembered (at most REMEMBERED), and only new ones are encoded. Other texts are
-    encoded as they are.
+    the space before it. Chunks are remembered (at most REMEMBERED), and only new ones are encoded: by a rank encoder built
+    from the same file if its merges are in the order of their ids (then both encode alike, and it is faster on short
+    strings), else by the file's own tokenizer. Other texts go to that tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -37,21 +40,61 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.ranks = self._rank_encoder(path)
+
+    @staticmethod
+    def _rank_encoder(path: str):
+        import json
+
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        model, split = whole["model"], whole.get("pre_tokenizer") or {}
+        # Bytes have printable stand-ins in such files: the printable ones themselves, the others from U+0100 on in order.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        back = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model.get("merges", [])]
+        ids = [model["vocab"].get(m, -1) for m in merges]
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and whole.get("normalizer") is None
+        if not usual or ids != sorted(ids) or any(i < 256 for i in ids):
+            return None
+        special = {x["content"] for x in whole.get("added_tokens", [])}
+        ranks = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(merges) else None
+
+    def _own(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _short(self, text: str) -> bytes:
+        if self.ranks is None:
+            return self._own([text])[0]
+        ids = self.ranks.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        chunks = [None if TWO_WHITE.search(x) else (" " + x).split(" ")[1:] for x in texts]
-        for c in chunks:
-            if c:
-                c[1:] = [" " + x for x in c[1:]]
-        if new := list({x for c in chunks if c for x in c if x not in self.known}):
-            self.known.update(zip(new, self._encode(new)))
-        plain = iter(self._encode([x for x, c in zip(texts, chunks) if c is None]))
-        return [next(plain) if c is None else b"".join(map(self.known.__getitem__, c)) for c in chunks]
+        out = []
+        for text in texts:
+            if TWO_WHITE.search(text):
+                out += self._own([text])
+                continue
+            known, (first, *rest) = self.known, text.split(" ")
+            got = [*map(known.get, rest)]
+            if None in got:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for i, x in enumerate(got):
+                    if x is None:
+                        got[i] = known[rest[i]] = known.get(rest[i]) or self._short(" " + rest[i])
+            out.append(self._short(first) + b"".join(got))
+        return out
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One a worker process, so tasks that follow each other there share what it remembers."""
+    return Encoder(path)
 
 
 class Bins:
@@ -123,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins, stop = Encoder(tokenizer), Bins(TaskContext.get().partitionId() << 40, length, open_bins), np.asarray([end], "<u4").tobytes()
+        encode, bins, stop = encoder(tokenizer), Bins(TaskContext.get().partitionId() << 40, length, open_bins), np.asarray([end], "<u4").tobytes()
         rows: list[tuple] = []
 
         def placed() -> pa.RecordBatch:
