@@ -2,5 +2,592 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions import vectors as V
+from ..operators import analysis as A
+from ..operators import chunks as C
+from ..operators import context as G
+from ..operators import funnel as U
+from ..operators import generation as L
+from ..operators import html as H
+from ..operators import metrics as M
+from ..operators import reports
+from ..operators import retrieval as R
+from ..schemas import CONTEXT_FAILURE, QUERY_FAILURE
+from . import tables as T
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over all chunks, ranks of the ground truth and metrics at several depths."""
+    q = T.known_items(spark, sf_dir)
+    return M.mean_at(R.bm25_top(q, T.chunks(spark, sf_dir)), q.select("query_id", F.col("gt_chunk_id").alias("chunk_id")))
+
+
+def bm25(spark, sf, k=R.DEPTH):
+    return R.bm25_top(T.known_items(spark, sf), T.chunks(spark, sf), k)
+
+
+def gold(spark, sf):
+    return T.known_items(spark, sf).select("query_id", F.col("gt_chunk_id").alias("chunk_id"))
+
+
+# Text and identifiers.
+
+
+@query("t1_parse_id", f"WITH {T.CH} SELECT chunk_id, split_part(chunk_id, '_', 1) AS doc_id, split_part(chunk_id, '_', 2) AS internal_id FROM ch")
+def _(s, d):
+    return C.parse_id(T.chunks(s, d).select("chunk_id"))
+
+
+@query("t2_prefix", f"WITH {T.CH} SELECT chunk_id, 'passage: ' || chunk AS chunk FROM ch")
+def _(s, d):
+    return C.add_prefix(T.chunks(s, d).select("chunk_id", "chunk"), "chunk", "passage: ")
+
+
+@query("t4_nest_by_doc", f"WITH {T.CH} SELECT doc_id, string_agg(chunk, '¶' ORDER BY chunk_idx) AS chunks, string_agg(chunk_id, ' ' ORDER BY chunk_idx) AS chunk_ids FROM ch GROUP BY 1")
+def _(s, d):
+    return C.nest(T.chunks(s, d)).select("doc_id", F.array_join("chunks", "¶").alias("chunks"), F.array_join("chunk_ids", " ").alias("chunk_ids"))
+
+
+@query("t5_nested_turns", "SELECT conv_id, string_agg(role || ': ' || text, '¶' ORDER BY turn, role, text) AS turns, count(*) AS n FROM conversations GROUP BY 1")
+def _(s, d):
+    c = T.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("t")))).alias("r"), F.count("*").alias("n"))
+    return c.select("conv_id", F.array_join(F.transform("r", lambda x: F.concat(x["role"], F.lit(": "), x["t"])), "¶").alias("turns"), "n")
+
+
+@query("t6_unnest", f"WITH {T.CH} SELECT doc_id, chunk_idx AS pos, chunk_id, chunk FROM ch")
+def _(s, d):
+    return C.unnest(C.nest(T.chunks(s, d)))
+
+
+@query("t7_merge_document", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS document FROM documents")
+def _(s, d):
+    return C.merge_documents(T.chunks(s, d))
+
+
+@query("t8_prepend_context", f"WITH {T.CH} SELECT chunk_id, 'Line ' || chunk_idx || ' of document ' || doc_id || '.' || chr(10) || chr(10) || ' ' || chunk AS chunk FROM ch")
+def _(s, d):
+    c = T.chunks(s, d).withColumn("context", F.concat(F.lit("Line "), F.col("chunk_idx").cast("string"), F.lit(" of document "), F.col("doc_id"), F.lit(".\n\n")))
+    return C.prepend_context(c).select("chunk_id", "chunk")
+
+
+@query("t9_render_template", f"WITH {T.CH} SELECT chunk_id, 'Chunk: ' || chunk || chr(10) || 'Id: ' || chunk_id || ' ' AS prompt FROM ch")
+def _(s, d):
+    return T.chunks(s, d).select("chunk_id", X.render("Chunk: {{chunk}}\nId: {{ id }} {{missing}}", {"chunk": F.col("chunk"), "id": F.col("chunk_id")}).alias("prompt"))
+
+
+@query("t11_consolidation_list", f"WITH {T.CH} SELECT doc_id, string_agg((chunk_idx + 1) || '. ' || chunk, chr(10) ORDER BY chunk_idx) AS listed FROM ch GROUP BY 1")
+def _(s, d):
+    return C.nest(T.chunks(s, d)).select("doc_id", L.numbered(F.col("chunks")).alias("listed"))
+
+
+@query("t12_word_counts", rf"WITH {T.CH} SELECT chunk_id, CAST(len(regexp_extract_all(chunk, '[^\s\x{{A0}}]+')) AS BIGINT) AS words, CAST(length(chunk) AS BIGINT) AS chars, CAST(len({T.TOK.format('chunk')}) AS BIGINT) AS tokens FROM ch")
+def _(s, d):
+    c = F.col("chunk")
+    return T.chunks(s, d).select("chunk_id", X.word_count(c).alias("words"), F.length(c).cast("long").alias("chars"), X.token_count(c).alias("tokens"))
+
+
+@query("t15_length_guard", rf"WITH {T.CH} SELECT doc_id, sum(len(regexp_extract_all(chunk, '[^\s\x{{A0}}]+'))) <= 20000 AS fits FROM ch GROUP BY 1")
+def _(s, d):
+    return T.chunks(s, d).groupBy("doc_id").agg((F.sum(X.word_count(F.col("chunk"))) <= 20000).alias("fits"))
+
+
+@query("k1a_h1", "SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages")
+def _(s, d):
+    return T.table(s, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"))
+
+
+@query("k1_html_chunks")
+def _(s, d):
+    return H.html_chunks(T.table(s, d, "pages").select(F.col("page_id").cast("string").alias("stem"), "html"), selector="article p")
+
+
+@query("k2_normalise_ws", r"SELECT page_id, trim(regexp_replace(html, '[\s\x{A0}]+', ' ', 'g')) AS html FROM pages")
+def _(s, d):
+    return T.table(s, d, "pages").select("page_id", X.normalise_white(F.col("html")).alias("html"))
+
+
+@query("k3_chunk_idx", f"WITH {T.CH} SELECT chunk_id, TRY_CAST(list_extract(string_split(chunk_id, '_'), -1) AS INT) AS chunk_idx FROM ch")
+def _(s, d):
+    return C.with_chunk_idx(T.chunks(s, d).select("chunk_id"))
+
+
+@query("s8_union_all", "SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark")
+def _(s, d):
+    return T.table(s, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(T.table(s, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), "text"))
+
+
+@query("s10_sorted_output", f"WITH {T.CH} SELECT chunk_id, chunk FROM ch ORDER BY chunk_id")
+def _(s, d):
+    return T.chunks(s, d).select("chunk_id", "chunk").orderBy("chunk_id")
+
+
+@query("s13_embedding_cache", "SELECT label, count(*) AS n, round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 4) AS total FROM embeddings GROUP BY 1")
+def _(s, d):
+    v = T.vectors(s, d)
+    return v.select("item_id", "label").join(v.select("item_id", "vector"), "item_id").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 4).alias("total"))
+
+
+# Context graph.
+
+
+@query("g1_context_candidates", f"WITH {T.CH}, {T.EX} SELECT DISTINCT chunk_id FROM ex")
+def _(s, d):
+    return G.candidates(T.chunks(s, d)).select("chunk_id")
+
+
+EXPLICIT = "SELECT ex.chunk_id, string_agg(c.chunk || ' (chunk_id: ' || ref || ')', ' ' || chr(10) || ' ' ORDER BY pos) AS context_chunks FROM ex JOIN ch c ON c.chunk_id = ref GROUP BY 1"
+IMPLICIT = "SELECT chunk_id, string_agg('Chunks with chunk_id: ' || owners || ' have the implicit context (neighboring chunks): ' || chunk || ' ' || chr(10), '' ORDER BY k) AS impl_context_chunks FROM (SELECT ex.chunk_id, c.chunk, min(ex.pos * 10 + im.pos) AS k, string_agg(ex.ref, ', ' ORDER BY ex.pos, im.pos) AS owners FROM ex JOIN im ON im.chunk_id = ex.ref JOIN ch c ON c.chunk_id = im.ref GROUP BY 1, 2) GROUP BY 1"
+TARGET = "SELECT im.chunk_id, string_agg(c.chunk, ' ' || chr(10) || ' ' ORDER BY pos) AS target_context FROM im JOIN ch c ON c.chunk_id = ref GROUP BY 1"
+
+
+@query("g2_explicit_context", f"WITH {T.CH}, {T.EX} {EXPLICIT}")
+def _(s, d):
+    return G.explicit_context(T.chunks(s, d))
+
+
+@query("g3_implicit_context", f"WITH {T.CH}, {T.EX}, {T.IM} {IMPLICIT}")
+def _(s, d):
+    return G.implicit_context(T.chunks(s, d))
+
+
+@query("g3_implicit_last_owner", f"WITH {T.CH}, {T.EX}, {T.IM} {IMPLICIT}".replace("string_agg(ex.ref, ', ' ORDER BY ex.pos, im.pos)", "arg_max(ex.ref, ex.pos * 10 + im.pos)"))
+def _(s, d):
+    return G.implicit_context(T.chunks(s, d), owner_mode="last")
+
+
+@query("g4_target_implicit", f"WITH {T.CH}, {T.IM} {TARGET}")
+def _(s, d):
+    return G.target_context(T.chunks(s, d))
+
+
+WORDS = r"len(regexp_extract_all({}, '[^\s\x{{A0}}]+'))"
+
+
+@query("g5_assembled_context", f"WITH {T.CH}, {T.EX}, {T.IM}, e AS ({EXPLICIT}), i AS ({IMPLICIT}), t AS ({TARGET}), r AS (SELECT c.chunk_id, c.chunk, coalesce(context_chunks, '') || chr(10) || chr(10) || coalesce(impl_context_chunks, '') AS context, coalesce(target_context, '') AS target_context FROM (SELECT * FROM ch WHERE chunk_id IN (SELECT chunk_id FROM ex)) c LEFT JOIN e USING (chunk_id) LEFT JOIN i USING (chunk_id) LEFT JOIN t USING (chunk_id)) SELECT * FROM r WHERE {WORDS.format('chunk')} + {WORDS.format('context')} + {WORDS.format('target_context')} <= 20000")
+def _(s, d):
+    return G.assembled(T.chunks(s, d))
+
+
+@query("g6_sample")
+def _(s, d):
+    return G.sample(G.candidates(T.chunks(s, d)), 100)
+
+
+@query("g7_chain_context", f"WITH {T.CH}, {T.EX}, h1 AS (SELECT DISTINCT chunk_id, ref FROM ex), h2 AS (SELECT DISTINCT a.chunk_id, b.ref FROM h1 a JOIN h1 b ON b.chunk_id = a.ref WHERE a.chunk_id <> b.ref) SELECT chunk_id, ref, 1 AS hop FROM h1 UNION ALL SELECT chunk_id, ref, 2 AS hop FROM h2 WHERE (chunk_id, ref) NOT IN (SELECT (chunk_id, ref) FROM h1)")
+def _(s, d):
+    return G.chains(T.chunks(s, d), 2)
+
+
+@query("g8_reference_distance", f"WITH {T.CH}, {T.EX}, per AS (SELECT doc_id, chunk_idx, n, x.m IS NOT NULL AS has, coalesce(x.m < 10, false) AS near FROM ch LEFT JOIN (SELECT ex.chunk_id, max(abs(r - c.chunk_idx)) AS m FROM ex JOIN ch c ON c.chunk_id = ex.chunk_id GROUP BY 1) x USING (chunk_id)) SELECT doc_id, count(*) FILTER (has) AS n_refs, round(100e0 * count(*) FILTER (near) / count(*), 6) AS pct_near, round(min(chunk_idx) FILTER (near) / count(*), 6) AS first_rel, round(max(chunk_idx) FILTER (near) / count(*), 6) AS last_rel FROM per GROUP BY 1")
+def _(s, d):
+    return G.reference_distance(T.chunks(s, d), within=10)
+
+
+# Windows.
+
+DOCTOK = f"dt AS (SELECT doc_id, {T.TOK.format('text')} AS t FROM documents)"
+WINS = f"{DOCTOK}, wn AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(w AS INT) AS win, list_slice(t, w * 75 + 1, w * 75 + 100) AS x FROM (SELECT *, unnest(range(0, CAST(floor(greatest(len(t) - 26, 0) / 75) AS BIGINT) + 1)) AS w FROM dt))"
+
+
+def doc_windows(s, d):
+    docs = T.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return C.windows(docs, X.tokens(F.col("text")), 100, 25).drop("text")
+
+
+@query("w1_windows", f"WITH {WINS} SELECT doc_id, win, CAST(len(x) AS INT) AS n_tokens, array_to_string(x, ' ') AS window_text FROM wn")
+def _(s, d):
+    return doc_windows(s, d)
+
+
+@query("w3_chunk_window_pairs", f"WITH {T.CH}, {WINS} SELECT chunk_id, doc_id || '_w' || win AS cache_id FROM ch JOIN wn USING (doc_id)")
+def _(s, d):
+    return C.chunk_window_pairs(T.chunks(s, d).select("doc_id", "chunk_id"), doc_windows(s, d).select("doc_id", "win")).select("chunk_id", "cache_id")
+
+
+@query("w4_append_aggregate", f"WITH {T.CH}, {WINS}, r AS (SELECT chunk_id, win, (win + chunk_idx) % 3 <> 0 AS ok, 'w' || win || ':' || chunk_idx AS x FROM ch JOIN wn USING (doc_id)) SELECT chunk_id, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY win) FILTER (ok) || chr(10) || chr(10), '{CONTEXT_FAILURE}') AS context FROM r GROUP BY 1")
+def _(s, d):
+    pairs = C.chunk_window_pairs(T.chunks(s, d).select("doc_id", "chunk_id", "chunk_idx"), doc_windows(s, d).select("doc_id", "win"))
+    said = F.when((F.col("win") + F.col("chunk_idx")) % 3 == 0, CONTEXT_FAILURE).otherwise(F.concat(F.lit(" w"), F.col("win"), F.lit(":"), F.col("chunk_idx"), F.lit("\n\n")))
+    return C.aggregate_windows(pairs.select("chunk_id", "win", said.alias("response")))
+
+
+@query("w5_prompt_budget", f"WITH {T.CH}, {T.CUM} SELECT doc_id, chunk_id, chunk_idx, tok, cum, CAST(cum + row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx, chunk_id) - 1 + max(tok) OVER () + 500 AS BIGINT) AS used, used <= 264400 AS fits FROM cum")
+def _(s, d):
+    return A.prompt_budget(T.chunks(s, d))
+
+
+# Retrieval.
+
+
+@query("r1_tokens", f"WITH {T.CH}, {T.TK} SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS chunks FROM tf GROUP BY 1")
+def _(s, d):
+    t = T.chunks(s, d).select("chunk_id", F.explode(X.tokens(F.col("chunk"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    return t.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("chunks"))
+
+
+@query("r2_bm25_postings", f"WITH {T.CH}, {T.TK}, {T.PO} SELECT term, chunk_id, tf, round(weight, 6) AS weight FROM po")
+def _(s, d):
+    return R.postings(T.chunks(s, d)).withColumn("weight", F.round("weight", 6))
+
+
+@query("r3_bm25_top10", f"WITH {T.BM} SELECT query_id, chunk_id, score, rank FROM rk WHERE rank <= 10")
+def _(s, d):
+    return bm25(s, d, 10)
+
+
+@query("r4_dense_top10", f"WITH {T.VEC} SELECT query_id, item_id, score, rank FROM vr WHERE rank <= 10")
+def _(s, d):
+    return R.dense_top(T.vector_queries(s, d), T.vectors(s, d), 10)
+
+
+@query("r5_sparse_top10", f"WITH {T.CH}, {T.TK}, {T.WT}, sc AS (SELECT q.chunk_id AS query_id, x.chunk_id AS item_id, round(sum(q.w * x.w), 6) AS score FROM wt q JOIN wt x USING (term) WHERE q.chunk_idx = 1 AND CAST(q.doc_id AS BIGINT) % 20 = 0 GROUP BY 1, 2), rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM sc) SELECT * FROM rk WHERE rank <= 10")
+def _(s, d):
+    w = T.weights(s, d)
+    q = w.filter("chunk_idx = 1 AND CAST(doc_id AS BIGINT) % 20 = 0").select(F.col("chunk_id").alias("query_id"), "weights")
+    return R.ranked(R.sparse_run(q, w.select(F.col("chunk_id").alias("item_id"), "weights")), 10, item="item_id")
+
+
+@query("r6_cosine", "SELECT b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1e-9), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(s, d):
+    v = T.vectors(s, d)
+    a = v.select((F.col("item_id") + 1).alias("item_id"), F.col("vector").alias("va"))
+    return a.join(v, "item_id").select(F.col("item_id").alias("vec_id"), F.round(V.cosine(F.col("va"), F.col("vector")), 6).alias("sim"))
+
+
+@query("r7_sparse_cosine", f"WITH {T.CH}, {T.TK}, {T.WT}, nn AS (SELECT chunk_id, sqrt(sum(w * w)) AS nrm FROM wt GROUP BY 1), a AS (SELECT * FROM wt WHERE chunk_idx = 0), b AS (SELECT * FROM wt WHERE chunk_idx = 1) SELECT p.chunk_id, round(coalesce(x.s, 0) / (na.nrm * nb.nrm + 1e-9), 6) AS sim FROM (SELECT DISTINCT b.chunk_id, a.chunk_id AS other FROM b JOIN a USING (doc_id)) p JOIN nn na ON na.chunk_id = p.other JOIN nn nb ON nb.chunk_id = p.chunk_id LEFT JOIN (SELECT b.chunk_id, sum(a.w * b.w) AS s FROM b JOIN a USING (doc_id, term) GROUP BY 1) x ON x.chunk_id = p.chunk_id")
+def _(s, d):
+    w = T.weights(s, d)
+    a = w.filter("chunk_idx = 0").select("doc_id", F.col("weights").alias("wa"))
+    return w.filter("chunk_idx = 1").join(a, "doc_id").select("chunk_id", F.round(V.sparse_cosine(F.col("weights"), F.col("wa")), 6).alias("sim"))
+
+
+@query("r12_mean_pool", "SELECT label, CAST(i AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2")
+def _(s, d):
+    return R.mean_pool(T.vectors(s, d), "label").select("label", F.posexplode("pooled").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("r13_avg_sparse", f"WITH {T.CH}, {T.TK}, {T.WT} SELECT doc_id, term, round(sum(w) / any_value(n), 6) AS weight FROM wt JOIN (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM wt GROUP BY 1) USING (doc_id) GROUP BY 1, 2")
+def _(s, d):
+    return R.mean_sparse(T.weights(s, d), "doc_id").withColumn("weight", F.round("weight", 6))
+
+
+@query("r14_max_sim", f"WITH {T.BM} SELECT query_id, split_part(chunk_id, '_', 1) AS doc_id, max(score) AS score FROM rk WHERE rank <= 100 GROUP BY 1, 2")
+def _(s, d):
+    return R.max_sim(bm25(s, d), X.doc_id(F.col("chunk_id")))
+
+
+@query("r15_retrieve_10", f"WITH {T.BM}, h AS (SELECT query_id, min(rank) FILTER (chunk_id = query_id) AS r FROM rk WHERE rank <= 10 GROUP BY 1) SELECT count(*) AS n, round(count(*) FILTER (r <= 1) / count(*), 5) AS recall_1, round(count(*) FILTER (r <= 10) / count(*), 5) AS recall_10 FROM h")
+def _(s, d):
+    h = bm25(s, d, 10).groupBy("query_id").agg(F.min(F.when(F.col("chunk_id") == F.col("query_id"), F.col("rank"))).alias("r"))
+    return h.agg(F.count("*").alias("n"), *[F.round(F.count_if(F.col("r") <= k) / F.count("*"), 5).alias(f"recall_{k}") for k in (1, 10)])
+
+
+@query("j15_doc_similarity", f"WITH {T.VEC}, p AS (SELECT label AS item_id, list(x ORDER BY i) AS vector FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM v) GROUP BY 1, 2) GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS sim FROM p a, p b")
+def _(s, d):
+    return R.pair_similarity(R.mean_pool(T.vectors(s, d), "label").select(F.col("label").alias("item_id"), F.col("pooled").alias("vector")))
+
+
+# Metrics. One relevant chunk a known item; several relevant vectors a label.
+
+ONE = f"WITH {T.BM}, pq AS (SELECT q.query_id, r.rank FROM (SELECT DISTINCT query_id FROM rk) q LEFT JOIN (SELECT query_id, rank FROM rk WHERE chunk_id = query_id AND rank <= 100) r USING (query_id)), ks AS (SELECT unnest([1, 5, 10, 50, 100]) AS k)"
+MANY = f"WITH {T.VEC}, nr AS (SELECT ql AS l, query_id, sum(rel) AS n_rel FROM vj GROUP BY 1, 2), hh AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM vj WHERE rank <= 100), ks AS (SELECT unnest([1, 5, 10, 50, 100]) AS k), pq AS (SELECT k, query_id, n_rel, coalesce(sum(rel), 0) AS hit, coalesce(sum(rel / log2(rank + 1)), 0) AS dcg, coalesce(sum(rel * hits / rank), 0) AS pr, coalesce(max(CASE WHEN rel = 1 THEN 1 / rank END), 0) AS rr FROM ks, nr JOIN hh USING (query_id) WHERE rank <= k GROUP BY 1, 2, 3)"
+
+
+def many(s, d):
+    q = T.vector_queries(s, d)
+    run = M.without_self(R.dense_top(q, T.vectors(s, d), 101), "item_id").filter("rank <= 100")
+    labels = T.vectors(s, d).select("item_id", "label")
+    return M.mean_at(run, q.select("query_id", "label").join(labels, "label").filter("query_id <> item_id").select("query_id", "item_id"), item="item_id")
+
+
+for _name, _col, _one in (
+    ("m1_recall", "recall", "round(count(*) FILTER (rank <= k) / count(*), 5)"), ("m2_precision", "precision", "round(count(*) FILTER (rank <= k) / k / count(*), 5)"),
+    ("m3_mrr", "mrr", "round(avg(CASE WHEN rank <= k THEN 1 / rank ELSE 0 END), 5)"), ("m4_ndcg", "ndcg", "round(avg(CASE WHEN rank <= k THEN 1 / log2(rank + 1) ELSE 0 END), 5)"),
+    ("m5_map", "map", "round(avg(CASE WHEN rank <= k THEN 1 / rank ELSE 0 END), 5)"),
+):
+    query(_name, f"{ONE} SELECT CAST(k AS INT) AS k, {_one} AS {_col} FROM ks, pq GROUP BY 1, ks.k")(lambda s, d, c=_col: flagship(s, d).select("k", c))
+
+
+@query("m6_ignore_self", f"WITH {T.VEC} SELECT query_id, item_id, score, rank FROM vn WHERE rank <= 10")
+def _(s, d):
+    return M.without_self(R.dense_top(T.vector_queries(s, d), T.vectors(s, d), 11), "item_id").filter("rank <= 10")
+
+
+@query("m7_label_integrity", f"WITH {T.CH} SELECT chunk_id FROM (SELECT concat(doc_id, '_1') AS chunk_id FROM documents) WHERE chunk_id NOT IN (SELECT chunk_id FROM ch)")
+def _(s, d):
+    labels = T.table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("_1")).alias("chunk_id"))
+    return M.unknown_labels(labels, T.chunks(s, d))
+
+
+@query("m8_multilabel", f"{MANY} SELECT CAST(k AS INT) AS k, round(avg(hit / n_rel), 5) AS recall, round(avg(hit / k), 5) AS precision, round(avg(rr), 5) AS mrr, round(avg(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 101) t(i) WHERE i <= least(n_rel, k))), 5) AS ndcg, round(avg(pr / n_rel), 5) AS map FROM pq GROUP BY pq.k")
+def _(s, d):
+    return many(s, d)
+
+
+@query("e1_gt_rank", f"WITH {T.BM} SELECT qa.query_id, gt_chunk_id, rank AS gt_rank FROM qa LEFT JOIN (SELECT * FROM rk WHERE rank <= 100) r ON r.query_id = qa.query_id AND r.chunk_id = gt_chunk_id")
+def _(s, d):
+    return M.ground_truth_rank(T.known_items(s, d), bm25(s, d)).select("query_id", "gt_chunk_id", "gt_rank")
+
+
+@query("e2_result_rows", f"WITH {T.BM} SELECT qa.query_id, query, gt_chunk_id, g.chunk AS gt_chunk_text, r.rank AS gt_chunk_rank, string_agg(t.rank || '|' || t.chunk_id || '|' || c.chunk, '¶' ORDER BY t.rank) AS preds FROM qa JOIN ch g ON g.chunk_id = gt_chunk_id LEFT JOIN (SELECT * FROM rk WHERE rank <= 100) r ON r.query_id = qa.query_id AND r.chunk_id = gt_chunk_id JOIN (SELECT * FROM rk WHERE rank <= 10) t ON t.query_id = qa.query_id JOIN ch c ON c.chunk_id = t.chunk_id GROUP BY 1, 2, 3, 4, 5")
+def _(s, d):
+    rows = M.result_rows(T.known_items(s, d), bm25(s, d), T.chunks(s, d))
+    line = lambda p: F.concat_ws("|", p["rank"].cast("string"), p["pred_chunk_id"], p["pred_chunk_text"])
+    return rows.withColumn("preds", F.array_join(F.transform("pred_chunks", line), "¶")).drop("pred_chunks")
+
+
+# Funnel.
+
+
+@query("f1_drop_failures", f"WITH {T.CH}, {T.FQ} SELECT chunk_id, query FROM fq WHERE query <> '{QUERY_FAILURE}'")
+def _(s, d):
+    return U.drop_failures(T.funnel_queries(s, d)).select("chunk_id", "query")
+
+
+@query("f2_prefix_rule", rf"WITH {T.CH} SELECT chunk_id FROM (SELECT chunk_id, CASE WHEN chunk_idx % 3 = 0 THEN 'Art. ' || chunk_idx || '. - ' || chunk WHEN chunk_idx % 3 = 1 THEN chunk || ':' ELSE chunk END AS chunk FROM ch) WHERE NOT (chunk LIKE '%:' OR regexp_matches(chunk, '^(Art\.)? ?([\p{{L}}\p{{N}}_]+)?\.? ?([\p{{L}}\p{{N}}_]+[\.\)])? ?-'))")
+def _(s, d):
+    shaped = F.expr("CASE WHEN chunk_idx % 3 = 0 THEN concat('Art. ', chunk_idx, '. - ', chunk) WHEN chunk_idx % 3 = 1 THEN concat(chunk, ':') ELSE chunk END")
+    return U.drop_items(T.chunks(s, d).withColumn("chunk", shaped)).select("chunk_id")
+
+
+KEPT = "(dense_rank IS NULL OR dense_rank > 10) AND (sparse_rank IS NULL OR sparse_rank > 10)"
+
+
+def ranks(s, d):
+    return T.funnel_results(s, d, 7, 23), T.funnel_results(s, d, 11, 37)
+
+
+@query("j3_rank_lookup", f"WITH {T.CH}, {T.FQ}, {T.FR} SELECT chunk_id, dense_rank, sparse_rank FROM fr")
+def _(s, d):
+    return U.with_ranks(T.funnel_queries(s, d), *ranks(s, d)).select("chunk_id", "dense_rank", "sparse_rank")
+
+
+@query("f3_rank_filter", f"WITH {T.CH}, {T.FQ}, {T.FR} SELECT chunk_id, query FROM fr WHERE {KEPT}")
+def _(s, d):
+    return U.rank_filter(T.funnel_queries(s, d), *ranks(s, d)).select("chunk_id", "query")
+
+
+YES = "(SELECT concat(doc_id, '_1') AS chunk_id FROM labels WHERE quality = 1)"
+
+
+@query("f4_assurance_filter", f"WITH {T.CH}, {T.FQ} SELECT chunk_id, query FROM fq WHERE chunk_id IN {YES}")
+def _(s, d):
+    return U.assurance_filter(T.funnel_queries(s, d), T.assurance(s, d)).select("chunk_id", "query")
+
+
+@query("f5_clean_failures", f"WITH {T.CH} SELECT chunk_id, chunk FROM ch WHERE (chunk_idx + d) % 5 <> 0")
+def _(s, d):
+    said = F.when((F.col("chunk_idx") + F.col("doc_id").cast("long")) % 5 == 0, F.concat(F.lit(CONTEXT_FAILURE + " "), "chunk")).otherwise(F.col("chunk"))
+    return U.drop_context_failures(T.chunks(s, d).select("chunk_id", said.alias("chunk")))
+
+
+@query("f6_id_set", f"WITH {T.CH} SELECT chunk_id, chunk FROM ch WHERE chunk_id IN (SELECT concat(doc_id, '_0') FROM labels)")
+def _(s, d):
+    ids = T.table(s, d, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit("_0")).alias("chunk_id"))
+    return U.only_ids(T.chunks(s, d).select("chunk_id", "chunk"), ids, exact=False)
+
+
+@query("f7_non_contextual", f"WITH {T.CH}, {T.FQ}, {T.FR} SELECT chunk_id, query FROM fr WHERE NOT ({KEPT})")
+def _(s, d):
+    q = T.funnel_queries(s, d).select("chunk_id", "query")
+    return U.non_contextual(q, U.rank_filter(q, *ranks(s, d)))
+
+
+@query("f8_funnel_counts", f"WITH {T.CH}, {T.FQ}, {T.FR}, a AS (SELECT count(*) AS n FROM fr), b AS (SELECT count(*) AS n FROM fr WHERE query <> '{QUERY_FAILURE}'), c AS (SELECT count(*) AS n FROM fr WHERE query <> '{QUERY_FAILURE}' AND {KEPT}), e AS (SELECT count(*) AS n FROM fr WHERE query <> '{QUERY_FAILURE}' AND {KEPT} AND chunk_id IN {YES}) SELECT 'failures' AS stage, a.n AS n_in, a.n - b.n AS n_dropped, b.n AS n_kept FROM a, b UNION ALL SELECT 'ranks', b.n, b.n - c.n, c.n FROM b, c UNION ALL SELECT 'assurance', c.n, c.n - e.n, e.n FROM c, e")
+def _(s, d):
+    q = T.funnel_queries(s, d)
+    a = U.drop_failures(q)
+    b = U.rank_filter(a, *ranks(s, d))
+    return U.funnel_counts(q, failures=a, ranks=b, assurance=U.assurance_filter(b, T.assurance(s, d)))
+
+
+@query("j6_checkpoint_todo", f"WITH {T.CH}, {T.FQ} SELECT chunk_id FROM fq WHERE d NOT IN (SELECT doc_id FROM labels)")
+def _(s, d):
+    return U.todo(T.funnel_queries(s, d), T.assurance(s, d)).select("chunk_id")
+
+
+@query("j7_checkpoint_update", f"WITH {T.CH}, {T.FQ} SELECT chunk_id FROM fq WHERE d IN (SELECT doc_id FROM labels)")
+def _(s, d):
+    return U.todo(T.funnel_queries(s, d), T.assurance(s, d), update=True).select("chunk_id")
+
+
+@query("j8_suffix_merge", f"WITH {T.CH}, {T.CUM} SELECT chunk_id, a.tok AS tok_r4, b.cum AS tok_r6 FROM cum a JOIN cum b USING (chunk_id)")
+def _(s, d):
+    c = A.cumulative_tokens(T.chunks(s, d))
+    return c.select("chunk_id", F.col("tok").alias("tok_r4")).join(c.select("chunk_id", F.col("cum").alias("tok_r6")), "chunk_id")
+
+
+@query("j9_query_chunk_merge", f"WITH {T.CH}, {T.FQ} SELECT fq.chunk_id, query, ch.chunk_idx FROM fq JOIN ch USING (chunk_id)")
+def _(s, d):
+    return T.funnel_queries(s, d).select("chunk_id", "query").join(T.chunks(s, d).select("chunk_id", "chunk_idx"), "chunk_id")
+
+
+@query("j12_three_way_presence", f"WITH {T.CH}, {T.FQ}, {T.FR}, a AS (SELECT DISTINCT query FROM fr WHERE dense_rank IS NOT NULL), b AS (SELECT DISTINCT query FROM fr WHERE sparse_rank IS NOT NULL), q AS (SELECT DISTINCT query FROM fr) SELECT query, query IN (SELECT query FROM a) AS in_a, query IN (SELECT query FROM b) AS in_b, query IN (SELECT query FROM a) AND query IN (SELECT query FROM b) AS common FROM q")
+def _(s, d):
+    r = U.with_ranks(T.funnel_queries(s, d), *ranks(s, d))
+    return reports.presence(r, r.filter("dense_rank IS NOT NULL"), r.filter("sparse_rank IS NOT NULL"))
+
+
+# Analytics.
+
+
+@query("a1_doc_totals", rf"WITH {T.CH} SELECT doc_id, count(*) AS n_chunks, CAST(sum(len(regexp_extract_all(chunk, '[^\s\x{{A0}}]+'))) AS BIGINT) AS n_words, CAST(sum(len({T.TOK.format('chunk')})) AS BIGINT) AS n_tokens, round(n_tokens / n_words, 6) AS ratio FROM ch GROUP BY 1")
+def _(s, d):
+    return A.doc_totals(T.chunks(s, d))
+
+
+@query("a2_avg_tokens", f"WITH {T.CH}, {T.CUM} SELECT doc_id, round(avg(tok), 6) AS avg_tokens FROM cum GROUP BY 1")
+def _(s, d):
+    return A.cumulative_tokens(T.chunks(s, d)).groupBy("doc_id").agg(F.round(F.avg("tok"), 6).alias("avg_tokens"))
+
+
+@query("a3_percentiles", f"WITH {T.CH}, {T.CUM} SELECT count(*) AS n, round(avg(tok), 6) AS mean, round(quantile_cont(CAST(tok AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(tok AS DOUBLE), 0.9), 6) AS p90, round(quantile_cont(CAST(tok AS DOUBLE), 0.95), 6) AS p95, round(quantile_cont(CAST(tok AS DOUBLE), 0.99), 6) AS p99, CAST(max(tok) AS DOUBLE) AS max, min(chunk_id) FILTER (tok = (SELECT max(tok) FROM cum)) AS argmax FROM cum")
+def _(s, d):
+    return A.describe(T.chunks(s, d), X.token_count(F.col("chunk")), "chunk_id")
+
+
+@query("a4_per_doc_stats", f"WITH {T.CH}, {T.CUM} SELECT doc_id, max(tok) AS max_tokens, round(avg(tok), 0) AS mean_tokens, count(*) AS n FROM cum GROUP BY 1")
+def _(s, d):
+    return A.cumulative_tokens(T.chunks(s, d)).groupBy("doc_id").agg(F.max("tok").alias("max_tokens"), F.round(F.avg("tok"), 0).alias("mean_tokens"), F.count("*").alias("n")).orderBy(F.col("max_tokens").desc(), "doc_id")
+
+
+A5 = f"WITH {T.BM}, {T.EX}, top AS (SELECT * FROM rk WHERE rank <= 100), cr AS (SELECT qa.query_id, t.rank AS target_rank, ex.pos, coalesce(c.rank, 2147483647) AS r, ex.ref IS NOT NULL AS has FROM qa LEFT JOIN ex ON ex.chunk_id = qa.gt_chunk_id LEFT JOIN top t ON t.query_id = qa.query_id AND t.chunk_id = qa.gt_chunk_id LEFT JOIN top c ON c.query_id = qa.query_id AND c.chunk_id = ex.ref), ap AS (SELECT query_id, any_value(target_rank) AS target_rank, CAST(count(*) FILTER (has) AS INT) AS n_contexts, coalesce(bool_or(has AND r < coalesce(target_rank, 2147483647)), false) AS acpt, coalesce(bool_and(has AND r < coalesce(target_rank, 2147483647)), false) AS allcpt FROM cr GROUP BY 1)"
+
+
+def acpt(s, d):
+    refs = T.chunks(s, d).select(F.col("chunk_id").alias("gt_chunk_id"), F.col("explicit_context_chunks").alias("context_ids"))
+    pairs = T.known_items(s, d).join(refs, "gt_chunk_id").select("query_id", F.col("gt_chunk_id").alias("target_id"), "context_ids")
+    return A.context_before_target(A.context_ranks(pairs, bm25(s, d)))
+
+
+@query("a5_acpt_allcpt", f"{A5} SELECT query_id, target_rank, n_contexts, acpt, allcpt FROM ap")
+def _(s, d):
+    return acpt(s, d).drop("context_ranks")
+
+
+@query("a6_acpt_means", f"{A5} SELECT count(*) AS n, round(avg(CAST(acpt AS INT)), 6) AS acpt, round(avg(CAST(allcpt AS INT)), 6) AS allcpt, count(*) FILTER (acpt) AS n_acpt FROM ap")
+def _(s, d):
+    return acpt(s, d).agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(c).cast("int")), 6).alias(c) for c in ("acpt", "allcpt")], F.count_if("acpt").alias("n_acpt"))
+
+
+@query("a7_solved_counts", f"WITH {T.CH}, {T.FQ}, {T.FR}, x AS (SELECT coalesce(dense_rank <= 10, false) AS a, coalesce(sparse_rank <= 10, false) AS b FROM fr) SELECT count(*) FILTER (a) AS by_a, count(*) FILTER (b) AS by_b, count(*) FILTER (a OR b) AS by_either, count(*) FILTER (NOT (a OR b)) AS unsolved FROM x")
+def _(s, d):
+    a, b = (F.coalesce(F.col(c) <= 10, F.lit(False)) for c in ("dense_rank", "sparse_rank"))
+    return U.with_ranks(T.funnel_queries(s, d), *ranks(s, d)).agg(F.count_if(a).alias("by_a"), F.count_if(b).alias("by_b"), F.count_if(a | b).alias("by_either"), F.count_if(~(a | b)).alias("unsolved"))
+
+
+@query("j11_side_by_side", f"WITH {T.CH}, {T.FQ}, {T.FR} SELECT a.chunk_id AS query_chunk_id, a.dense_rank AS dense_target_rank, b.sparse_rank AS sparse_target_rank FROM fr a JOIN fr b USING (chunk_id)")
+def _(s, d):
+    one, two = (x.filter("seq = 1").select(F.col("gt_chunk_id").alias("query_chunk_id"), F.col("gt_chunk_rank").alias(f"{n}_target_rank")) for x, n in zip(ranks(s, d), ("dense", "sparse")))
+    return one.join(two, "query_chunk_id")
+
+
+DIST = f"WITH {T.CH}, {T.EX}, {T.CUM}, ds AS (SELECT t.chunk_id AS query_id, max(abs(u.chunk_idx - t.chunk_idx)) AS chunk_distance, coalesce(max(CASE WHEN t.cum > u.cum THEN t.cum - u.cum + u.tok ELSE u.cum - t.cum + t.tok END), 0) AS token_distance FROM cum t LEFT JOIN ex ON ex.chunk_id = t.chunk_id LEFT JOIN cum u ON u.chunk_id = ex.ref GROUP BY 1)"
+
+
+def reach(s, d):
+    c = T.chunks(s, d)
+    return A.distances(c.select(F.col("chunk_id").alias("query_id"), "chunk_id", F.col("explicit_context_chunks").alias("used")), A.cumulative_tokens(c))
+
+
+@query("a8_chunk_distance", f"{DIST} SELECT query_id, chunk_distance FROM ds")
+def _(s, d):
+    return reach(s, d).select("query_id", "chunk_distance")
+
+
+@query("a9_token_distance", f"{DIST} SELECT query_id, token_distance FROM ds")
+def _(s, d):
+    return reach(s, d).select("query_id", "token_distance")
+
+
+@query("a10_pow2_hist", f"{DIST}, b AS (SELECT (1 << least(CAST(floor(log2(token_distance) + 1e-12) AS INT), 17)) AS lo FROM ds WHERE token_distance BETWEEN 64 AND 262144) SELECT CAST(lo AS BIGINT) AS lo, CAST(lo * 2 AS BIGINT) AS hi, count(*) AS n, round(100e0 * count(*) / (SELECT count(*) FROM b), 6) AS pct FROM b GROUP BY 1, 2")
+def _(s, d):
+    return A.power_histogram(reach(s, d), F.col("token_distance"))
+
+
+@query("a11_overflow_hist", f"WITH {T.CH}, {T.CUM} SELECT CAST(least(floor(tok / 15), 20) AS BIGINT) AS bin, count(*) AS n FROM cum GROUP BY 1")
+def _(s, d):
+    return A.overflow_histogram(T.chunks(s, d), X.token_count(F.col("chunk")))
+
+
+@query("a12_value_counts", "SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def _(s, d):
+    return T.table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "source")
+
+
+@query("a13_sample")
+def _(s, d):
+    return A.stratified(T.chunks(s, d).select("doc_id", "chunk_id"), "doc_id", 4, [F.xxhash64("chunk_id", F.lit(42)), F.col("chunk_id")])
+
+
+@query("a14_n_smallest", f"WITH {T.CH}, {T.CUM}, r AS (SELECT doc_id, chunk_id, tok, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tok, chunk_id) AS INT) AS place FROM cum) SELECT * FROM r WHERE place <= 4")
+def _(s, d):
+    return A.stratified(T.chunks(s, d).select("doc_id", "chunk_id", X.token_count(F.col("chunk")).alias("tok")), "doc_id", 4, [F.col("tok"), F.col("chunk_id")])
+
+
+@query("a15_node_length", f"WITH {T.CH} SELECT doc_id, round(avg(length(chunk)), 6) AS mean_chars FROM ch GROUP BY 1")
+def _(s, d):
+    return T.chunks(s, d).groupBy("doc_id").agg(F.round(F.avg(F.length("chunk")), 6).alias("mean_chars"))
+
+
+@query("a16_lexical_overlap", f"WITH {T.CH}, {T.TK}, {T.WT}, pr AS (SELECT q.doc_id, q.chunk_id AS query_id, a.chunk_id AS c, b.chunk_id AS x FROM ch q JOIN ch a ON a.doc_id = q.doc_id AND a.chunk_idx = 0 JOIN ch b ON b.doc_id = q.doc_id AND b.chunk_idx = 2 WHERE q.chunk_idx = 1), nn AS (SELECT chunk_id, sqrt(sum(w * w)) AS nrm FROM wt GROUP BY 1), s AS (SELECT p.query_id, t.chunk_id, sum(q.w * t.w) AS dot FROM pr p JOIN wt q ON q.chunk_id = p.query_id JOIN wt t ON t.doc_id = p.doc_id AND t.term = q.term AND t.chunk_idx IN (0, 2) GROUP BY 1, 2) SELECT p.query_id, round(coalesce(sc.dot, 0), 6) AS lexical_chunk, round(coalesce(sc.dot, 0) / (nq.nrm * nc.nrm + 1e-9), 6) AS sparse_chunk, round(coalesce(sx.dot, 0), 6) AS lexical_context, round(coalesce(sx.dot, 0) / (nq.nrm * nx.nrm + 1e-9), 6) AS sparse_context FROM pr p JOIN nn nq ON nq.chunk_id = p.query_id JOIN nn nc ON nc.chunk_id = p.c JOIN nn nx ON nx.chunk_id = p.x LEFT JOIN s sc ON sc.query_id = p.query_id AND sc.chunk_id = p.c LEFT JOIN s sx ON sx.query_id = p.query_id AND sx.chunk_id = p.x")
+def _(s, d):
+    w = T.weights(s, d).join(T.chunks(s, d).select("chunk_id", R.hash_embedding(F.col("chunk")).alias("v")), "chunk_id")
+    sides = [w.filter(F.col("chunk_idx") == i).select("doc_id", F.col("weights").alias(f"{n}_w"), F.col("v").alias(f"{n}_v"), *([F.col("chunk_id").alias("query_id")] if n == "q" else [])) for n, i in (("q", 1), ("c", 0), ("x", 2))]
+    return A.overlap_table(sides[0].join(sides[1], "doc_id").join(sides[2], "doc_id")).drop("dense_chunk", "dense_context")
+
+
+@query("a17_max_tokens", f"WITH {T.CH}, {T.CUM} SELECT max(tok) AS max_tokens FROM cum")
+def _(s, d):
+    return T.chunks(s, d).agg(F.max(X.token_count(F.col("chunk"))).alias("max_tokens"))
+
+
+@query("a18_with_context", f"WITH {T.CH}, {T.EX} SELECT count(DISTINCT chunk_id) AS n FROM ex")
+def _(s, d):
+    return T.chunks(s, d).agg(F.count_if(F.size("explicit_context_chunks") > 0).alias("n"))
+
+
+@query("v3_rank_badge", f"WITH {T.CH}, {T.FQ}, {T.FR} SELECT chunk_id, CASE WHEN dense_rank = 1 THEN 'green' WHEN dense_rank <= 5 THEN 'amber' ELSE 'red' END AS badge FROM fr")
+def _(s, d):
+    return U.with_ranks(T.funnel_queries(s, d), *ranks(s, d)).select("chunk_id", reports.badge(F.col("dense_rank")).alias("badge"))
+
+
+# Model stages, with the offline provider.
+
+
+@query("l7_contextualise")
+def _(s, d):
+    return L.contextualise(T.chunks(s, d), L.Echo())
+
+
+@query("l8_waterfall")
+def _(s, d):
+    return L.waterfall(T.chunks(s, d), L.Echo(), window=400, overlap=100)
+
+
+@query("l9_generate")
+def _(s, d):
+    return L.generate(T.chunks(s, d), L.Echo("query"), "query_r8")
+
+
+@query("l10_assure")
+def _(s, d):
+    q = L.generate(T.chunks(s, d), L.Echo("query"), "query_r8")
+    return L.assure(q, L.Echo("verdict"), "assurance_r10")
