@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, golay, line_dedup, mixing, packing, quality, sharding
+from . import content_sort, golay, line_dedup, mixing, packing, quality, sharding, suffix_dedup
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -12,5 +12,6 @@ QUERIES = {
     "op5_kd_sharding": sharding.query,
     "op7_mixing": mixing.query,
     "op9_exact_dedup": content_sort.query,
+    "op10_suffix_array_dedup": suffix_dedup.query,
 }
 SQL = {"op2_line_dedup": line_dedup.SQL, "op7_mixing": mixing.SQL, "op9_exact_dedup": content_sort.SQL}
