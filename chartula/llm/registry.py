@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from . import content_sort, golay, line_dedup, mixing, packing, quality, sharding, suffix_dedup
+from . import (
+    chaining,
+    content_sort,
+    context_mixing,
+    golay,
+    line_dedup,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    suffix_dedup,
+)
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,7 +21,9 @@ QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_simhash_golay": golay.query,
     "op5_kd_sharding": sharding.query,
+    "op6_collinear_chaining": chaining.query,
     "op7_mixing": mixing.query,
+    "op8_context_mixing": context_mixing.query,
     "op9_exact_dedup": content_sort.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
