@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import documents, whole
 
 #: Tokens of a sequence, open bins, pieces that a task orders before it packs them, remembered chunks of text.
-LENGTH, OPEN, BLOCK, REMEMBERED = 1024, 4096, 1 << 16, 300_000
+LENGTH, OPEN, BLOCK, REMEMBERED = 1024, 1 << 16, 1 << 16, 300_000
 #: Characters of text that are encoded together.
 TOGETHER = 1 << 20
 END = 2

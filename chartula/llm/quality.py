@@ -52,13 +52,13 @@ def line_fails(line: Column, of: Column) -> Column:
 
 
 def measure(docs: DataFrame, *also: str) -> DataFrame:
-    """Counts of each document (doc_id, text) and its cleaned text; ``also`` names further columns to keep.
+    """Counts of each document (doc_id, text) and its clean lines; ``also`` names columns to carry, in a struct of that name.
 
     One row each, without a shuffle: every count is an expression over the row's own arrays, sorted where it must find
     repeats, so a text of any length costs n log n. A null or empty text has no word, line or symbol: all counts are 0.
     A line is kept if it has a word and breaks no rule.
     """
-    a = docs.select("doc_id", *also, whole().alias("text_"))
+    a = docs.select("doc_id", F.struct(*also, F.lit(0).alias("none_")).alias("carried"), whole().alias("text_"))
     b = a.select(
         "*", words(F.col("text_")).alias("w"), F.filter(F.split("text_", "\n"), lambda x: strip(x) != "").alias("lines"), furnished(F.lower("text_")).alias("furniture"),
         *((F.length("text_") - F.length(F.translate("text_", x, ""))).cast("long").alias(n) for x, n in ((SYMBOL, "n_symbols"), (MARKS, "n_marks"))),
@@ -68,7 +68,7 @@ def measure(docs: DataFrame, *also: str) -> DataFrame:
     # Bound to a lambda's variable, the document's counts are found once; as columns, the optimizer would move them into the test of each line.
     clean = F.element_at(F.transform(F.array(F.struct("n_symbols", "n_marks", "furniture")), lambda of: F.filter("lines", lambda x: ~line_fails(x, of))), 1)
     d = c.select(
-        "doc_id", *also, F.size("w").cast("long").alias("n_words"), F.length(F.translate("text_", WHITE, "")).cast("long").alias("word_chars"), "n_symbols",
+        "doc_id", "carried", F.size("w").cast("long").alias("n_words"), F.length(F.translate("text_", WHITE, "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(repeated("triples")).alias("n_repeat_words"), clean.alias("clean"),
     )
@@ -76,9 +76,12 @@ def measure(docs: DataFrame, *also: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, *also: str) -> DataFrame:
-    """measure() with base_failed and kept: not base_failed, and LEAST_KEPT of the word characters left in clean lines."""
+    """measure() with base_failed and kept: not base_failed, and LEAST_KEPT of the word characters left in clean lines.
+
+    The columns named in ``also`` come after them, as they are.
+    """
     m = measure(docs, *also).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return m.withColumn("kept", ~F.col("base_failed") & (F.col("clean_chars") >= LEAST_KEPT * F.col("word_chars"))).withColumn("cleaned", F.array_join("clean", "\n")).drop("clean")
+    return m.withColumn("kept", ~F.col("base_failed") & (F.col("clean_chars") >= LEAST_KEPT * F.col("word_chars"))).withColumn("cleaned", F.array_join("clean", "\n")).select("*", *[F.col("carried")[c].alias(c) for c in also]).drop("clean", "carried")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
