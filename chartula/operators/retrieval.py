@@ -60,7 +60,7 @@ def dense_top(queries: DataFrame, docs: DataFrame, k: int = DEPTH, cosine: bool
         cut = F.pmod(F.xxhash64("query_id"), F.lit(2))
         return dense_top(queries.filter(cut == 0), docs, k, cosine, most_queries).unionByName(dense_top(queries.filter(cut == 1), docs, k, cosine, most_queries))
     ids = [r["query_id"] for r in rows]
-    q = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
     if cosine:
         q = q / (np.linalg.norm(q, axis=1, keepdims=True) + V.EPSILON)
 

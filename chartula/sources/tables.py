@@ -17,7 +17,8 @@ KINDS = {"queries": QUERIES, "documents": CHUNKS}
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, mode: str = "strict") -> DataFrame:
     """JSON lines under a declared schema; blank lines are skipped.
 
-    strict: the first bad line ends the read; skip: bad lines are left out; keep: they stay, with their text in
+    strict: the first bad line ends the read; skip: bad lines are left out (as soon as a column is read: a bare count
+    parses none); keep: they stay, with their text in
     _corrupt_record, so they can be counted.
     """
     options = {"strict": "FAILFAST", "skip": "DROPMALFORMED", "keep": "PERMISSIVE"}
