@@ -81,12 +81,13 @@ def _level(cells: DataFrame, nodes: dict[int, Node]) -> None:
         if not search:
             break
         at = cells.filter(F.col("cell").isin(*search))
-        value, low, step = (_by_cell(search, f) for f in (lambda k: F.col(x[nodes[k].dim]), lambda k: F.lit(search[k][0]), lambda k: F.lit((search[k][1] - search[k][0]) // BINS + 1)))
-        bins = at.withColumns({"value": value, "low": low, "step": step}).filter("value >= low").withColumn("bin", F.floor((F.col("value") - F.col("low")) / F.col("step")).cast("long")).filter(F.col("bin") < BINS)
+        dim, low, step = (_by_cell(search, f) for f in (lambda k: nodes[k].dim + 1, lambda k: search[k][0], lambda k: (search[k][1] - search[k][0]) // BINS + 1))
+        placed = at.select("cell", "size", F.element_at(F.array(*x), dim.cast("int")).alias("value"), low.alias("low"), step.alias("step"))
+        bins = placed.filter("value >= low").withColumn("bin", F.floor((F.col("value") - F.col("low")) / F.col("step")).cast("long")).filter(F.col("bin") < BINS)
         counted = bins.groupBy("cell", "bin").agg(F.sum("size").alias("size"), F.first("low").alias("low"), F.first("step").alias("step"))
         run = Window.partitionBy("cell").orderBy("bin")
         upto = counted.withColumn("upto", F.sum("size").over(run)).withColumn("before", F.col("upto") - F.col("size"))
-        goal, base = _by_cell(search, lambda k: F.lit(float(search[k][3]))), _by_cell(search, lambda k: F.lit(search[k][2]))
+        goal, base = _by_cell(search, lambda k: float(search[k][3])), _by_cell(search, lambda k: search[k][2])
         hit = upto.filter((base + F.col("upto") >= goal) & (base + F.col("before") < goal)).collect()
         for h in hit:
             low, step, below = h["low"] + h["bin"] * h["step"], h["step"], search[h["cell"]][2] + h["before"]
@@ -103,10 +104,8 @@ def _level(cells: DataFrame, nodes: dict[int, Node]) -> None:
 
 
 def _by_cell(search: dict, of) -> Column:
-    out = F.lit(None)
-    for cell in search:
-        out = F.when(F.col("cell") == cell, of(cell)).otherwise(out)
-    return out
+    """A value for each cell, as one literal map of at most as many entries as there are shards."""
+    return F.element_at(F.create_map(*[F.lit(v) for cell in search for v in (cell, of(cell))]), F.col("cell"))
 
 
 def grow(units: DataFrame, shards: int) -> Node:
