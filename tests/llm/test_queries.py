@@ -1,0 +1,63 @@
+"""The queries of the training-data operators against their SQL, and the pipeline against brute force, on the smallest tables."""
+
+import os
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+from test_edges import brute_print, components, late, words
+
+import corpus_pipeline
+from chartula.llm import registry
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query(spark, name):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    df = registry.QUERIES[name](spark, SF)
+    want = c.sql(registry.SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(want.columns) == columns
+    at = [want.columns.index(x) for x in columns]
+    assert sorted(str([r[x] for x in columns]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_pipeline_stages(spark):
+    """Each stage on what the one before it kept."""
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = {"start": docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, SF))
+        seen[name] = docs.collect()
+        if name != names[-1]:
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+    start, quality, exact, near, mixed, packed = (seen[n] for n in ["start", *names])
+    assert {r.doc_id for r in quality} == {r.doc_id for r in registry.QUERIES["op3_quality_rules"](spark, SF).filter("kept").collect()} and len(quality) < len(start)
+    keep = defaultdict(list)
+    for r in quality:
+        keep[r.text].append(r.doc_id)
+    assert sorted(r.doc_id for r in exact) == sorted(max(ids, key=late) for ids in keep.values())
+    of = components([(r.doc_id, brute_print(r.text)) for r in exact])
+    assert sorted(r.doc_id for r in near) == sorted({of[brute_print(r.text)] for r in exact})
+    times, size, texts = Counter(r.doc_id for r in mixed), Counter(), {r.doc_id: r for r in near}
+    assert set(times) <= set(texts) and max(times.values()) <= 2
+    for r in near:
+        size[r.source] += len(words(r.text))
+    taken = sum(times[i] * len(words(texts[i].text)) for i in times)
+    assert abs(taken / (1.5 * sum(size.values())) - 1) < 0.15
+    pieces = Counter(r.doc_id for r in packed if r.piece == 0)
+    assert pieces == times
+    bins = defaultdict(int)
+    for r in packed:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 1024 and len(bins) <= sum(bins.values()) / 1024 * 1.05 + 8
+
+
+def test_pipeline_run(spark):
+    assert zlib.crc32(b"") == 0 and corpus_pipeline.run(spark, SF).columns[:2] == ["doc_id", "piece"]
