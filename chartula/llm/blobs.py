@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,5 +73,8 @@ def with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, I
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of steps whose results are written."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of steps whose results are written: it does so when their plans are collected."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -27,8 +27,8 @@ from .common import documents, whole, written
 from .induced import END, SEPARATOR, SHIFT, common, suffix_array
 
 LENGTH, K = 50, 24
-#: Bytes of text hashed together, strings in a piece, contents under one gram from which strings are dealt singly, bytes of a shard sorted at once.
-TOGETHER, LONGEST, MANY, SORTED = 1 << 21, 200, 1 << 14, 1 << 24
+#: Bytes of text hashed together, strings in a piece, contents under one gram from which strings are dealt singly, bytes of a shard sorted at once, records dealt at once.
+TOGETHER, LONGEST, MANY, SORTED, DEALT = 1 << 21, 200, 1 << 14, 1 << 24, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 PIECE = np.dtype([("gram", "<u4"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "u1")])
@@ -59,6 +59,29 @@ def dealt(a: np.ndarray, bucket: np.ndarray, kind: int) -> list[tuple[int, int,
     return [(int(bucket[s]), kind, pack(x)) for s, x in zip(starts, np.split(a, starts[1:]))] if len(a) else []
 
 
+class Dealer:
+    """Gathers records of one kind over a task's buckets and deals them to their documents, so few large rows are sent."""
+
+    def __init__(self, buckets: int, *kinds: int):
+        self.buckets, self.held, self.size = buckets, {k: [] for k in kinds}, 0
+
+    def add(self, kind: int, a: np.ndarray) -> None:
+        if len(a):
+            self.held[kind].append(a)
+            self.size += len(a)
+
+    def out(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if self.size >= least:
+            rows = []
+            for kind, held in self.held.items():
+                if held:
+                    a = np.concatenate(held)
+                    rows += dealt(a, home(a["doc"], self.buckets), kind)
+                    held.clear()
+            self.size = 0
+            yield batch_of(rows)
+
+
 class Grams:
     """Hashes of substrings: a sum of random values of bytes times powers of an odd base, from sums of prefixes."""
 
@@ -170,9 +193,12 @@ def match_pieces(buckets: int) -> Callable:
     """Pieces of a bucket to covered ones and wanted ones, dealt to their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(buckets, COVERED, WANTED)
         for bucket, rows in by_bucket(batches):
+            yield from dealer.out(DEALT)
             if bucket >= buckets:
-                yield batch_of([(bucket - buckets, COVERED, d) for _, d in rows])
+                for _, d in rows:
+                    dealer.add(COVERED, unpack(d, COVER))
                 continue
             p = np.concatenate([unpack(d, PIECE) for _, d in rows])
             p = p[np.lexsort((p["doc"], p["content"], p["gram"]))]
@@ -181,7 +207,7 @@ def match_pieces(buckets: int) -> Callable:
             head = np.flatnonzero(new)
             least = np.repeat(p["doc"][head], np.diff(np.append(head, len(p))))
             late = p["doc"] > least
-            out = dealt(c := _covered(p[late]), home(c["doc"], buckets), COVERED)
+            dealer.add(COVERED, _covered(p[late]))
             # Under one gram: several contents, held first by different documents.
             gram_head = np.flatnonzero(new_gram)
             many = np.add.reduceat(new.astype(np.int64), gram_head)
@@ -190,7 +216,8 @@ def match_pieces(buckets: int) -> Callable:
             mixed = np.repeat((many > 1) & (low != high), size) & ~late
             w = _covered(p[mixed])
             w["shard"] = np.where(np.repeat(many > MANY, size)[mixed], -1, bucket)
-            yield batch_of(out + dealt(w, home(w["doc"], buckets), WANTED))
+            dealer.add(WANTED, w)
+        yield from dealer.out()
 
     return run
 
@@ -299,6 +326,7 @@ def sort_shards(buckets: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(buckets, COVERED)
         for _, rows in by_bucket(batches):
             parts, part, size = [], [], 0
             for n, data in rows:
@@ -312,8 +340,9 @@ def sort_shards(buckets: int) -> Callable:
                 parts.append(part)
             for i in range(len(parts)):
                 for j in range(i + 1, len(parts)) if len(parts) > 1 else (i,):
-                    c = merged(earlier(parts[i] + (parts[j] if j > i else [])))
-                    yield batch_of(dealt(c, home(c["doc"], buckets), COVERED))
+                    dealer.add(COVERED, merged(earlier(parts[i] + (parts[j] if j > i else []))))
+                    yield from dealer.out(DEALT)
+        yield from dealer.out()
 
     return run
 
@@ -352,7 +381,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     whole. No rows give no rows.
     """
     spark = docs.sparkSession
-    n = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tag = F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), whole().alias("text")).select("doc", tag.alias("tag"), F.col("text").cast("binary").alias("text"))
     pieces = texts.mapInArrow(find_pieces(n), ROWS).repartition("bucket").sortWithinPartitions("bucket")
