@@ -105,7 +105,7 @@ def bit_slots(code: Code, raw: np.ndarray, hashes: np.ndarray) -> Iterator[tuple
         if not len(live):
             return
         b = raw[live]
-        yield live, code.bits[b, d], (mix(hashes[:, live] + code.nodes[b, d] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        yield live, code.bits[b, d], (((hashes[:, live] ^ (code.nodes[b, d] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 class Mixer:
@@ -212,9 +212,15 @@ def count_tokens(n: int, groups: np.ndarray) -> Callable:
                     mine = counts[int((groups @ profile(text.lower()) - half).argmax())]
                     mine.update(words)
                     mine[END] += 1
-            for bucket, mine in dealt_tokens(seen, n).items():
-                table = np.array([[*map(c.__getitem__, mine)] for c in counts], "<u4")
-                yield batch_of([(bucket, block, struct.pack("<I", len(mine)) + table.tobytes() + b" ".join(mine))])
+            groups_of = dealt_tokens(seen, n)
+            at = {t: i for i, t in enumerate(t for mine in groups_of.values() for t in mine)}
+            table, start = np.zeros((GROUPS, len(at)), "<u4"), 0
+            for k, c in enumerate(counts):
+                table[k, np.fromiter(map(at.__getitem__, c), np.int64, len(c))] = np.fromiter(c.values(), np.int64, len(c))
+            for bucket, mine in groups_of.items():
+                own = table[:, start : start + len(mine)]
+                start += len(mine)
+                yield batch_of([(bucket, block, struct.pack("<I", len(mine)) + own.tobytes() + b" ".join(mine))])
 
     return run
 
@@ -349,11 +355,11 @@ def score_texts(n: int, sizes: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows, texts in with_texts(batches):
             # The block's tokens are dealt as before, which takes all of them: the block's texts are held meanwhile.
-            held = [(doc, text) for doc, _, text in texts]
+            held = [(doc, [*words_of(text), END], len(text)) for doc, _, text in texts]
             if not held:
                 continue
             said, at, cost, known, base = dict(rows), {}, [], [], []
-            for bucket, mine in dealt_tokens({w for _, text in held for w in words_of(text)} | {END}, n).items():
+            for bucket, mine in dealt_tokens(set().union(*(tokens for _, tokens, _ in held)), n).items():
                 m, data = len(mine), said[bucket]
                 counts = np.frombuffer(data, "<u4", GROUPS * m, 4 * m).reshape(GROUPS, m).astype(np.int64)
                 cost.append(expert_costs(np.frombuffer(data, "<f4", m).astype(np.float64), counts, sizes))
@@ -361,13 +367,13 @@ def score_texts(n: int, sizes: np.ndarray) -> Callable:
                 known.append(total > 0)
                 base.append(np.log10(total + 1.0) - norm)
                 at.update(zip(mine, range(len(at), len(at) + m)))
-            cost, known, base = np.concatenate(cost, axis=1), np.concatenate(known), np.concatenate(base)
+            cost, known, base = np.ascontiguousarray(np.concatenate(cost, axis=1).T), np.concatenate(known), np.concatenate(base)
             out = []
-            for doc, text in held:
-                i = np.array([*map(at.__getitem__, words_of(text)), at[END]])
-                by = prior + cost[:, i].sum(axis=1)
+            for doc, tokens, size in held:
+                i = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
+                by = prior + cost[i].sum(axis=0)
                 top = by.max()
-                out.append((None if doc == NO_ID else doc, held_out(None if doc == NO_ID else doc), len(i), int(known[i].sum()), float(base[i].sum()), float(top + np.log10((10.0 ** (by - top)).sum())), len(text)))
+                out.append((None if doc == NO_ID else doc, held_out(None if doc == NO_ID else doc), len(i), int(known[i].sum()), float(base[i].sum()), float(top + np.log10((10.0 ** (by - top)).sum())), size))
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
