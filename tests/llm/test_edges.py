@@ -384,6 +384,53 @@ def test_chaining_against_brute_force(spark):
         assert {r.doc_id for r in got} >= ids - {min(ids)}
 
 
+def test_chaining_links_every_holder(spark):
+    """Partial holders before and after the whole one, and holders of either half, don't hide an edited copy of it."""
+    make = lambda name, n: [f"{name}{i}" for i in range(n)]
+    p = make("p", 50)
+    first, second = p[:25], p[25:]
+    for parts in ([first, p, first], [first, second, p, first, second]):
+        texts = [make(f"a{i}x", 20) + part + make(f"b{i}x", 20) for i, part in enumerate(parts)] + [make("c", 20) + first + ["inserted"] + second + make("d", 20)]
+        got = {(r.doc_id, r.partner_id): r for r in chaining.passages(frame(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])).collect()}
+        assert set(got) == {(len(parts), parts.index(p))}
+        (row,) = got.values()
+        assert (row.doc_start, row.doc_end, row.partner_start, row.partner_end) == (20, 71, 20, 70) and row.similarity == pytest.approx(50 / 51)
+
+
+def test_chaining_blocks_of_holders(spark, monkeypatch):
+    """All pairs, whether a seed's holders are paired at once or by blocks; equal texts have a row with the first."""
+    rng = np.random.default_rng(5)
+    p = [f"p{i}" for i in range(50)]
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(9)] + p[:25] + [f"new{i}"] * int(rng.integers(0, 2)) + p[25:] + [f"b{i}x{j}" for j in range(9)]), "en", "a") for i in range(12)]
+    want = {(i, j) for i in range(12) for j in range(i)} | {(50, 3)}
+    docs = frame(spark, [*rows, (50, rows[3][1], "en", "a")])
+    assert {(r.doc_id, r.partner_id) for r in chaining.passages(docs).collect()} == want
+    s = np.zeros(40, chaining.SEED)
+    s["doc"], s["pos"] = np.arange(40) // 2, rng.integers(0, 9, 40)
+    s["before"], s["after"] = rng.integers(0, 4, 40), 1
+    plain = Counter((max(a, b, key=lambda x: x["doc"]).tolist(), min(a, b, key=lambda x: x["doc"]).tolist()) for i, a in enumerate(s) for b in s[:i] if a["doc"] != b["doc"] and (a["before"] != b["before"] or not a["before"]))
+    want = Counter((a[1], a[2], b[1], b[2]) for a, b in plain.elements())
+    assert Counter(x for a in chaining.linked(s, "before") for x in a.tolist()) == want
+    monkeypatch.setattr(chaining, "BLOCK", 7)
+    rows = [(0, chaining.SEEDS, chaining.dealt(s, np.zeros(40, np.int32), 0)[0][2])]
+    blocks = [b for b in chaining.link_seeds(4)([chaining.batch_of(rows)])]
+    flat = sorted((r for b in blocks for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+    got = [r for b in chaining.link_blocks(4)([chaining.batch_of(flat)]) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert Counter(x for _, kind, d in got if kind == chaining.STARTS for x in chaining.unpack(d, chaining.ANCHOR).tolist()) == want
+
+
+@pytest.mark.parametrize(("length", "every"), [(50, 7), (50, 8), (60, 7), (60, 6)])
+def test_chaining_finds_even_edits(spark, length, every):
+    """Substitutions at even steps (likeness 0.83 to 0.88) leave runs of few words, each of which is a seed."""
+    rows, want = [], set()
+    for i in range(60):
+        p = [f"p{i}x{j}" for j in range(length)]
+        q = [f"q{i}x{j}" if j % every == every - 1 else w for j, w in enumerate(p)]
+        rows += [(2 * i, " ".join([f"a{i}x{j}" for j in range(15)] + p), "en", "a"), (2 * i + 1, " ".join(q + [f"b{i}x{j}" for j in range(15)]), "en", "a")]
+        want.add((2 * i + 1, 2 * i))
+    assert {(r.doc_id, r.partner_id) for r in chaining.passages(frame(spark, rows)).collect()} == want
+
+
 def test_chain_prefers_the_cheaper_gap():
     pos, other = np.array([0, 5, 10, 15, 20, 12]), np.array([100, 105, 110, 115, 120, 900])
     best = chaining.chain(pos, other)
