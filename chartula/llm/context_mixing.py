@@ -37,8 +37,8 @@ from .common import documents, whole, written
 SLOT_BITS, ORDERS, MOST_BITS, AT_ONCE, STEP = 21, 5, 20, 1 << 18, 4096
 #: Bins of the refining map, the counts added to both sides, the rate of the weights.
 BINS, ADD, RATE = 32, 0.3, 0.02
-#: Experts, documents at most from which their centres are fitted, rounds of that; the discount of a count, and the share of all-group frequencies in what it frees.
-GROUPS, SAMPLE, ROUNDS, DISCOUNT, COMMON = 8, 2000, 25, 0.75, 0.3
+#: Experts, rounds of fitting their centres, what a profile's share of 1 is stored as, bins of a histogram; the discount of a count, and the share of all-group frequencies in what it frees.
+GROUPS, ROUNDS, SCALE, STEPS, DISCOUNT, COMMON = 8, 25, 65535, 1 << 14, 0.75, 0.3
 STOP, END = 0x20, b"\n"  # neither occurs in a word
 FOLDS, HELD = 7, 2
 
@@ -184,17 +184,90 @@ def profile(text: bytes) -> np.ndarray:
     return np.sqrt(np.bincount(raw, minlength=256) / max(1, len(raw)))
 
 
-def centres(sample: np.ndarray) -> np.ndarray:
-    """GROUPS centres of profiles by k-means, started at even steps along the axis of most variation."""
-    if not len(sample):
-        return np.zeros((GROUPS, 256))
-    away = sample - sample.mean(axis=0)
-    axis = np.linalg.eigh(away.T @ away)[1][:, -1]
-    order = np.argsort(away @ axis, kind="stable")
-    now = sample[order[((np.arange(GROUPS) + 0.5) * len(sample) / GROUPS).astype(np.int64)]]
-    for _ in range(ROUNDS):
-        of = (sample @ now.T - 0.5 * (now**2).sum(axis=1)).argmax(axis=1)
-        now = np.array([sample[of == k].mean(axis=0) if (of == k).any() else now[k] for k in range(GROUPS)])
+def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Profiles of training texts that aren't empty, in whole numbers, so that sums don't depend on their order."""
+    for batch in batches:
+        kept = [np.round(profile(t.lower()) * SCALE).astype("<u2").tobytes() for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and not held_out(None if d == NO_ID else d)]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["data"])
+
+
+def opened_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(-1, 256)
+
+
+def square(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of products of a task's profiles in 16 parts, and in part 16 their sums and number."""
+    products, sums = np.zeros((256, 256), "<i8"), np.zeros(257, "<i8")
+    for x in opened_profiles(batches):
+        for y in np.split(x, range(1 << 12, len(x), 1 << 12)):  # exact in doubles
+            products += (y.astype(np.float64).T @ y.astype(np.float64)).astype(np.int64)
+        sums += np.r_[x.sum(axis=0, dtype=np.int64), len(x)]
+    yield batch_of([*((i, 0, products[16 * i : 16 * i + 16].tobytes()) for i in range(16)), (16, 0, sums.tobytes())])
+
+
+def histogram(axis: np.ndarray) -> Callable:
+    """Numbers of a task's profiles by their place along an axis, which is within -1 and 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(STEPS, "<i8")
+        for x in opened_profiles(batches):
+            total += np.bincount(steps(x, axis), minlength=STEPS)
+        yield batch_of([(0, 0, total.tobytes())])
+
+    return run
+
+
+def steps(x: np.ndarray, axis: np.ndarray) -> np.ndarray:
+    return np.clip(((x / SCALE) @ axis + 1) * (STEPS / 2), 0, STEPS - 1).astype(np.int64)
+
+
+def group_sums(group: Callable) -> Callable:
+    """Sums and number of a task's profiles by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((GROUPS, 257), "<i8")
+        for x in opened_profiles(batches):
+            of = group(x)
+            for k in range(GROUPS):
+                total[k] += np.r_[x[of == k].sum(axis=0, dtype=np.int64), (of == k).sum()]
+        yield batch_of([(k, 0, total[k].tobytes()) for k in range(GROUPS)])
+
+    return run
+
+
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bucket, rows in by_bucket(batches):
+        yield batch_of([(bucket, 0, np.sum([np.frombuffer(d, "<i8") for _, d in rows], axis=0).tobytes())])
+
+
+def centres(shapes: DataFrame) -> np.ndarray:
+    """GROUPS centres of all profiles by k-means, started from even shares along the axis of most variation. Each round is
+    one aggregation, a row a group; no row of a profile reaches the driver."""
+
+    def totals(f: Callable) -> dict[int, np.ndarray]:
+        rows = shapes.mapInArrow(f, ROWS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, ROWS).collect()
+        return {r.bucket: np.frombuffer(r.data, "<i8") for r in rows}
+
+    now, moved = np.zeros((GROUPS, 256)), totals(square)
+    if not moved or not moved[16][-1]:
+        return now
+    n, mean = int(moved[16][-1]), moved[16][:-1] / (SCALE * moved[16][-1])
+    spread = np.concatenate([moved[i] for i in range(16)]).reshape(256, 256) / (SCALE**2 * n) - np.outer(mean, mean)
+    axis = np.linalg.eigh(spread)[1][:, -1]
+    before = np.cumsum(totals(histogram(axis))[0])
+    share = np.minimum((before - 1) * GROUPS // n, GROUPS - 1).clip(0)
+    now[:] = mean
+    group = lambda x: share[steps(x, axis)]
+    for _ in range(ROUNDS + 1):
+        sums, last = totals(group_sums(group)), now.copy()
+        for k, x in sums.items():
+            if x[-1]:
+                now[k] = x[:-1] / (SCALE * x[-1])
+        if (now == last).all():
+            break
+        at = now.copy()
+        group = lambda x, at=at: ((x / SCALE) @ at.T - 0.5 * (at**2).sum(axis=1)).argmax(axis=1)
     return now
 
 
@@ -396,13 +469,7 @@ def score(docs: DataFrame, block_bytes: int = 1 << 22) -> DataFrame:
     theirs = texts.select(block.alias("bucket"), F.lit(1 << 30).alias("kind"), F.lit(None).cast("binary").alias("data"), "doc", "tag", "text")
     gather = lambda df, *by: df.repartition("bucket").sortWithinPartitions("bucket", *by)
 
-    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [(d, profile(t.lower()).astype("<f4").tobytes()) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and not held_out(None if d == NO_ID else d)]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], ["doc", "data"])
-
-    sample = texts.select("doc", "text").mapInArrow(profiles, "doc long, data binary").orderBy(F.xxhash64("doc"), "data").limit(SAMPLE).collect()
-    groups = centres(np.array([np.frombuffer(r.data, "<f4") for r in sample], np.float64).reshape(-1, 256))
+    groups = centres(written(texts.select("doc", "text").mapInArrow(profiles, "data binary")))
     asked = written(gather(theirs, "kind").mapInArrow(count_tokens(n, groups), ROWS))
     release(spark)
     bytes_ = {r.what: r.value for r in asked.mapInArrow(tally, "what long, value long").groupBy("what").agg(F.sum("value").alias("value")).collect()}

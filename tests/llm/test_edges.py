@@ -351,6 +351,19 @@ def test_context_mixing_learns_and_adds_up(spark):
     assert 0 < (10 ** mixer.log10([bytes([b]) for b in range(256) if b != 0x20], code)).sum() <= 1
 
 
+def test_context_mixing_fits_on_all_documents(spark):
+    """Centres are a fixed point of k-means over all profiles, those of more than 2,000 documents too."""
+    kinds = ["".join(chr(97 + 3 * k + j) for j in range(3)) for k in range(8)]
+    texts = [(i, (kinds[0] if i % 1000 else kinds[1 + i // 1000 % 7]) * 5 + " " + "abc"[i % 3]) for i in range(7000)]
+    shapes = spark.createDataFrame([(i, t.encode()) for i, t in texts], "doc long, text binary").mapInArrow(context_mixing.profiles, "data binary").cache()
+    x = np.array([np.frombuffer(r.data, "<u2") for r in shapes.collect()]) / context_mixing.SCALE
+    assert len(x) == sum(not context_mixing.held_out(i) for i, _ in texts) > 2000
+    got = context_mixing.centres(shapes)
+    of = (x @ got.T - 0.5 * (got**2).sum(axis=1)).argmax(axis=1)
+    for k in set(of.tolist()):
+        assert np.allclose(got[k], x[of == k].mean(axis=0))
+
+
 def test_chaining_finds_passages(docs, none):
     got = chaining.passages(docs).collect()
     pairs = {(r.doc_id, r.partner_id) for r in got}
