@@ -1,18 +1,19 @@
-"""LM scoring by logistic context mixing: hashed contexts predict the bits of each token, gated weights combine them.
-
-A text is its tokens: lower-cased words and one end. A token is its bytes and a stop, a byte is the path of a Huffman code.
-Each bit is predicted from counts under several hashed contexts (the bytes before it inside the token, and its place); the
-predictions are stretched, combined by weights that a gate selects, and refined by an adaptive map. The counts come from
-all distinct training tokens; weights and map are learned online over them, each token left out of the counts that predict
-it, so they suit tokens never seen.
-
-This spells what is rare. Ahead of it stand GROUPS experts, each with the discounted frequencies of whole tokens in one
-group of training documents (groups of like byte frequencies: languages, mostly). A text's probability is the mixture of
-the experts' products: the weights of the experts move with each token as Bayes' rule has it, and start with the groups'
-shares.
-
-A token's probability under an expert depends on the token only, so each distinct token of a block of documents is counted
-and spelled once, however often it occurs.
+"""LM scoring by online logistic context mixing: every bit of every token occurrence is predicted and mixed.
+
+A text is its tokens: lower-cased words and one end. A token is a code word: the path of a Huffman code over the training
+vocabulary, where a token with at least 1 / FREQUENT of all training tokens has a leaf of its own, the others share a leaf
+with those of like frequency (a power of two), below which their number in that class is coded, bit by bit. Tokens that no
+other training occurrence has take an escape and are spelled, byte by byte, from hashed contexts inside the token.
+
+Each bit has three predictors: order 0 (the share of either side in the code), order 1 (counts after the token before) and
+order 2 (counts after the two tokens before). Counts are those of all training documents, an occurrence in training itself
+left out. Predictions are stretched and combined by weights which a gate selects (how much either context has seen);
+an adaptive map refines the result, and weights and map learn online from the bits of training documents. Where
+no context has seen a prefix any more, the rest of the path costs what order 0 says.
+
+Steps, each one shuffle: blocks of documents ask for their distinct tokens' counts; buckets of tokens number and spell them;
+blocks send each occurrence to the bucket of its context; such a bucket counts, mixes, and returns sums by document;
+blocks add up. Buckets are decided by ids, tokens and bytes of input alone, so scores don't depend on the cluster.
 """
 
 from __future__ import annotations
@@ -21,58 +22,248 @@ import heapq
 import math
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import NO_ID, ROWS, batch_of, by_bucket, release, with_texts
+from .blobs import ROWS, batch_of, by_bucket
 from .common import documents, whole, written
+from .suffix_dedup import Grams
 
-#: Bits of a slot number, contexts, depth of the code, bytes of tokens modelled at once, tokens of one online step.
-SLOT_BITS, ORDERS, MOST_BITS, AT_ONCE, STEP = 21, 5, 20, 1 << 18, 4096
-#: Bins of the refining map, the counts added to both sides, the rate of the weights.
-BINS, ADD, RATE = 32, 0.3, 0.02
-#: Experts, rounds of fitting their centres, what a profile's share of 1 is stored as, bins of a histogram; the discount of a count, and the share of all-group frequencies in what it frees.
-GROUPS, ROUNDS, SCALE, STEPS, DISCOUNT, COMMON = 8, 25, 65535, 1 << 14, 0.75, 0.3
-STOP, END = 0x20, b"\n"  # neither occurs in a word
 FOLDS, HELD = 7, 2
+#: Share of training tokens from which a token has its own leaf; longest Huffman path; bits of a code word that contexts predict.
+FREQUENT, MOST_BITS, DEPTH = 4096, 16, 32
+#: Occurrences of a context token in one class of it; records mixed at once; bytes tokenised at once.
+CAP, CHUNK, AT_ONCE = 1 << 16, 1 << 16, 1 << 20
+#: What the lower order counts for in a higher one, by its number of occurrences; rate of the weights; bins of the map.
+PRIOR, RATE, BINS = (2.0, 0.5), 0.25, 32
+#: Contexts of spelling, bits of their slots, tokens' bytes spelled at once, counts added to both sides.
+ORDERS, SLOT_BITS, SPELLED, ADD = 5, 19, 1 << 18, 0.3
+CLASSES = 64
+STOP = 0x20
+#: ASCII bytes in lower case, and which are white space.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Confidence in counts up to 31, of which gates are made.
+TRUST = np.array([0, 1, 2, 2, *[3] * 8, *[4] * 20], np.int8)
+GATES = 25
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == HELD if doc_id is not None else False
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Byte by byte of all values, which compresses better."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+class Reader:
+    """Takes arrays from packed bytes, in the order they were put."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def number(self) -> int:
+        self.at += 4
+        return struct.unpack_from("<I", self.data, self.at - 4)[0]
+
+    def take(self, n: int, kind: str) -> np.ndarray:
+        step = np.dtype(kind).itemsize
+        raw = np.frombuffer(self.data, np.uint8, n * step, self.at).reshape(step, n)
+        self.at += n * step
+        return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+    def rest(self) -> np.ndarray:
+        return np.frombuffer(self.data, np.uint8, offset=self.at)
+
+
+def token_hashes(grams: Grams, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    grams._powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(grams.value[raw] * grams.up[: len(raw)], out=sums[1:])
+    return grams.mix((sums[ends] - sums[starts]) * grams.down[starts])
+
+
+class Block:
+    """A block's documents by id and text, with all their tokens."""
+
+    def __init__(self, grams: Grams, docs: list[tuple[int | None, bytes]]):
+        docs.sort(key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+        self.docs = docs
+        self.held = np.array([held_out(d) for d, _ in docs], bool)
+        self.sizes = np.array([len(t) for _, t in docs], np.int64)
+        raws, hashes, starts, lengths, counts = [], [], [], [], []
+        at, first, size = 0, 0, 0
+        for i, (_, text) in enumerate(docs):
+            size += len(text) + 1
+            if size >= AT_ONCE or i == len(docs) - 1:
+                raw, s, e, n = self._split([t for _, t in docs[first : i + 1]])
+                raws.append(raw)
+                hashes.append(token_hashes(grams, raw, s, e))
+                starts.append((s + at).astype(np.uint32))
+                lengths.append((e - s).astype(np.uint32))
+                counts.append(n)
+                at, first, size = at + len(raw), i + 1, 0
+        self.raw, self.hash, self.start, self.length, self.n = (np.concatenate(x) for x in (raws, hashes, starts, lengths, counts))
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.uint32), self.n)
+        self.order = np.argsort(self.hash)
+        s = self.hash[self.order]
+        self.head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        self.distinct = s[self.head]
+
+    @staticmethod
+    def _split(texts: list[bytes]):
+        """(bytes in lower case with a line end after each text, starts, ends, tokens a text); that line end is the end."""
+        raw = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+        word = np.r_[False, ~WHITE[raw]]
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        s, e = edge[0::2], edge[1::2]
+        stop = np.cumsum([len(t) + 1 for t in texts]) - 1
+        before = np.searchsorted(s, stop)
+        n = np.diff(before, prepend=0) + 1
+        ends = np.cumsum(n) - 1
+        starts = np.empty(len(s) + len(texts), np.int64)
+        is_end = np.zeros(len(starts), bool)
+        is_end[ends] = True
+        stops = np.empty_like(starts)
+        starts[is_end], stops[is_end] = stop, stop + 1
+        starts[~is_end], stops[~is_end] = s, e
+        return raw, starts, stops, n
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the distinct tokens by bucket, where each bucket's begin)"""
+        of = (self.distinct >> np.uint64(40)) % np.uint64(buckets)
+        by = np.argsort(of, kind="stable")
+        return by, np.searchsorted(of[by], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def gathered(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of slices, end to end."""
+    length = length.astype(np.int64)
+    return raw[np.repeat(start.astype(np.int64) - np.cumsum(length) + length, length) + np.arange(length.sum())]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], grams: Grams) -> Iterator[tuple[int, list[tuple[int, bytes]], Block]]:
+    """(block, rows for it by kind, its documents) of rows (bucket, kind, data, doc, text) sorted by bucket."""
+    now, rows, docs = None, [], []
+    for batch in batches:
+        for b, k, d, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != now and docs:
+                yield now, sorted(rows), Block(grams, docs)
+            if b != now:
+                now, rows, docs = b, [], []
+            if text is None:
+                rows.append((k, d))
+            else:
+                docs.append((doc, text))
+    if docs:
+        yield now, sorted(rows), Block(grams, docs)
+
+
+def ask(buckets: int) -> Callable:
+    """Blocks to their distinct tokens with training counts, dealt to buckets of tokens; kind names the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for block, _, b in blocks(batches, grams):
+            counts = np.add.reduceat((~b.held)[b.doc[b.order]], b.head, dtype=np.uint32)
+            some = b.order[b.head]
+            by, cut = b.dealt(buckets)
+            for k in range(buckets):
+                if cut[k] < cut[k + 1]:
+                    mine = by[cut[k] : cut[k + 1]]
+                    length = b.length[some[mine]]
+                    yield batch_of([(k, block, struct.pack("<I", len(mine)) + planes(length) + planes(counts[mine]) + gathered(b.raw, b.start[some[mine]], length).tobytes())])
+
+    return run
+
+
+# Spelling.
+
+
 class Code:
     """A Huffman code of bytes from their counts: for each byte the inner nodes on its path and the bits taken there."""
 
     def __init__(self, counts: np.ndarray):
-        floor = max(1, int(counts.sum()) >> 16)  # so that no path is longer than MOST_BITS allows
-        heap = [(int(max(c, floor)), b, b) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        parent, side, node = {}, {}, 256
-        while len(heap) > 1:
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x], parent[y], side[x], side[y] = node, node, 0, 1
-            heapq.heappush(heap, (a + b, node, node))
-            node += 1
-        paths = []
-        for b in range(256):
-            path, x = [], b
-            while x in parent:
-                path.append((parent[x] - 256, side[x]))
-                x = parent[x]
-            paths.append(path[::-1])
-        self.depth = max(map(len, paths))
-        self.n = np.array([*map(len, paths)], np.int8)
+        paths = huffman(np.maximum(counts, max(1, int(counts.sum()) >> 14)))
+        self.depth = max(n for n, _ in paths)
+        self.n = np.array([n for n, _ in paths], np.int8)
         self.nodes, self.bits = np.zeros((256, self.depth), np.uint64), np.zeros((256, self.depth), np.int8)
-        for b, path in enumerate(paths):
-            for d, (x, s) in enumerate(path):
-                self.nodes[b, d], self.bits[b, d] = x, s
+        for b, (n, code) in enumerate(paths):
+            for d in range(n):
+                self.nodes[b, d], self.bits[b, d] = (1 << d) | (code >> (n - d)), code >> (n - d - 1) & 1
+
+
+def huffman(weights: np.ndarray) -> list[tuple[int, int]]:
+    """(length, code) of each symbol; ties by place, so that equal weights give equal codes everywhere."""
+    heap = [(int(w), i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    children, node = {}, len(heap)
+    while len(heap) > 1:
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        children[node] = (x, y)
+        heapq.heappush(heap, (a + b, node))
+        node += 1
+    out, todo = [(0, 0)] * len(weights), [(heap[0][1], 0, 0)]
+    while todo:
+        x, n, code = todo.pop()
+        if x in children:
+            todo += [(children[x][0], n + 1, 2 * code), (children[x][1], n + 1, 2 * code + 1)]
+        else:
+            out[x] = (n, code)
+    return out
+
+
+def spelling(raw: np.ndarray, lengths: np.ndarray, seen: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Bits that the wanted ones of distinct tokens (bytes end to end) cost to spell, in their order.
+
+    Counts by slot (context, place in the byte's code) come from all tokens that training has seen, each of them once and
+    the token itself left out; weights and map learn online from those among the wanted ones.
+    """
+    grown = np.empty(len(raw) + len(lengths), np.uint8)
+    stops = np.cumsum(lengths.astype(np.int64) + 1) - 1
+    is_stop = np.zeros(len(grown), bool)
+    is_stop[stops] = True
+    grown[is_stop], grown[~is_stop] = STOP, raw
+    of = np.repeat(np.arange(len(lengths)), lengths.astype(np.int64) + 1)
+    code = Code(np.bincount(grown[seen[of]], minlength=256))
+    cuts = [0]
+    for i in np.flatnonzero(np.diff(stops // SPELLED)) + 1:
+        cuts.append(int(i))
+    cuts = sorted({*cuts, len(lengths)})
+    parts = [(a, b, (stops[a - 1] + 1 if a else 0), stops[b - 1] + 1) for a, b in zip(cuts[:-1], cuts[1:])]
+    table = np.zeros((ORDERS, 2 << SLOT_BITS), np.int32)
+    for _, _, x, y in parts:
+        hashes = spelled(grown[x:y])
+        for live, bits, slots in bit_slots(code, grown[x:y], hashes):
+            good = seen[of[x:y][live]]
+            for k in range(ORDERS):
+                at, n = np.unique(slots[k][good] * 2 + bits[good], return_counts=True)
+                table[k, at] += n.astype(np.int32)
+    mixer, out = Mixer(ORDERS + 1, np.r_[np.linspace(0.1, 0.5, ORDERS), 0.0], ORDERS + 1), np.zeros(len(lengths))
+    for a, b, x, y in parts:
+        if not wanted[a:b].any():
+            continue
+        mine = np.flatnonzero(wanted[of[x:y]])
+        part, own = grown[x:y], of[x:y]
+        hashes = spelled(part)
+        part, own, hashes = part[mine], own[mine], hashes[:, mine]
+        for live, bits, slots in bit_slots(code, part, hashes):
+            t = seen[own[live]].astype(np.float32)
+            n = np.stack([table[k, slots[k][:, None] * 2 + np.arange(2)] for k in range(ORDERS)]).astype(np.float32)
+            n[:, np.arange(len(live)), bits] -= t
+            np.maximum(n, 0, out=n)
+            total = n.sum(axis=2)
+            inputs = np.vstack([np.log((n[..., 1] + ADD) / (n[..., 0] + ADD)), np.ones((1, len(live)), np.float32)])
+            gate = (total[1:] >= 4).sum(axis=0) + (total[0] > 0)
+            np.add.at(out, own[live], mixer.cost(inputs, gate, bits.astype(bool), t))
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,12 +272,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, token of each byte, hash of each byte's contexts [ORDERS, bytes])."""
-    raw = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
-    of = np.cumsum(np.r_[0, raw[:-1] == STOP])
-    lengths = np.bincount(of, minlength=len(tokens))
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+def spelled(raw: np.ndarray) -> np.ndarray:
+    """Hashes of each byte's contexts [ORDERS, bytes]: its place, and up to four bytes before it inside the token."""
+    at = np.arange(len(raw))
+    place = at - np.maximum.accumulate(np.where(np.r_[True, raw[:-1] == STOP], at, 0))
     context, hashes = np.zeros(len(raw), np.uint64), np.empty((ORDERS, len(raw)), np.uint64)
     hashes[0] = mix(np.minimum(place, 12).astype(np.uint64))
     for k in range(1, ORDERS):
@@ -94,7 +283,7 @@ def spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         before[k:] = raw[:-k]
         context |= np.where(place >= k, before, np.uint64(0)) << np.uint64(8 * (k - 1))
         hashes[k] = mix(context + (np.uint64(k) << np.uint64(56)))
-    return raw, of, hashes
+    return hashes
 
 
 def bit_slots(code: Code, raw: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,395 +298,407 @@ def bit_slots(code: Code, raw: np.ndarray, hashes: np.ndarray) -> Iterator[tuple
 
 
 class Mixer:
-    """Gated weights and a refining map over predictions from a table of counts [slot, bit]."""
+    """Gated weights over stretched predictions, and a map by gate and bin of what they make; both learn after each step."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        self.table = table
-        self.weights = np.tile(np.r_[np.linspace(0.1, 0.5, ORDERS), 0.0], (ORDERS + 1, 1)) if weights is None else weights.copy()
-        # Counts of zeros and ones by gate and bin of the mixed prediction, at first as if it were right.
+    def __init__(self, inputs: int, weights: np.ndarray, gates: int):
+        self.gates, self.weights = gates, np.tile(weights.astype(np.float32), (gates, 1)).T.copy()
         centre = 1 / (1 + np.exp(-(np.arange(BINS) + 0.5 - BINS / 2) / 2))
-        self.refined = np.tile(np.stack([1 - centre, centre], 1) * 64, (ORDERS + 1, 1, 1)) if refined is None else refined.copy()
-        self.squares = np.full_like(self.weights, 1.0)
-
-    def predict(self, bits: np.ndarray, slots: np.ndarray, left_out: np.ndarray | None):
-        n = self.table[slots].astype(np.float64)
-        if left_out is not None:
-            n[np.arange(ORDERS)[:, None], np.arange(len(bits)), bits] -= left_out
-            np.maximum(n, 0, out=n)
-        total = n[..., 0] + n[..., 1]
-        inputs = np.log((n[..., 1] + ADD) / (n[..., 0] + ADD))
-        gate = (total[1:] >= 4).sum(axis=0) + (total[0] > 0)
-        inputs = np.vstack([inputs, np.ones(len(bits))])
-        dot = np.clip((self.weights[gate].T * inputs).sum(axis=0), -15.9, 15.9)
-        bin_ = np.clip(np.floor(dot * 2 + BINS / 2), 0, BINS - 1).astype(np.int64)
-        r = self.refined[gate, bin_]
-        p = np.clip(0.5 / (1 + np.exp(-dot)) + 0.5 * r[:, 1] / r.sum(axis=1), 1e-7, 1 - 1e-7)
-        return p, dot, inputs, gate, bin_
-
-    def learn(self, bits: np.ndarray, slots: np.ndarray, weight: np.ndarray) -> None:
-        for i in range(0, len(bits), STEP):
-            b, w = bits[i : i + STEP], weight[i : i + STEP]
-            _, dot, inputs, gate, bin_ = self.predict(b, slots[:, i : i + STEP], np.ones(len(b)))
-            error = (b - 1 / (1 + np.exp(-dot))) * w
-            for g in np.unique(gate):
-                at = gate == g
-                slope = inputs[:, at] @ error[at] / w[at].sum()
-                self.squares[g] += slope**2
-                self.weights[g] += RATE * 4 * slope / np.sqrt(self.squares[g])
-            np.add.at(self.refined, (gate, bin_, b), w)
-
-    def log10(self, tokens: list[bytes], code: Code) -> np.ndarray:
-        raw, of, hashes = spelled(tokens)
-        cost = np.zeros(len(raw))
-        for live, bits, slots in bit_slots(code, raw, hashes):
-            p = self.predict(bits, slots, None)[0]
-            cost[live] += np.log10(np.where(bits == 1, p, 1 - p))
-        return np.bincount(of, cost, len(tokens))
-
-
-def parts(tokens: list[bytes]) -> Iterator[slice]:
-    start, size = 0, 0
-    for i, t in enumerate(tokens):
-        size += len(t) + 1
-        if size >= AT_ONCE:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(tokens):
-        yield slice(start, len(tokens))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def dealt_tokens(tokens: dict[bytes, int], n: int) -> dict[int, list[bytes]]:
-    """Tokens by bucket, in the order of their bytes: a block deals the same way when the replies come."""
-    out: dict[int, list[bytes]] = {}
-    for t in sorted(tokens):
-        out.setdefault(zlib.crc32(t) % n, []).append(t)
-    return out
-
-
-def profile(text: bytes) -> np.ndarray:
-    """Square roots of the shares of bytes."""
-    raw = np.frombuffer(text, np.uint8)
-    return np.sqrt(np.bincount(raw, minlength=256) / max(1, len(raw)))
-
-
-def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Profiles of training texts that aren't empty, in whole numbers, so that sums don't depend on their order."""
-    for batch in batches:
-        kept = [np.round(profile(t.lower()) * SCALE).astype("<u2").tobytes() for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and not held_out(None if d == NO_ID else d)]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["data"])
-
-
-def opened_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    for batch in batches:
-        yield np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(-1, 256)
-
-
-def square(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of products of a task's profiles in 16 parts, and in part 16 their sums and number."""
-    products, sums = np.zeros((256, 256), "<i8"), np.zeros(257, "<i8")
-    for x in opened_profiles(batches):
-        for y in np.split(x, range(1 << 12, len(x), 1 << 12)):  # exact in doubles
-            products += (y.astype(np.float64).T @ y.astype(np.float64)).astype(np.int64)
-        sums += np.r_[x.sum(axis=0, dtype=np.int64), len(x)]
-    yield batch_of([*((i, 0, products[16 * i : 16 * i + 16].tobytes()) for i in range(16)), (16, 0, sums.tobytes())])
-
-
-def histogram(axis: np.ndarray) -> Callable:
-    """Numbers of a task's profiles by their place along an axis, which is within -1 and 1."""
+        self.refined = np.tile(np.stack([1 - centre, centre], 1) * 64, (gates, 1, 1)).reshape(-1, 2)
+
+    def cost(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, learn: np.ndarray) -> np.ndarray:
+        """Bits of information of each bit; learn: the share with which it counts for the weights."""
+        dot = np.zeros(len(bit), np.float32)
+        for w, x in zip(self.weights, inputs):
+            dot += w[gate] * x
+        np.clip(dot, -15.9, 15.9, out=dot)
+        p = 1 / (1 + np.exp(-dot))
+        cell = gate * BINS + np.clip(dot * 2 + BINS / 2, 0, BINS - 1).astype(np.int64)
+        ratio = (self.refined[:, 1] / self.refined.sum(axis=1)).astype(np.float32)
+        final = np.clip(0.5 * (p + ratio[cell]), 1e-5, 1 - 1e-5)
+        out = -np.log2(np.where(bit, final, 1 - final))
+        n = np.bincount(gate, learn, self.gates)
+        if n.any():
+            error = (bit - p) * learn
+            scale = RATE / np.maximum(n, 16)
+            for w, x in zip(self.weights, inputs):
+                w += np.clip(np.bincount(gate, error * x, self.gates) * scale, -0.1, 0.1)
+            self.refined[:, 1] += np.bincount(cell, learn * bit, self.gates * BINS)
+            self.refined[:, 0] += np.bincount(cell, learn * ~bit, self.gates * BINS)
+        return out
+
+
+def number(buckets: int) -> Callable:
+    """A bucket's requests to replies (block, bucket, data): count, number in its class, and spelling of those seen once
+    or never, in the order each block asked. Kind -1: what the bucket holds by class; kind -2: its frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(STEPS, "<i8")
-        for x in opened_profiles(batches):
-            total += np.bincount(steps(x, axis), minlength=STEPS)
-        yield batch_of([(0, 0, total.tobytes())])
-
-    return run
-
-
-def steps(x: np.ndarray, axis: np.ndarray) -> np.ndarray:
-    return np.clip(((x / SCALE) @ axis + 1) * (STEPS / 2), 0, STEPS - 1).astype(np.int64)
-
-
-def group_sums(group: Callable) -> Callable:
-    """Sums and number of a task's profiles by group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((GROUPS, 257), "<i8")
-        for x in opened_profiles(batches):
-            of = group(x)
-            for k in range(GROUPS):
-                total[k] += np.r_[x[of == k].sum(axis=0, dtype=np.int64), (of == k).sum()]
-        yield batch_of([(k, 0, total[k].tobytes()) for k in range(GROUPS)])
-
-    return run
-
-
-def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, rows in by_bucket(batches):
-        yield batch_of([(bucket, 0, np.sum([np.frombuffer(d, "<i8") for _, d in rows], axis=0).tobytes())])
-
-
-def centres(shapes: DataFrame) -> np.ndarray:
-    """GROUPS centres of all profiles by k-means, started from even shares along the axis of most variation. Each round is
-    one aggregation, a row a group; no row of a profile reaches the driver."""
-
-    def totals(f: Callable) -> dict[int, np.ndarray]:
-        rows = shapes.mapInArrow(f, ROWS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, ROWS).collect()
-        return {r.bucket: np.frombuffer(r.data, "<i8") for r in rows}
-
-    now, moved = np.zeros((GROUPS, 256)), totals(square)
-    if not moved or not moved[16][-1]:
-        return now
-    n, mean = int(moved[16][-1]), moved[16][:-1] / (SCALE * moved[16][-1])
-    spread = np.concatenate([moved[i] for i in range(16)]).reshape(256, 256) / (SCALE**2 * n) - np.outer(mean, mean)
-    axis = np.linalg.eigh(spread)[1][:, -1]
-    before = np.cumsum(totals(histogram(axis))[0])
-    share = np.minimum((before - 1) * GROUPS // n, GROUPS - 1).clip(0)
-    now[:] = mean
-    group = lambda x: share[steps(x, axis)]
-    for _ in range(ROUNDS + 1):
-        sums, last = totals(group_sums(group)), now.copy()
-        for k, x in sums.items():
-            if x[-1]:
-                now[k] = x[:-1] / (SCALE * x[-1])
-        if (now == last).all():
-            break
-        at = now.copy()
-        group = lambda x, at=at: ((x / SCALE) @ at.T - 0.5 * (at**2).sum(axis=1)).argmax(axis=1)
-    return now
-
-
-def count_tokens(n: int, groups: np.ndarray) -> Callable:
-    """Blocks of texts to their distinct tokens with training counts by group, dealt to buckets; kind names the block."""
-    half = 0.5 * (groups**2).sum(axis=1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, texts in with_texts(batches):
-            counts, seen = [Counter() for _ in range(GROUPS)], {END}
-            for doc, _, text in texts:
-                words = words_of(text)
-                seen.update(words)
-                if not held_out(None if doc == NO_ID else doc):
-                    mine = counts[int((groups @ profile(text.lower()) - half).argmax())]
-                    mine.update(words)
-                    mine[END] += 1
-            groups_of = dealt_tokens(seen, n)
-            at = {t: i for i, t in enumerate(t for mine in groups_of.values() for t in mine)}
-            table, start = np.zeros((GROUPS, len(at)), "<u4"), 0
-            for k, c in enumerate(counts):
-                table[k, np.fromiter(map(at.__getitem__, c), np.int64, len(c))] = np.fromiter(c.values(), np.int64, len(c))
-            for bucket, mine in groups_of.items():
-                own = table[:, start : start + len(mine)]
-                start += len(mine)
-                yield batch_of([(bucket, block, struct.pack("<I", len(mine)) + own.tobytes() + b" ".join(mine))])
+        grams = Grams()
+        for bucket, rows in by_bucket(batches):
+            rows.sort(key=lambda r: r[0])
+            sizes, lengths, counts, raws, hashes = [], [], [], [], []
+            for _, data in rows:
+                r = Reader(data)
+                m = r.number()
+                n, c, raw = r.take(m, "<u4"), r.take(m, "<u4"), r.rest()
+                end = np.cumsum(n.astype(np.int64))
+                sizes.append(m)
+                lengths.append(n)
+                counts.append(c)
+                raws.append(raw)
+                hashes.append(token_hashes(grams, raw, end - n, end))
+            lengths, counts, raw, h = (np.concatenate(x) for x in (lengths, counts, raws, hashes))
+            order = np.argsort(h)
+            head = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+            place = np.empty(len(h), np.int64)
+            place[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
+            total = np.add.reduceat(counts[order].astype(np.int64), head)
+            kind = np.frexp(np.maximum(total, 1).astype(np.float64))[1] - 1
+            by = np.argsort(kind, kind="stable")
+            first = np.searchsorted(kind[by], np.arange(CLASSES))
+            index = np.empty(len(total), np.uint32)
+            index[by] = np.arange(len(by)) - first[kind[by]]
+            some = order[head]
+            starts = np.cumsum(lengths.astype(np.int64)) - lengths
+            rare = total <= 1
+            bits = spelling(gathered(raw, starts[some], lengths[some]), lengths[some], total > 0, rare).astype("<f4")
+            at = 0
+            for (block, _), m in zip(rows, sizes):
+                mine = place[at : at + m]
+                at += m
+                yield batch_of([(block, bucket, struct.pack("<I", m) + planes(total[mine]) + planes(index[mine]) + planes(bits[mine][rare[mine]]))])
+            stats = np.zeros((3, CLASSES), np.int64)
+            stats[0], stats[1] = (np.bincount(kind[total > 0], w, CLASSES) for w in (None, total[total > 0]))
+            stats[2] = stats[0]
+            often = np.flatnonzero(total * FREQUENT >= max(1, int(total.sum())))
+            yield batch_of([(-1, -1, stats.tobytes()), *((-1, -2, struct.pack(">QQ", int(total[i]), int(h[some[i]]))) for i in often)])
 
     return run
 
 
-def opened(data: bytes) -> tuple[list[bytes], np.ndarray]:
-    """(tokens, counts [GROUPS, tokens])"""
-    (n,) = struct.unpack_from("<I", data)
-    return data[4 + 4 * n * GROUPS :].split(b" "), np.frombuffer(data, "<u4", n * GROUPS, 4).reshape(GROUPS, n)
-
-
-def summed(rows: list[tuple[int, bytes]]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """(distinct tokens, their counts [GROUPS, tokens], the place of each row's tokens among them)"""
-    at: dict[bytes, int] = {}
-    places, tables = [], []
-    for _, data in rows:
-        tokens, counts = opened(data)
-        places.append(np.array([at.setdefault(t, len(at)) for t in tokens], np.int64))
-        tables.append(counts)
-    total = np.zeros((GROUPS, len(at)), np.int64)
-    for place, counts in zip(places, tables):
-        total[:, place] += counts  # a row names a token once
-    return [*at], total, places
-
-
-def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(what, value): training counts of each byte (0 to 255, the stop's being all tokens), for the code."""
-    total = np.zeros(256, np.int64)
+def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = np.zeros((3, CLASSES), np.int64)
     for batch in batches:
-        for data in batch.column(2).to_pylist():
-            tokens, counts = opened(data)
-            counts = counts.sum(axis=0)
-            raw = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
-            of = np.cumsum(np.r_[0, raw[:-1] == STOP])
-            total += np.bincount(raw, counts[of], 256).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["what", "value"])
-
-
-def count_slots(code: Code, n: int) -> Callable:
-    """Distinct training tokens to counts of bits by slot, summed over all of a task's buckets, dealt by slot. Bucket n
-    holds the training tokens and the distinct ones, by group and in all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sizes = np.zeros(2 << SLOT_BITS, np.int64), np.zeros((2, GROUPS + 1), np.int64)
-        for _, rows in by_bucket(batches):
-            tokens, counts, _ = summed(rows)
-            total = counts.sum(axis=0)
-            sizes += np.array([[*x.sum(axis=1), y] for x, y in ((counts, total.sum()), (counts > 0, (total > 0).sum()))])
-            tokens = [t for t, c in zip(tokens, total) if c]
-            for part in parts(tokens):
-                raw, _, hashes = spelled(tokens[part])
-                for _, bits, slots in bit_slots(code, raw, hashes):
-                    for k in range(ORDERS):
-                        np.add.at(table, slots[k] * 2 + bits, 1)
-        used = np.flatnonzero(table)
-        rows, at = [], np.searchsorted(used, np.linspace(0, 2 << SLOT_BITS, n + 1).astype(np.int64))
-        for b in range(n):
-            mine = used[at[b] : at[b + 1]]
-            if len(mine):
-                rows.append((b, 0, struct.pack("<I", len(mine)) + mine.astype("<u4").tobytes() + table[mine].astype("<i8").tobytes()))
-        yield batch_of([*rows, (n, 1, sizes.astype("<i8").tobytes())])
-
-    return run
-
-
-def sum_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, rows in by_bucket(batches):
-        if rows[0][0]:
-            yield batch_of([(bucket, 1, np.sum([np.frombuffer(d, "<i8") for _, d in rows], axis=0).astype("<i8").tobytes())])
-            continue
-        at = np.concatenate([np.frombuffer(d, "<u4", struct.unpack_from("<I", d)[0], 4) for _, d in rows])
-        value = np.concatenate([np.frombuffer(d, "<i8", (m := struct.unpack_from("<I", d)[0]), 4 + 4 * m) for _, d in rows])
-        slots, inverse = np.unique(at, return_inverse=True)
-        total = np.zeros(len(slots), np.int64)
-        np.add.at(total, inverse, value)
-        yield batch_of([(bucket, 0, slots.astype("<u4").tobytes() + np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes())])
-
-
-def fit(code: Code, table: Broadcast) -> Callable:
-    """Weights and maps learned online over a task's distinct training tokens."""
+        for d in batch.column(2).to_pylist():
+            x = np.frombuffer(d, np.int64).reshape(out.shape)
+            out = np.stack([out[0] + x[0], out[1] + x[1], np.maximum(out[2], x[2])])
+    yield batch_of([(0, 0, out.tobytes())])
+
+
+@dataclass
+class Vocabulary:
+    """The code: leaves are the escape, frequent tokens, and classes of like frequency. At most FREQUENT + CLASSES leaves."""
+
+    tokens: int  # training tokens
+    distinct: int
+    frequent: np.ndarray  # hashes, sorted
+    own: np.ndarray  # leaf of each
+    leaf: np.ndarray  # leaf of each class, -1: none
+    size: np.ndarray  # bits of a leaf's path
+    code: np.ndarray
+    more: np.ndarray  # bits of the number below it
+    bits: np.ndarray  # what a token of the leaf costs at order 0
+
+    @classmethod
+    def of(cls, stats: np.ndarray, found: list[tuple[int, int]], buckets: int) -> Vocabulary:
+        number, mass, most = stats
+        n = int(mass.sum())
+        found = [(c, h) for c, h in found if c > 1 and c * FREQUENT >= n]
+        number, mass = number.copy(), mass.copy()
+        for c, _ in found:
+            number[c.bit_length() - 1] -= 1
+            mass[c.bit_length() - 1] -= c
+        classes = [q for q in range(1, CLASSES) if number[q] > 0]
+        weights = np.array([max(1, int(mass[0])), *(c for c, _ in found), *(int(mass[q]) for q in classes)], np.int64)
+        if len(weights) == 1:
+            weights = np.append(weights, 1)  # so that there is a bit
+        floor = max(1, int(weights.sum()) >> 13)
+        while max(s for s, _ in huffman(np.maximum(weights, floor))) > MOST_BITS:
+            floor *= 2
+        paths = huffman(np.maximum(weights, floor))
+        more, leaf = np.zeros(len(weights), np.int64), np.full(CLASSES, -1, np.int64)
+        for i, q in enumerate(classes, 1 + len(found)):
+            more[i], leaf[q] = (int(most[q]) * buckets - 1).bit_length(), i
+        hashes = np.array([h for _, h in found], np.uint64)
+        by = np.argsort(hashes)
+        size, code = np.array([s for s, _ in paths]), np.array([c for _, c in paths], np.uint64)
+        return cls(n, int(stats[0].sum()), hashes[by], by + 1, leaf, size, code, more, -np.log2(weights / weights.sum()) + more)
+
+    def words(self, hashes: np.ndarray, total: np.ndarray, index: np.ndarray, bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the first DEPTH bits of each token's code word, left-aligned; its bits at order 0, without spelling)"""
+        kind = np.frexp(np.maximum(total, 1).astype(np.float64))[1] - 1
+        leaf = np.where(total > 1, self.leaf[kind], 0)
+        below = index.astype(np.uint64) * np.uint64(buckets) + bucket.astype(np.uint64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+            mine = (self.frequent[at] == hashes) & (total > 1)
+            leaf = np.where(mine, self.own[at], leaf)
+        size, more = self.size[leaf], self.more[leaf]
+        below = np.where(more > 0, below, np.uint64(0))
+        word = (self.code[leaf] << (64 - size).astype(np.uint64)) | (below << (64 - size - more).astype(np.uint64) if len(below) else below)
+        return (word >> np.uint64(64 - DEPTH)).astype(np.uint32), self.bits[leaf]
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bits of a code word by its first MOST_BITS bits; share of the right side at each inner node, by heap place)"""
+        lengths, right = np.zeros(1 << MOST_BITS, np.uint8), np.full(2 << MOST_BITS, 0.5, np.float32)
+        shares = 2.0 ** -(self.bits - self.more)
+        mass = np.zeros(2 << MOST_BITS)
+        for s, c, m, x in zip(self.size.tolist(), self.code.tolist(), self.more.tolist(), shares.tolist()):
+            lengths[c << (MOST_BITS - s) : (c + 1) << (MOST_BITS - s)] = min(DEPTH, s + m)
+            node = (1 << s) | c
+            while node > 1:
+                mass[node] += x
+                node >>= 1
+        inner = np.arange(1, 1 << MOST_BITS)
+        both = mass[2 * inner] + mass[2 * inner + 1]
+        right[inner] = np.where(both > 0, np.clip(mass[2 * inner + 1] / np.where(both > 0, both, 1), 1e-6, 1 - 1e-6), 0.5)
+        return lengths, right
+
+
+def send(n: int, buckets: int, vocabulary: Vocabulary) -> Callable:
+    """Blocks and the replies to them to occurrences, dealt to the buckets of their contexts, and what each block knows of
+    its documents (kind below 0)."""
+    norm = math.log10(vocabulary.tokens + vocabulary.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = Mixer(table.value), 0
-        blank = mixer.refined.copy()
-        for _, rows in by_bucket(batches):
-            tokens, counts, _ = summed(rows)
-            tokens = sorted((t for t, c in zip(tokens, counts.sum(axis=0)) if c), key=zlib.adler32)
-            seen += len(tokens)
-            for part in parts(tokens):
-                raw, _, hashes = spelled(tokens[part])
-                for live, bits, slots in bit_slots(code, raw, hashes):
-                    mixer.learn(bits, slots, np.ones(len(live)))
-        yield batch_of([(0, 0, struct.pack("<d", float(seen)) + (mixer.weights * seen).tobytes() + (mixer.refined - blank).tobytes())] if seen else [])
+        grams = Grams()
+        end = token_hashes(grams, np.array([10], np.uint8), np.array([0]), np.array([1]))[0]
+        for block, rows, b in blocks(batches, grams):
+            by, cut = b.dealt(buckets)
+            total, index, spell = np.zeros(len(by), np.int64), np.zeros(len(by), np.uint32), np.zeros(len(by))
+            bucket = np.zeros(len(by), np.int64)
+            for k, data in rows:
+                r, mine = Reader(data), by[cut[k] : cut[k + 1]]
+                m = r.number()
+                total[mine], index[mine], bucket[mine] = r.take(m, "<i8"), r.take(m, "<u4"), k
+                rare = mine[total[mine] <= 1]
+                spell[rare] = r.take(len(rare), "<f4")
+            word, bits = vocabulary.words(b.distinct, total, index, bucket, buckets)
+            bits = bits + spell
+            group = np.empty(len(b.hash), np.int64)
+            group[b.order] = np.repeat(np.arange(len(b.head)), np.diff(np.append(b.head, len(b.hash))))
+            last = np.cumsum(b.n)
+            sums = lambda x: np.add.reduceat(x[group], last - b.n)
+            known, base, cost = sums((total > 0).astype(np.int64)), sums(np.log10(total + 1.0) - norm), sums(bits)
+            ids = np.array([d or 0 for d, _ in b.docs], np.int64)
+            null = np.array([d is None for d, _ in b.docs], np.uint8)
+            table = struct.pack("<I", len(ids)) + b"".join(planes(x) for x in (ids, null, b.held.astype(np.uint8), b.n.astype(np.int64), known, base, cost, b.sizes))
+            out = [(block % n, -1 - block, table)]
+            # The contexts of each token; ends of documents stand for what is before their first.
+            one = np.r_[end, b.hash[:-1]]
+            two = np.r_[end, one[:-1]]
+            two[last - b.n] = end
+            often = total[group]
+            ends = int(total[np.searchsorted(b.distinct, end)])
+            classes = 1 + np.r_[ends, often[:-1]] // CAP
+            context = grams.mix(one + ((two >> np.uint64(33)) % classes.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+            to = (context >> np.uint64(32)) % np.uint64(n)
+            order = np.argsort((to << np.uint64(32)) | (context & np.uint64(0xFFFFFFFF)))
+            to, context = to[order], (context[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            two = ((two ^ (two >> np.uint64(17))) & np.uint64(0xFFFF)).astype(np.uint16)[order]
+            words, doc = word[group[order]], b.doc[order]
+            doc = doc | (b.held[doc].astype(np.uint32) << np.uint32(31))
+            cut = np.searchsorted(to, np.arange(n + 1, dtype=np.uint64))
+            for k in range(n):
+                x, y = cut[k], cut[k + 1]
+                if x < y:
+                    c = context[x:y]
+                    new = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                    run_ = np.diff(np.append(new, y - x)).astype(np.uint32)
+                    head = struct.pack("<III", len(ids), len(new), y - x)
+                    out.append((k, block, head + planes(np.diff(c[new], prepend=np.uint32(0)).astype(np.uint32)) + planes(run_) + planes(two[x:y]) + planes(words[x:y]) + planes(doc[x:y])))
+                    if len(out) >= 64:
+                        yield batch_of(out)
+                        out = []
+            yield batch_of(out)
 
     return run
 
 
-def reply(code: Code, table: Broadcast, weights: np.ndarray, refined: np.ndarray) -> Callable:
-    """Tokens of a bucket to their spelling (log10) and counts by group, in the order each block asked."""
+class Side:
+    """One order's view of records that lie sorted by context and code word: each record's group, and training sums."""
+
+    def __init__(self, perm: np.ndarray | None, new: np.ndarray, train: np.ndarray):
+        """perm: the records in this order; new: where a context begins in it"""
+        self.perm = perm
+        n = len(train)
+        head = np.flatnonzero(new)
+        a, b = (np.repeat(x, np.diff(np.append(head, n))).astype(np.int32) for x in (head, np.append(head[1:], n)))
+        self.a, self.b = np.empty(n, np.int32), np.empty(n, np.int32)
+        at = slice(None) if perm is None else perm
+        self.a[at], self.b[at] = a, b
+        self.sums = _sums(train[at].astype(np.int32))
+
+    def split(self, zero: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(where each live record's group parts by this bit, training records left and right of it)"""
+        before = _sums((zero if self.perm is None else zero[self.perm]).view(np.int8))
+        a, b = self.a[live], self.b[live]
+        m = a + before[b] - before[a]
+        left = self.sums[m]
+        return m, left - self.sums[a], self.sums[b] - left
+
+    def move(self, live: np.ndarray, bit: np.ndarray, m: np.ndarray) -> None:
+        self.a[live] = np.where(bit, m, self.a[live])
+        self.b[live] = np.where(bit, self.b[live], m)
+
+    def shrink(self, keep: np.ndarray, train: np.ndarray) -> None:
+        """Only the records of keep stay, among them whole groups of those that are still live."""
+        at = keep if self.perm is None else keep[self.perm]
+        place = _sums(at.view(np.int8))
+        self.a, self.b = place[self.a[keep]], place[self.b[keep]]
+        if self.perm is not None:
+            self.perm = _sums(keep.view(np.int8))[self.perm[at]]
+        self.sums = _sums((train if self.perm is None else train[self.perm]).astype(np.int32))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x) + 1, np.int32)
+    np.cumsum(x, out=out[1:], dtype=np.int32)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(table.value, weights, refined)
-        for bucket, rows in by_bucket(batches):
-            tokens, counts, places = summed(rows)
-            spelling = np.concatenate([mixer.log10(tokens[p], code) for p in parts(tokens)]).astype("<f4")
-            for (block, _), at in zip(rows, places):
-                yield batch_of([(block, bucket, spelling[at].tobytes() + counts[:, at].astype("<u4").tobytes())])
 
-    return run
+def _stretch(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
 
 
-def expert_costs(spelling: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 probability of tokens under each expert [GROUPS, tokens]; sizes: tokens and distinct tokens by group and in all.
+def mixed(mixer: Mixer, lengths: np.ndarray, right: np.ndarray, new: np.ndarray, second: np.ndarray, word: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """Bits that the contexts add to what order 0 costs, for records sorted by context and code word.
 
-    An expert's counts are discounted; what that frees goes to the frequency in all groups and to spelling. An expert
-    without a token only has these two.
+    new: where a context begins; second: the token before it, hashed; train: counts in training. All bits at one depth are
+    one online step.
     """
-    (tokens, distinct), total = sizes, counts.sum(axis=0)
-    rest = (COMMON * total / tokens[-1] if tokens[-1] else 0) + (1 - COMMON * bool(tokens[-1])) * 10.0 ** np.maximum(spelling, -290)
-    out = np.empty((GROUPS, len(spelling)))
-    for k in range(GROUPS):
-        own = np.maximum(counts[k] - DISCOUNT, 0) / tokens[k] if tokens[k] else 0
-        out[k] = np.log10(own + (DISCOUNT * distinct[k] / tokens[k] if tokens[k] else 1) * rest)
-        out[k] = np.where(spelling < -290, np.minimum(out[k], spelling), out[k])
+    n = len(word)
+    out, at = np.zeros(n), np.arange(n)
+    group = np.cumsum(new) - 1
+    pairs = np.sort((group.astype(np.uint64) << np.uint64(44)) | (second.astype(np.uint64) << np.uint64(28)) | np.arange(n, dtype=np.uint64))
+    perm = (pairs & np.uint64((1 << 28) - 1)).astype(np.int64)
+    pairs >>= np.uint64(28)
+    train = train.astype(np.int32)
+    one, two = Side(None, new, train), Side(perm, np.r_[True, pairs[1:] != pairs[:-1]], train)
+    seen = lambda s: s.sums[s.b] - s.sums[s.a] - train
+    live = np.flatnonzero(seen(one) > 0)
+    has = seen(two) > 0
+    size = lengths[word >> np.uint32(32 - MOST_BITS)]
+    for d in range(DEPTH):
+        live = live[size[live] > d]
+        if not len(live):
+            break
+        if 2 * len(live) < len(word):
+            mark = np.zeros(len(word) + 1, np.int32)
+            np.add.at(mark, one.a[live], 1)
+            np.add.at(mark, one.b[live], -1)
+            keep = np.cumsum(mark[:-1]) > 0
+            live = (_sums(keep.view(np.int8)))[live]
+            word, train, at, size, has = word[keep], train[keep], at[keep], size[keep], has[keep]
+            one.shrink(keep, train)
+            two.shrink(keep, train)
+        zero = (word >> np.uint32(DEPTH - 1 - d) & np.uint32(1)) == 0
+        bit, own = ~zero[live], train[live]
+        m, left, right_ = one.split(zero, live)
+        right_ -= own * bit
+        left -= own * ~bit
+        seen1 = left + right_
+        p0 = right[(1 << d) | (word[live] >> np.uint32(DEPTH - d)).astype(np.int64)] if 0 < d <= MOST_BITS else np.full(len(live), right[1] if d == 0 else 0.5, np.float32)
+        p1 = ((right_ + np.float32(PRIOR[0]) * p0) / (seen1 + np.float32(PRIOR[0]))).astype(np.float32)
+        stay = np.where(bit, right_, left) > 0
+        p2, seen2, j = p1.copy(), np.zeros(len(live), np.int32), np.flatnonzero(has[live])
+        if len(j):
+            mine = live[j]
+            m2, left2, right2 = two.split(zero, mine)
+            right2 -= own[j] * bit[j]
+            left2 -= own[j] * ~bit[j]
+            seen2[j] = left2 + right2
+            p2[j] = (right2 + np.float32(PRIOR[1]) * p1[j]) / (seen2[j] + np.float32(PRIOR[1]))
+            has[mine] = np.where(bit[j], right2, left2) > 0
+            two.move(mine, bit[j], m2)
+        one.move(live, bit, m)
+        gate = TRUST[np.minimum(seen1, 31)].astype(np.int64) * 5 + TRUST[np.minimum(seen2, 31)]
+        p0, p1, p2 = (np.clip(p, 1e-6, 1 - 1e-6) for p in (p0, p1, p2))
+        cost = mixer.cost([_stretch(p0), _stretch(p1), _stretch(p2)], gate, bit, own.astype(np.float32))
+        out[at[live]] += cost + np.log2(np.where(bit, p0, 1 - p0))
+        live = live[stay]
     return out
 
 
-def score_texts(n: int, sizes: np.ndarray) -> Callable:
-    train_tokens, vocabulary = int(sizes[0, -1]), int(sizes[1, -1])
-    norm = math.log10(train_tokens + vocabulary + 1)
-    prior = np.log10((sizes[0, :-1] + 1) / (train_tokens + GROUPS))
+def mix_contexts(vocabulary: Vocabulary) -> Callable:
+    """Occurrences of a bucket to the bits that contexts add, summed by document, for their blocks. What blocks know of
+    their documents passes through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows, texts in with_texts(batches):
-            # The block's tokens are dealt as before, which takes all of them: the block's texts are held meanwhile.
-            held = [(doc, [*words_of(text), END], len(text)) for doc, _, text in texts]
-            if not held:
+        lengths, right = vocabulary.tables()
+        for bucket, rows in by_bucket(batches):
+            yield batch_of([(-1 - k, -1, d) for k, d in rows if k < 0])
+            rows = sorted((k, d) for k, d in rows if k >= 0)
+            if not rows:
                 continue
-            said, at, cost, known, base = dict(rows), {}, [], [], []
-            for bucket, mine in dealt_tokens(set().union(*(tokens for _, tokens, _ in held)), n).items():
-                m, data = len(mine), said[bucket]
-                counts = np.frombuffer(data, "<u4", GROUPS * m, 4 * m).reshape(GROUPS, m).astype(np.int64)
-                cost.append(expert_costs(np.frombuffer(data, "<f4", m).astype(np.float64), counts, sizes))
-                total = counts.sum(axis=0)
-                known.append(total > 0)
-                base.append(np.log10(total + 1.0) - norm)
-                at.update(zip(mine, range(len(at), len(at) + m)))
-            cost, known, base = np.ascontiguousarray(np.concatenate(cost, axis=1).T), np.concatenate(known), np.concatenate(base)
-            out = []
-            for doc, tokens, size in held:
-                i = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
-                by = prior + cost[i].sum(axis=0)
-                top = by.max()
-                out.append((None if doc == NO_ID else doc, held_out(None if doc == NO_ID else doc), len(i), int(known[i].sum()), float(base[i].sum()), float(top + np.log10((10.0 ** (by - top)).sum())), size))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+            docs, contexts, seconds, words, places = [], [], [], [], []
+            for _, data in rows:
+                r = Reader(data)
+                d, c, m = r.number(), r.number(), r.number()
+                step, size = r.take(c, "<u4"), r.take(c, "<u4")
+                contexts.append(np.repeat(np.cumsum(step, dtype=np.uint32), size))
+                seconds.append(r.take(m, "<u2"))
+                words.append(r.take(m, "<u4"))
+                places.append(r.take(m, "<u4"))
+                docs.append(d)
+            rows = [k for k, _ in rows]
+            first = np.repeat(np.cumsum(docs) - docs, [len(x) for x in words])
+            context, second, word, place = (np.concatenate(x) for x in (contexts, seconds, words, places))
+            del contexts, seconds, words, places
+            order = np.argsort((context.astype(np.uint64) << np.uint64(32)) | word, kind="stable")
+            context, second, word, place = context[order], second[order], word[order], place[order]
+            train = place >> np.uint32(31) == 0
+            target = first[order] + (place & np.uint32(0x7FFFFFFF))
+            new = np.r_[True, context[1:] != context[:-1]]
+            head = np.flatnonzero(new)
+            cuts = np.append(head[np.flatnonzero(np.diff(head // CHUNK, prepend=-1))], len(word))
+            mixer, out = Mixer(3, np.array([0.0, 0.1, 0.9]), GATES), np.zeros(int(sum(docs)))
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                out += np.bincount(target[x:y], mixed(mixer, lengths, right, new[x:y], second[x:y], word[x:y], train[x:y]), len(out))
+            for block, part in zip(rows, np.split(out, np.cumsum(docs)[:-1])):
+                yield batch_of([(block, bucket, part.astype("<f4").tobytes())])
 
     return run
 
 
-def score(docs: DataFrame, block_bytes: int = 1 << 22) -> DataFrame:
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What blocks know of their documents, and the sums from all buckets, to rows."""
+    for _, rows in by_bucket(batches):
+        (_, table), *sums = sorted(rows)
+        r = Reader(table)
+        n = r.number()
+        ids, null, held, tokens, known, base, cost, size = (r.take(n, k) for k in ("<i8", "u1", "u1", "<i8", "<i8", "<f8", "<f8", "<i8"))
+        cost = cost + sum((np.frombuffer(d, "<f4").astype(np.float64) for _, d in sums), np.zeros(n))
+        columns = [pa.array(ids, mask=null > 0), pa.array(held > 0), pa.array(tokens), pa.array(known), pa.array(base), pa.array(-cost * math.log10(2)), pa.array(size)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+
+
+def score(docs: DataFrame, block_bytes: int = 1 << 23) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of (doc_id, text).
 
-    Documents are dealt to blocks of about ``block_bytes`` by their id; rows that repeat an id lie in one block. The driver
-    holds the code (256 counts), the slots (at most 2 << SLOT_BITS counts, whatever the input) and the weights; tokens and
-    their counts, which grow with the input, are only ever dealt. Null and empty texts are the end alone; a null id is in
-    training. Without a training document the counts are empty and all costs come from the smoothing. No rows: no rows.
+    Blocks and buckets of contexts are as many as ``block_bytes`` go into all texts, buckets of tokens an eighth. The driver
+    holds counts by class and at most FREQUENT tokens, which go out with the code; everything that grows is dealt.
+    Null and empty texts are the end alone; a null id is in training. Rows that repeat an id are texts of their own. Without a
+    training document all tokens are spelled. No rows: no rows.
     """
-    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.lit(0).alias("tag"), whole().cast("binary").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(48, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int")  # as home() deals
-    theirs = texts.select(block.alias("bucket"), F.lit(1 << 30).alias("kind"), F.lit(None).cast("binary").alias("data"), "doc", "tag", "text")
-    gather = lambda df, *by: df.repartition("bucket").sortWithinPartitions("bucket", *by)
-
-    groups = centres(written(texts.select("doc", "text").mapInArrow(profiles, "data binary")))
-    asked = written(gather(theirs, "kind").mapInArrow(count_tokens(n, groups), ROWS))
-    release(spark)
-    bytes_ = {r.what: r.value for r in asked.mapInArrow(tally, "what long, value long").groupBy("what").agg(F.sum("value").alias("value")).collect()}
-    code = Code(np.array([bytes_.get(b, 0) for b in range(256)]))
-    slots = written(gather(gather(asked).mapInArrow(count_slots(code, n), ROWS)).mapInArrow(sum_slots, ROWS))
-    release(spark)
-    table, sizes = np.zeros(2 << SLOT_BITS, np.uint32), np.zeros((2, GROUPS + 1), np.int64)
-    for r in slots.toLocalIterator():
-        if r.kind:
-            sizes += np.frombuffer(r.data, "<i8").reshape(sizes.shape)
-        else:
-            m = len(r.data) // 8
-            table[np.frombuffer(r.data, "<u4", m)] = np.frombuffer(r.data, "<u4", m, 4 * m)
-    shared = context.broadcast(table.reshape(-1, 2))
-    fitted = [np.frombuffer(r.data) for r in gather(asked).mapInArrow(fit(code, shared), ROWS).collect()]
-    fresh = Mixer(table.reshape(-1, 2))
-    weights, refined = fresh.weights, fresh.refined
-    if fitted:
-        total = np.sum(fitted, axis=0)
-        weights = (total[1 : 1 + weights.size] / total[0]).reshape(weights.shape)
-        refined = refined + total[1 + weights.size :].reshape(refined.shape)
-    replies = written(gather(asked).mapInArrow(reply(code, shared, weights, refined), ROWS))
-    release(spark)
-    blank = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("int").alias("tag"), F.lit(None).cast("binary").alias("text")]
-    both = replies.select("bucket", "kind", "data", *blank).unionByName(theirs)
-    train_tokens = int(sizes[0, -1])
-    scored = gather(both, "kind").mapInArrow(score_texts(n, sizes), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), whole().cast("binary").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    buckets = -(-n // 8)
+    block = F.pmod(F.xxhash64(F.coalesce("doc", F.xxhash64("text"))), F.lit(n)).cast("int")
+    theirs = texts.select(block.alias("bucket"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("data"), "doc", "text")
+    gather = lambda df, m: df.repartitionById(m, F.pmod("bucket", F.lit(m)).cast("int")).sortWithinPartitions("bucket")
+    rows = lambda df: df.select("bucket", "kind", "data")
+
+    replies = written(gather(gather(theirs, n).mapInArrow(ask(buckets), ROWS), buckets).mapInArrow(number(buckets), ROWS))
+    stats = [np.frombuffer(r.data, np.int64).reshape(3, CLASSES) for r in replies.filter("kind = -1").mapInArrow(totals, ROWS).collect()] or [np.zeros((3, CLASSES), np.int64)]
+    stats = np.stack([sum(x[0] for x in stats), sum(x[1] for x in stats), np.max([x[2] for x in stats], axis=0)])
+    often = replies.filter("kind = -2").select("data").orderBy(F.col("data").desc()).limit(FREQUENT).collect()
+    vocabulary = Vocabulary.of(stats, [struct.unpack(">QQ", r.data) for r in often], buckets)
+    blank = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("text")]
+    both = replies.filter("kind >= 0").select("bucket", "kind", "data", *blank).unionByName(theirs)
+    sums = written(gather(gather(both, n).mapInArrow(send(n, buckets, vocabulary), ROWS), n).mapInArrow(mix_contexts(vocabulary), ROWS))
+    scored = gather(rows(sums), n).mapInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
