@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
 ROWS = "bucket int, kind int, data binary"
 #: Stands for a null id, after all others.
@@ -70,11 +67,3 @@ def with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, I
         yield bucket, held, mine
         for _ in mine:
             pass
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written: it does so when their plans are collected."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

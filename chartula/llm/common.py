@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,17 +35,23 @@ def n_words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="chartula-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    """A folder that all executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+    return base.rstrip("/")
+
+
+#: Has Spark delete a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them back."""
-    path = f"{shared_folder(df.sparkSession)}/chartula-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts the lineage: writes the rows as Parquet to the shared folder and reads them back. The shuffles that made them
+    aren't needed any more, since nothing computes the rows again, so their files go at once."""
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/chartula-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

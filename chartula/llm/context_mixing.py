@@ -60,7 +60,7 @@ def held_out(doc_id) -> bool:
 
 def planes(a: np.ndarray) -> bytes:
     """Byte by byte of all values, which compresses better."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
 class Reader:
@@ -239,13 +239,13 @@ def spelling(raw: np.ndarray, lengths: np.ndarray, seen: np.ndarray, wanted: np.
     cuts = sorted({*cuts, len(lengths)})
     parts = [(a, b, (stops[a - 1] + 1 if a else 0), stops[b - 1] + 1) for a, b in zip(cuts[:-1], cuts[1:])]
     table = np.zeros((ORDERS, 2 << SLOT_BITS), np.int32)
+    pairs = table.view(np.int64)
     for _, _, x, y in parts:
         hashes = spelled(grown[x:y])
         for live, bits, slots in bit_slots(code, grown[x:y], hashes):
             good = seen[of[x:y][live]]
             for k in range(ORDERS):
-                at, n = np.unique(slots[k][good] * 2 + bits[good], return_counts=True)
-                table[k, at] += n.astype(np.int32)
+                np.add.at(table[k], slots[k][good] * 2 + bits[good], np.int32(1))
     mixer, out = Mixer(ORDERS + 1, np.r_[np.linspace(0.1, 0.5, ORDERS), 0.0], ORDERS + 1), np.zeros(len(lengths))
     for a, b, x, y in parts:
         if not wanted[a:b].any():
@@ -256,13 +256,15 @@ def spelling(raw: np.ndarray, lengths: np.ndarray, seen: np.ndarray, wanted: np.
         part, own, hashes = part[mine], own[mine], hashes[:, mine]
         for live, bits, slots in bit_slots(code, part, hashes):
             t = seen[own[live]].astype(np.float32)
-            n = np.stack([table[k, slots[k][:, None] * 2 + np.arange(2)] for k in range(ORDERS)]).astype(np.float32)
-            n[:, np.arange(len(live)), bits] -= t
-            np.maximum(n, 0, out=n)
-            total = n.sum(axis=2)
-            inputs = np.vstack([np.log((n[..., 1] + ADD) / (n[..., 0] + ADD)), np.ones((1, len(live)), np.float32)])
-            gate = (total[1:] >= 4).sum(axis=0) + (total[0] > 0)
-            np.add.at(out, own[live], mixer.cost(inputs, gate, bits.astype(bool), t))
+            bit, gate, inputs = bits.astype(bool), np.zeros(len(live), np.int64), []
+            own0, own1 = t * ~bit, t * bit
+            for k in range(ORDERS):
+                n = pairs[k][slots[k]].view(np.int32).reshape(-1, 2).astype(np.float32)
+                zeros, ones = np.maximum(n[:, 0] - own0, 0), np.maximum(n[:, 1] - own1, 0)
+                inputs.append(np.log((ones + ADD) / (zeros + ADD)))
+                gate += zeros + ones >= (4 if k else 1)
+            inputs.append(np.ones(len(live), np.float32))
+            out += np.bincount(own[live], mixer.cost(inputs, gate, bit, t), len(out))
     return out
 
 
@@ -286,15 +288,16 @@ def spelled(raw: np.ndarray) -> np.ndarray:
     return hashes
 
 
-def bit_slots(code: Code, raw: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth of the code: the bytes that reach it, their bits, their slots [ORDERS, bytes]."""
+def bit_slots(code: Code, raw: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For each depth of the code: the bytes that reach it, their bits, their slots by order."""
     live = np.arange(len(raw))
     for d in range(code.depth):
         live = live[code.n[raw[live]] > d]
         if not len(live):
             return
         b = raw[live]
-        yield live, code.bits[b, d], (((hashes[:, live] ^ (code.nodes[b, d] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        node = code.nodes[b, d] * np.uint64(0x9E3779B97F4A7C15)
+        yield live, code.bits[b, d], [(((h[live] ^ node) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SLOT_BITS)).view(np.int64) for h in hashes]
 
 
 class Mixer:
@@ -322,8 +325,7 @@ class Mixer:
             scale = RATE / np.maximum(n, 16)
             for w, x in zip(self.weights, inputs):
                 w += np.clip(np.bincount(gate, error * x, self.gates) * scale, -0.1, 0.1)
-            self.refined[:, 1] += np.bincount(cell, learn * bit, self.gates * BINS)
-            self.refined[:, 0] += np.bincount(cell, learn * ~bit, self.gates * BINS)
+            self.refined += np.bincount(2 * cell + bit, learn, 2 * self.gates * BINS).reshape(-1, 2)
         return out
 
 
@@ -583,10 +585,8 @@ def mixed(mixer: Mixer, lengths: np.ndarray, right: np.ndarray, new: np.ndarray,
         if not len(live):
             break
         if 2 * len(live) < len(word):
-            mark = np.zeros(len(word) + 1, np.int32)
-            np.add.at(mark, one.a[live], 1)
-            np.add.at(mark, one.b[live], -1)
-            keep = np.cumsum(mark[:-1]) > 0
+            ends = [np.bincount(x[live], minlength=len(word) + 1)[:-1] for x in (one.a, one.b)]
+            keep = np.cumsum(ends[0] - ends[1]) > 0
             live = (_sums(keep.view(np.int8)))[live]
             word, train, at, size, has = word[keep], train[keep], at[keep], size[keep], has[keep]
             one.shrink(keep, train)

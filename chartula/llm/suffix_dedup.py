@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import NO_ID, ROWS, batch_of, by_bucket, home, release, with_texts
+from .blobs import NO_ID, ROWS, batch_of, by_bucket, home, with_texts
 from .common import documents, whole, written
 from .induced import END, SEPARATOR, SHIFT, common, suffix_array
 
@@ -386,7 +386,6 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), whole().alias("text")).select("doc", tag.alias("tag"), F.col("text").cast("binary").alias("text"))
     pieces = texts.mapInArrow(find_pieces(n), ROWS).repartition("bucket").sortWithinPartitions("bucket")
     found = written(pieces.mapInArrow(match_pieces(n), ROWS))
-    release(spark)
     bucket = F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int")
     theirs = texts.select(bucket.alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("data"), "doc", "tag", "text")
     blank = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("int").alias("tag"), F.lit(None).cast("binary").alias("text")]
@@ -396,7 +395,6 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     sent = beside(found.filter(F.col("kind") == WANTED)).mapInArrow(send_pieces(n), ROWS)
     again = written(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_shards(n), ROWS))
-    release(spark)
     return beside(found.filter(F.col("kind") == COVERED).unionByName(again)).mapInArrow(cut_texts, "doc_id long, text_bytes binary, n_bytes long, n_removed long, n_spans long")
 
 

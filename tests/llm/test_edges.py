@@ -337,6 +337,102 @@ def test_context_mixing(docs, none):
     assert context_mixing.score(none).count() == 0
 
 
+def plain_scores(rows):
+    """log10 probabilities of (doc_id, text) rows by loops over dictionaries: code and spelling as the operator has them, each
+    bit's counts by its contexts, its prediction and the online steps anew. For tables of one bucket and one chunk."""
+    c = context_mixing
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    texts = [(d, [*lower(t).encode().split(), b"\n"]) for d, t in rows]
+    count = Counter(t for d, k in texts if not held(d) for t in k)
+    grams = c.Grams()
+    name = {t: int(c.token_hashes(grams, np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]) for _, k in texts for t in k}
+    tokens = sorted(name, key=name.get)
+    kind = lambda n: max(n, 1).bit_length() - 1
+    index, number = {}, Counter()
+    for t in tokens:
+        index[t] = number[kind(count[t])]
+        number[kind(count[t])] += 1
+    total = sum(count.values())
+    stats = np.zeros((3, c.CLASSES), np.int64)
+    for t in tokens:
+        if count[t]:
+            stats[0, kind(count[t])] += 1
+            stats[1, kind(count[t])] += count[t]
+    stats[2] = stats[0]
+    often = sorted(((count[t], name[t]) for t in tokens if count[t] * c.FREQUENT >= max(1, total)), reverse=True)
+    v = c.Vocabulary.of(stats, often[: c.FREQUENT], 1)
+    lengths, right = v.tables()
+    spelt = c.spelling(np.frombuffer(b"".join(tokens), np.uint8), np.array([*map(len, tokens)], np.uint32), np.array([count[t] > 0 for t in tokens]), np.array([count[t] <= 1 for t in tokens]))
+    word, bits = {}, {}
+    for t, extra in zip(tokens, spelt):
+        w, b = v.words(np.array([name[t]], np.uint64), np.array([count[t]]), np.array([index[t]], np.uint32), np.array([0]), 1)
+        word[t], bits[t] = int(w[0]), float(b[0]) + (float(np.float32(extra)) if count[t] <= 1 else 0)
+    path = lambda w: [w >> (31 - d) & 1 for d in range(int(lengths[w >> 16]))]
+    records, cost = [], [0.0] * len(texts)
+    for i, (d, k) in enumerate(texts):
+        cost[i] = sum(bits[t] for t in k)
+        for j, t in enumerate(k):
+            one, two = (k[j - 1] if j else b"\n"), (k[j - 2] if j > 1 else b"\n")
+            records.append((i, (one,), (one, two), word[t], path(word[t]), not held(d)))
+    seen = Counter()
+    for _, one, two, w, p, train in records:
+        for d in range(len(p) + 1):
+            for context in (one, two):
+                seen[context, tuple(p[:d])] += train
+    weights = {g: [0.0, 0.1, 0.9] for g in range(c.GATES)}
+    centre = [1 / (1 + math.exp(-(b + 0.5 - 16) / 2)) for b in range(32)]
+    refined = {(g, b): [64 * (1 - centre[b]), 64 * centre[b]] for g in range(c.GATES) for b in range(32)}
+    for d in range(32):
+        step = []
+        for i, one, two, w, p, train in records:
+            n1 = seen[one, tuple(p[:d])] - train
+            if d >= len(p) or n1 <= 0:
+                continue
+            side = lambda context, s, p=p, train=train, d=d: seen[context, (*p[:d], s)] - (train and s == p[d])
+            p0 = float(right[(1 << d) | (w >> (32 - d))]) if d <= 16 else 0.5
+            p1 = (side(one, 1) + 2.0 * p0) / (n1 + 2.0)
+            n2 = side(two, 0) + side(two, 1)
+            p2 = (side(two, 1) + 0.5 * p1) / (n2 + 0.5)
+            p0, p1, p2 = (min(max(q, 1e-6), 1 - 1e-6) for q in (p0, p1, p2))
+            x = [math.log(q / (1 - q)) for q in (p0, p1, p2)]
+            trust = lambda n: int(c.TRUST[min(n, 31)])
+            g = 5 * trust(n1) + trust(n2)
+            dot = max(-15.9, min(15.9, sum(a * b for a, b in zip(weights[g], x))))
+            b = max(0, min(31, int(dot * 2 + 16)))
+            q = 1 / (1 + math.exp(-dot))
+            final = min(max(0.5 * (q + refined[g, b][1] / sum(refined[g, b])), 1e-5), 1 - 1e-5)
+            cost[i] += math.log2(p0 if p[d] else 1 - p0) - math.log2(final if p[d] else 1 - final)
+            step.append((g, b, p[d], q, x, train))
+        for g in {s[0] for s in step}:
+            mine = [s for s in step if s[0] == g and s[5]]
+            for j in range(3):
+                slope = sum((bit - q) * x[j] for _, _, bit, q, x, _ in mine) * 0.25 / max(len(mine), 16)
+                weights[g][j] += max(-0.1, min(0.1, slope)) if mine else 0
+        for g, b, bit, _, _, train in step:
+            refined[g, b][bit] += train
+    return [-x * math.log10(2) for x in cost]
+
+
+def test_context_mixing_against_loops(spark):
+    rng = np.random.default_rng(6)
+    words_ = [f"w{i}" for i in range(60)]
+    chain_ = {w: list(rng.choice(words_, 3)) for w in words_}
+
+    def text():
+        out = [words_[rng.integers(60)]]
+        for _ in range(int(rng.integers(1, 60))):
+            out.append(str(rng.choice(chain_.get(out[-1], words_))) if rng.random() < 0.8 else f"new{rng.integers(1000)}")
+        return " ".join(out)
+
+    rows = [(i, text()) for i in range(60)]
+    rows += [(100, rows[3][1]), (101, rows[9][1]), (102, ""), (103, None), (None, rows[4][1])]
+    got = context_mixing.score(frame(spark, [(d, t, "en", "a") for d, t in rows])).collect()
+    want = plain_scores([(d, whole(t)) for d, t in rows])
+    assert len({r.doc_id for r in got}) == len(rows)
+    of = {d: w for (d, _), w in zip(rows, want)}
+    assert all(abs(r.score - of[r.doc_id]) < 2e-3 * max(1, abs(of[r.doc_id])) for r in got)
+
+
 def test_context_mixing_learns_and_adds_up(spark):
     rng = np.random.default_rng(4)
     syllables = ["ba", "ko", "ri", "tun", "el", "sha", "vo"]
@@ -344,24 +440,29 @@ def test_context_mixing_learns_and_adds_up(spark):
     rows = [(i, text(), "en", "a") for i in range(150)]
     got = context_mixing.score(frame(spark, rows)).filter("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "avg(bits_per_byte) AS b").first()
     assert got.b < 2.2  # seven syllables of two or three letters and a stop: about 1.4 bits a byte at best
-    # A code's paths are a full tree: all bytes together have probability one.
+    # A code's paths are a full tree: all bytes together have probability one, and so have all leaves of a vocabulary.
     code = context_mixing.Code(np.arange(256))
-    assert abs(sum(2.0 ** -int(n) for n in code.n) - 1) < 1e-12 and code.depth <= context_mixing.MOST_BITS
-    mixer = context_mixing.Mixer(np.zeros((1 << context_mixing.SLOT_BITS, 2), np.uint32))
-    assert 0 < (10 ** mixer.log10([bytes([b]) for b in range(256) if b != 0x20], code)).sum() <= 1
-
-
-def test_context_mixing_fits_on_all_documents(spark):
-    """Centres are a fixed point of k-means over all profiles, those of more than 2,000 documents too."""
-    kinds = ["".join(chr(97 + 3 * k + j) for j in range(3)) for k in range(8)]
-    texts = [(i, (kinds[0] if i % 1000 else kinds[1 + i // 1000 % 7]) * 5 + " " + "abc"[i % 3]) for i in range(7000)]
-    shapes = spark.createDataFrame([(i, t.encode()) for i, t in texts], "doc long, text binary").mapInArrow(context_mixing.profiles, "data binary").cache()
-    x = np.array([np.frombuffer(r.data, "<u2") for r in shapes.collect()]) / context_mixing.SCALE
-    assert len(x) == sum(not context_mixing.held_out(i) for i, _ in texts) > 2000
-    got = context_mixing.centres(shapes)
-    of = (x @ got.T - 0.5 * (got**2).sum(axis=1)).argmax(axis=1)
-    for k in set(of.tolist()):
-        assert np.allclose(got[k], x[of == k].mean(axis=0))
+    assert abs(sum(2.0 ** -int(n) for n in code.n) - 1) < 1e-12
+    stats = np.zeros((3, context_mixing.CLASSES), np.int64)
+    stats[:, 0], stats[:, 1], stats[:, 2], stats[:, 9] = (50, 50, 50), (30, 70, 30), (7, 40, 7), (1, 600, 1)
+    v = context_mixing.Vocabulary.of(stats, [(600, 77)], 1)
+    assert abs((2.0 ** -v.size.astype(float)).sum() - 1) < 1e-12 and v.size.max() <= context_mixing.MOST_BITS
+    assert abs((2.0 ** -(v.bits - v.more)).sum() - 1) < 1e-12
+
+
+def test_context_mixing_knows_the_corpus(spark):
+    """A held-out text that training has too costs little; scores don't depend on the partitions, but on the order of words."""
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(f"t{x}" for x in (300 * rng.random(200) ** 2).astype(int))
+    rows = [(i, text(), "en", "a") for i in range(80)]
+    held = [r for r in rows if context_mixing.held_out(r[0])]
+    free = [i for i in range(100, 400) if not context_mixing.held_out(i)]
+    mixed_up = [i for i in range(400, 600) if context_mixing.held_out(i)][0]
+    rows += [(free[0], held[0][1], "en", "a"), (mixed_up, " ".join(sorted(held[0][1].split())), "en", "a")]
+    df = frame(spark, rows)
+    one, other = ({r.doc_id: r.score for r in context_mixing.score(d).collect()} for d in (df, df.repartition(7)))
+    assert one == other
+    assert one[held[0][0]] > 0.5 * one[held[1][0]] and one[held[0][0]] > 0.5 * one[mixed_up]
 
 
 def test_chaining_finds_passages(docs, none):
