@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import funnel, generation, html, metrics, reports, retrieval
@@ -39,13 +40,28 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.encoder == "bm25":
         run = retrieval.bm25_top(queries, chunks, a.depth)
     else:
-        vec = retrieval.hash_embedding
-        run = retrieval.dense_top(queries.select("query_id", vec(F.col("query")).alias("vector")), chunks.select(F.col("chunk_id").alias("item_id"), vec(F.col("chunk")).alias("vector")), a.depth).withColumnRenamed("item_id", "chunk_id")
+        model = _encoder(a.encoder)
+        asked, items = (retrieval.encode(df, model, "text").drop("text") for df in (queries.select("query_id", F.col("query").alias("text")), chunks.select(F.col("chunk_id").alias("item_id"), F.col("chunk").alias("text"))))
+        run = retrieval.dense_top(asked, items, a.depth).withColumnRenamed("item_id", "chunk_id")
     run = run.persist()
+    took = metrics.timed({"retrieval": lambda: run, "results": lambda: metrics.result_rows(queries, run, chunks, a.keep)})
+    print(", ".join(f"{name}: {seconds:.3f} s" for name, seconds in took.items()))
     metrics.mean_at(run, queries.select("query_id", F.col("gt_chunk_id").alias("chunk_id"))).orderBy("k").show()
     tables.write_jsonl(metrics.result_rows(queries, run, chunks, a.keep).drop("query_id"), a.results)
 
 
+def _encoder(name: str) -> retrieval.Encoder:
+    """hash, or module:name of something that makes an encoder when called."""
+    if name == "hash":
+        return retrieval.HashEncoder()
+    module, _, factory = name.partition(":")
+    return getattr(importlib.import_module(module), factory)()
+
+
+def _spent(spent: Observation) -> None:
+    print(f"calls: {spent.get['calls']}, cost: {spent.get['cost']:.6f}")
+
+
 def drop_failures(spark, a):
     q = tables.read_jsonl(spark, a.queries, QUERIES)
     kept = funnel.drop_items(funnel.drop_failures(q), a.drop_items or "polish" in a.queries.lower())
@@ -71,23 +87,39 @@ def assurance_filter(spark, a):
 def generate_queries(spark, a):
     p = _provider(a, "query")
     generation.preflight(p)
-    done = tables.read_jsonl(spark, a.done, QUERIES) if a.done else None
-    tables.write_jsonl(generation.generate(tables.read_jsonl(spark, a.chunks, CHUNKS), p, a.template, done=done, update=a.update), a.output)
+    done, spent = tables.read_jsonl(spark, a.done, QUERIES) if a.done else None, Observation("generate")
+    tables.write_jsonl(generation.generate(tables.read_jsonl(spark, a.chunks, CHUNKS), p, a.template, done=done, update=a.update, spent=spent), a.output)
+    _spent(spent)
 
 
 def assure_queries(spark, a):
-    p = _provider(a, "verdict")
+    p, spent = _provider(a, "verdict"), Observation("assure")
     generation.preflight(p)
-    tables.write_jsonl(generation.assure(tables.read_jsonl(spark, a.queries, QUERIES), p, a.template), a.output)
+    tables.write_jsonl(generation.assure(tables.read_jsonl(spark, a.queries, QUERIES), p, a.template, spent=spent), a.output)
+    _spent(spent)
+
+
+def _contextualised(spark, a, p: generation.Provider, source: str, target: str, done: DataFrame | None = None) -> None:
+    chunks, spent = tables.load(spark, source, "documents"), Observation(f"contextualise {target}")
+    out = generation.waterfall(chunks, p, a.window, a.overlap, a.aggregation, spent=spent) if a.waterfall else generation.contextualise(chunks, p, done, spent=spent)
+    # Sorting samples its input, which would ask the model twice: so answers are written first, as they come.
+    tables.write_jsonl(out, f"{target}.unsorted")
+    tables.write_jsonl(tables.read_jsonl(spark, f"{target}.unsorted", AUGMENTED), target, sort_by="chunk_id")
+    _spent(spent)
 
 
 def contextualise(spark, a):
     p = _provider(a, "text")
     generation.preflight(p)
-    chunks = tables.load(spark, a.chunks, "documents")
-    done = tables.read_jsonl(spark, a.done, AUGMENTED) if a.done else None
-    out = generation.waterfall(chunks, p, a.window, a.overlap, a.aggregation) if a.waterfall else generation.contextualise(chunks, p, done)
-    tables.write_jsonl(out, a.output, sort_by="chunk_id")
+    _contextualised(spark, a, p, a.chunks, a.output, tables.read_jsonl(spark, a.done, AUGMENTED) if a.done else None)
+
+
+def contextualise_datasets(spark, a):
+    """Each named data set below a base folder (<name>/chunks.jsonl) to a data set of that name below the output."""
+    p = _provider(a, "text")
+    generation.preflight(p)
+    for name in a.datasets:
+        _contextualised(spark, a, p, f"{a.base}/{name}/chunks.jsonl", f"{a.output}/{name}")
 
 
 def chunk_document(spark, a):
@@ -125,14 +157,15 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(f"--{n.replace('_', '-')}", **kind)
 
     model = {"provider": PROVIDERS, "model": ""}
-    command("eval", evaluate, "chunks", "queries", "results", encoder=("bm25", "hash"), depth=100, keep=10)
-    command("eval-model", evaluate, "chunks", "queries", "results", encoder=("hash", "bm25"), depth=100, keep=5)
+    command("eval", evaluate, "chunks", "queries", "results", encoder="bm25", depth=100, keep=10)
+    command("eval-model", evaluate, "chunks", "queries", "results", encoder="hash", depth=100, keep=5)
     command("drop-failures", drop_failures, "queries", "output", drop_items=False)
     command("rank-filter", rank_filter, "queries", "dense-results", "sparse-results", "output", top_k=10)
     command("assurance-filter", assurance_filter, "queries", "assurance", "output")
     command("generate-queries", generate_queries, "chunks", "output", "template", done="", update=False, **model)
     command("assure-queries", assure_queries, "queries", "output", "template", **model)
     command("contextualise-dataset", contextualise, "chunks", "output", done="", waterfall=False, window=32_000, overlap=8_000, aggregation=("append", "consolidate"), **model)
+    command("contextualise-datasets", contextualise_datasets, "base", "output", datasets=[], waterfall=False, window=32_000, overlap=8_000, aggregation=("append", "consolidate"), **model)
     command("chunk-document", chunk_document, "input", "output", selector="[data-template=xText]", heading="h3")
     command("queries-to-dataset", queries_to_dataset, "queries", "output")
     command("report", report, "input", "output", kind=("queries", "assurance_results", "results", "compare"), results=[], ignore_mismatch=False)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+Analyzer = Callable[[Column], Column]
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -29,12 +33,48 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
-def token_count(c: Column) -> Column:
-    return F.size(tokens(c)).cast("long")
+def token_count(c: Column, analyzer: Analyzer = tokens) -> Column:
+    return F.size(analyzer(c)).cast("long")
 
 
-def without_stop_words(words: Column, stop: list[str]) -> Column:
-    return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+def analyzer(stop: Sequence[str] = (), lemmas: dict[str, str] | None = None, base: Analyzer = tokens) -> Analyzer:
+    """base, then words replaced by their lemma where the table has one, then stop words left out."""
+    table = F.create_map(*[F.lit(x) for pair in sorted(lemmas.items()) for x in pair]) if lemmas else None
+
+    def run(c: Column) -> Column:
+        words = base(c)
+        if table is not None:
+            words = F.transform(words, lambda w: F.coalesce(F.element_at(table, w), w))
+        return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+
+    return run
+
+
+def pieces(c: Column) -> Column:
+    """The text cut before each default token, so that its pieces joined give the text again; none without a token."""
+    cut = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))
+    head = F.regexp_extract(c, r"\A[^\p{L}\p{N}]+", 0)
+    return F.transform(cut, lambda x, i: F.when(i == 0, F.concat(head, x)).otherwise(x))
+
+
+class Tokenizer(Protocol):
+    """Where a text's tokens lie: (start, end) of each, in characters and in order. It must pickle."""
+
+    def offsets(self, text: str) -> list[tuple[int, int]]: ...
+
+
+def pieces_of(tokenizer: Tokenizer) -> Analyzer:
+    """pieces() by another tokenizer, in Arrow batches; as an analyzer, the size of its result is the number of tokens."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        def cut(text):
+            starts = [s for s, _ in tokenizer.offsets(text)] if text else []
+            return [text[a:b] for a, b in zip([0, *starts[1:]], [*starts[1:], len(text)])] if starts else []
+
+        return texts.map(cut)
+
+    return run
 
 
 def doc_id(chunk_id: Column) -> Column:

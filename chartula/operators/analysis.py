@@ -36,10 +36,10 @@ def context_ranks(pairs: DataFrame, run: DataFrame) -> DataFrame:
     context_ranks follow the order of context_ids, null where the run lacks one.
     """
     r = run.select("query_id", F.col("chunk_id").alias("id"), "rank")
-    wanted = pairs.select("query_id", F.posexplode_outer("context_ids").alias("pos", "id"))
-    found = wanted.join(r, ["query_id", "id"], "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.struct("rank").alias("r"))))).alias("c"))
-    target = pairs.select("query_id", F.col("target_id").alias("id")).join(r, ["query_id", "id"], "left").select("query_id", F.col("rank").alias("target_rank"))
-    return target.join(found, "query_id").select("query_id", "target_rank", F.transform("c", lambda s: s["r"]["rank"]).alias("context_ranks"), F.size("c").alias("n_contexts"))
+    ids = F.concat(F.array("target_id"), F.coalesce("context_ids", F.array().cast("array<string>")))  # the target is place 0
+    found = pairs.select("query_id", F.posexplode(ids).alias("pos", "id")).join(r, ["query_id", "id"], "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("rank").alias("r")))).alias("c"))
+    ranks = F.transform("c", lambda s: s["r"]["rank"])
+    return found.select("query_id", ranks[0].alias("target_rank"), F.slice(ranks, F.lit(2), F.size(ranks)).alias("context_ranks"), (F.size("c") - 1).alias("n_contexts"))
 
 
 def cumulative_tokens(chunks: DataFrame) -> DataFrame:
@@ -86,10 +86,14 @@ def stratified(df: DataFrame, by: str, k: int, order: list[Column]) -> DataFrame
 
 
 def overlap_table(df: DataFrame) -> DataFrame:
-    """Lexical, sparse and dense likeness of queries (q_w, q_v) to chunk (c_w, c_v) and context (x_w, x_v); null or empty: no row."""
+    """Lexical, sparse and dense likeness of queries (q_w, q_v) to chunk (c_w, c_v) and context (x_w, x_v); null or empty: no row.
+
+    A billionth is added before rounding, so that a value on the edge between two roundings falls on one side whatever the
+    order of its sum.
+    """
     full = df.filter("size(q_w) > 0 AND size(c_w) > 0 AND size(x_w) > 0")
     out = {}
     for side, name in (("c", "chunk"), ("x", "context")):
         w, v = F.col(f"{side}_w"), F.col(f"{side}_v")
         out |= {f"lexical_{name}": V.sparse_dot(F.col("q_w"), w), f"sparse_{name}": V.sparse_cosine(F.col("q_w"), w), f"dense_{name}": V.cosine(F.col("q_v"), v)}
-    return full.select("query_id", *[F.round(c, 6).alias(n) for n, c in out.items()])
+    return full.select("query_id", *[F.round(c + 1e-9, 6).alias(n) for n, c in out.items()])

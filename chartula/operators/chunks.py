@@ -55,11 +55,17 @@ def check_windows(window: int, overlap: int) -> None:
         raise ValueError("overlap must be smaller than the window")
 
 
-def windows(df: DataFrame, tokens: Column, window: int = 32_000, overlap: int = 8_000) -> DataFrame:
-    """One row a window, with win (from 0) and its tokens joined by a space; up to ``window`` tokens are one window."""
+def windows(df: DataFrame, text: Column, window: int = 32_000, overlap: int = 8_000, pieces: X.Analyzer = X.pieces) -> DataFrame:
+    """One row a window of the text as it stands, with win (from 0) and n_tokens; up to ``window`` tokens are one window.
+
+    pieces cuts the text, a token a piece (X.pieces_of for a tokenizer). A window's text has no white space at its ends; a
+    text without a token has one window, which is empty.
+    """
     check_windows(window, overlap)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_tokens") - F.lit(overlap + 1), F.lit(0)), F.lit(window - overlap))
-    return df.withColumn("_tokens", tokens).select(*df.columns, "_tokens", F.posexplode(starts).alias("win", "_start")).withColumns({"n_tokens": F.size(F.slice("_tokens", F.col("_start") + 1, F.lit(window))), "window_text": F.array_join(F.slice("_tokens", F.col("_start") + 1, F.lit(window)), " ")}).drop("_tokens", "_start")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_pieces") - F.lit(overlap + 1), F.lit(0)), F.lit(window - overlap))
+    cut = df.withColumn("_pieces", pieces(text)).select(*df.columns, "_pieces", F.posexplode(starts).alias("win", "_start"))
+    mine = F.slice("_pieces", F.col("_start") + 1, F.lit(window))
+    return cut.withColumns({"n_tokens": F.size(mine), "window_text": X.strip(F.array_join(mine, ""))}).drop("_pieces", "_start")
 
 
 def chunk_window_pairs(chunks: DataFrame, wins: DataFrame) -> DataFrame:

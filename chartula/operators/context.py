@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
-def lookup(chunks: DataFrame) -> DataFrame:
-    """One row an id. Where ids repeat, the last in (chunk_idx) order counts."""
-    return chunks.groupBy("chunk_id").agg(F.max_by("chunk", F.coalesce("chunk_idx", F.lit(-1))).alias("chunk"), F.max_by("implicit_context_chunks", F.coalesce("chunk_idx", F.lit(-1))).alias("implicit_context_chunks"))
+#: How contexts are written.
+EXPLICIT = (" (chunk_id: ", ")")
+IMPLICIT = ("Chunks with chunk_id: ", " have the implicit context (neighboring chunks): ", " \n")
+
+
+def lookup(chunks: DataFrame, *more: str) -> DataFrame:
+    """(chunk_id, chunk, more): one row an id. Where ids repeat, the last by chunk_idx and text counts."""
+    order = F.struct(F.coalesce("chunk_idx", F.lit(-1)), "chunk") if "chunk_idx" in chunks.columns else F.struct("chunk")
+    last = chunks.groupBy("chunk_id").agg(F.max_by(F.struct("chunk", *more), order).alias("_last"))
+    return last.select("chunk_id", *[F.col(f"_last.{c}").alias(c) for c in ("chunk", *more)])
 
 
 def candidates(chunks: DataFrame, column: str = "explicit_context_chunks") -> DataFrame:
@@ -24,8 +34,8 @@ def edges(chunks: DataFrame, column: str) -> DataFrame:
 
 def explicit_context(chunks: DataFrame, column: str = "explicit_context_chunks") -> DataFrame:
     """(chunk_id, context_chunks): texts with their ids, in array order; dangling ids are dropped."""
-    found = edges(candidates(chunks, column), column).join(chunks.select(F.col("chunk_id").alias("ref"), "chunk"), "ref")
-    text = F.concat("chunk", F.lit(" (chunk_id: "), "ref", F.lit(")"))
+    found = edges(candidates(chunks, column), column).join(lookup(chunks).select(F.col("chunk_id").alias("ref"), "chunk"), "ref")
+    text = F.concat("chunk", F.lit(EXPLICIT[0]), "ref", F.lit(EXPLICIT[1]))
     return found.groupBy("chunk_id").agg(F.collect_list(F.struct("pos", text.alias("text"))).alias("c")).select("chunk_id", X.joined_in_order(F.col("c"), " \n ").alias("context_chunks"))
 
 
@@ -35,27 +45,34 @@ def implicit_context(chunks: DataFrame, owner_mode: str = "all", explicit: str =
     A line names the explicit chunks that lead to it: all of them, one for each path, or the last only (owner_mode).
     """
     first = edges(candidates(chunks, explicit), explicit).withColumnRenamed("pos", "p1")
-    second = chunks.select(F.col("chunk_id").alias("ref"), F.posexplode(implicit).alias("p2", "far"))
-    texts = chunks.select(F.col("chunk_id").alias("far"), "chunk")
-    paths = first.join(second, "ref").join(texts, "far").groupBy("chunk_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("p1", "p2", "ref"))).alias("paths"))
+    known = lookup(chunks, implicit).withColumn("name", F.sha2("chunk", 256))
+    second = known.select(F.col("chunk_id").alias("ref"), F.posexplode(implicit).alias("p2", "far"))
+    # Texts are grouped by their hashes; each line gets its text once, after the paths are gathered.
+    far = first.join(second, "ref").join(known.select(F.col("chunk_id").alias("far"), "name"), "far")
+    paths = far.groupBy("chunk_id", "name").agg(F.array_sort(F.collect_list(F.struct("p1", "p2", "ref"))).alias("paths"), F.min("far").alias("far")).join(known.select(F.col("chunk_id").alias("far"), "chunk"), "far")
     owners = F.array_join(F.transform("paths", lambda p: p["ref"]), ", ") if owner_mode == "all" else F.element_at("paths", -1)["ref"]
-    line = F.concat(F.lit("Chunks with chunk_id: "), owners, F.lit(" have the implicit context (neighboring chunks): "), "chunk", F.lit(" \n"))
+    line = F.concat(F.lit(IMPLICIT[0]), owners, F.lit(IMPLICIT[1]), "chunk", F.lit(IMPLICIT[2]))
     lines = paths.select("chunk_id", F.struct(F.col("paths")[0]["p1"].alias("p1"), F.col("paths")[0]["p2"].alias("p2"), line.alias("text")).alias("line"))
     return lines.groupBy("chunk_id").agg(F.collect_list("line").alias("c")).select("chunk_id", X.joined_in_order(F.col("c"), "").alias("impl_context_chunks"))
 
 
 def target_context(chunks: DataFrame, implicit: str = "implicit_context_chunks") -> DataFrame:
-    found = edges(candidates(chunks, implicit), implicit).join(chunks.select(F.col("chunk_id").alias("ref"), F.col("chunk").alias("text")), "ref")
+    found = edges(candidates(chunks, implicit), implicit).join(lookup(chunks).select(F.col("chunk_id").alias("ref"), F.col("chunk").alias("text")), "ref")
     return found.groupBy("chunk_id").agg(F.collect_list(F.struct("pos", "text")).alias("c")).select("chunk_id", X.joined_in_order(F.col("c"), " \n ").alias("target_context"))
 
 
+def within_words(df: DataFrame, columns: tuple[str, ...], most_words: int = 20_000) -> DataFrame:
+    """The rows whose columns have at most so many words together."""
+    return df.filter(reduce(add, [X.word_count(F.coalesce(F.col(c), F.lit(""))) for c in columns]) <= most_words)
+
+
 def assembled(chunks: DataFrame, most_words: int = 20_000, owner_mode: str = "all") -> DataFrame:
     """(chunk_id, chunk, context, target_context): both contexts, without rows over the word budget."""
     base = candidates(chunks).select("chunk_id", "chunk")
     rows = base.join(explicit_context(chunks), "chunk_id", "left").join(implicit_context(chunks, owner_mode), "chunk_id", "left").join(target_context(chunks), "chunk_id", "left")
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = rows.select("chunk_id", "chunk", F.concat(empty("context_chunks"), F.lit("\n\n"), empty("impl_context_chunks")).alias("context"), empty("target_context").alias("target_context"))
-    return rows.filter(X.word_count(F.col("chunk")) + X.word_count(F.col("context")) + X.word_count(F.col("target_context")) <= most_words)
+    return within_words(rows, ("chunk", "context", "target_context"), most_words)
 
 
 def chains(chunks: DataFrame, hops: int, column: str = "explicit_context_chunks") -> DataFrame:
@@ -69,9 +86,14 @@ def chains(chunks: DataFrame, hops: int, column: str = "explicit_context_chunks"
     return seen
 
 
+def seeded(key: Column, seed: int = 42) -> Column:
+    """A hash to order rows by, the same in every engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
 def sample(df: DataFrame, n: int, seed: int = 42, key: str = "chunk_id") -> DataFrame:
     """The n rows with the smallest seeded hashes; 0 keeps all."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n) if n else df
+    return df.orderBy(seeded(F.col(key), seed), key).limit(n) if n else df
 
 
 def reference_distance(chunks: DataFrame, within: int = 300, column: str = "explicit_context_chunks") -> DataFrame:

@@ -11,11 +11,11 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schemas import CONSOLIDATION_FAILURE, CONTEXT_FAILURE, CONTEXT_TOO_LONG, PARSING_FAILURE, QUERY_FAILURE, query_answer, verdict_answer
+from ..schemas import CONSOLIDATION_FAILURE, CONTEXT_FAILURE, CONTEXT_TOO_LONG, PARSING_FAILURE, QUERY_FAILURE, VERDICTS, query_answer, verdict_answer
 from . import chunks as C
 from . import context as G
 
@@ -120,8 +120,11 @@ def preflight(provider: Provider) -> None:
         raise RuntimeError(f"the provider does not answer: {e}") from e
 
 
-def call(df: DataFrame, provider: Provider, policy: Policy, concurrency: int = 16) -> DataFrame:
-    """df (prompt, cache_id, …) with response and cost for prompt. ``concurrency`` calls run at once in each task."""
+def call(df: DataFrame, provider: Provider, policy: Policy, concurrency: int = 16, spent: Observation | None = None) -> DataFrame:
+    """df (prompt, cache_id, …) with response and cost for prompt. ``concurrency`` calls run at once in each task.
+
+    spent gets the sum of costs and the number of calls (cost, calls) once an action has run the whole plan.
+    """
     keep = [c for c in df.columns if c != "prompt"]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", response string, cost double"
 
@@ -131,12 +134,16 @@ def call(df: DataFrame, provider: Provider, policy: Policy, concurrency: int = 1
                 got = list(pool.map(lambda p, c: policy.call(provider, p, c), pdf["prompt"], pdf["cache_id"]))
                 yield pdf[keep].assign(response=[g[0] for g in got], cost=[g[1] for g in got])
 
-    return df.mapInPandas(run, schema)
+    said = df.mapInPandas(run, schema)
+    return said.observe(spent, F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), F.count("*").alias("calls")) if spent is not None else said
+
+
+SITUATE = "<document>\n{{document}}\n</document>\n\nThe following is one passage of it.\n<chunk>\n{{chunk}}\n</chunk>\n\nSay in one or two sentences where the passage stands in the document and what it is about. Answer with these sentences only."
 
 
 def situate(document: Column, chunk: Column) -> Column:
     """The prompt that asks for a chunk's place in its document."""
-    return X.render("<document>\n{{document}}\n</document>\n\nThe following is one passage of it.\n<chunk>\n{{chunk}}\n</chunk>\n\nSay in one or two sentences where the passage stands in the document and what it is about. Answer with these sentences only.", {"document": document, "chunk": chunk})
+    return X.render(SITUATE, {"document": document, "chunk": chunk})
 
 
 def numbered(texts: Column) -> Column:
@@ -147,33 +154,42 @@ def consolidation(texts: Column) -> Column:
     return F.concat(F.lit("These descriptions of one passage come from several parts of a long document:\n"), numbered(texts), F.lit("\n\nMerge them into one description of one or two sentences. Answer with these sentences only."))
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    return df.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_idx")  # equal prefixes side by side
+def _together(chunks: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """(doc_id, document, rows): each document once, with its chunks (chunk_idx, chunk_id, chunk, todo) in order. Chunks are
+    shuffled once, by document; prompts are built after that, in the tasks that send them."""
+    rows = chunks.select("doc_id", "chunk_id", "chunk_idx", "chunk", F.lit(True).alias("todo"))
+    if done is not None:
+        rows = rows.drop("todo").join(done.select("chunk_id", F.lit(False).alias("todo")).distinct(), "chunk_id", "left").fillna(True, ["todo"])
+    nested = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_id", "chunk", "todo"))).alias("rows"))
+    return nested.select("doc_id", F.array_join(F.transform("rows", lambda r: r["chunk"]), "\n").alias("document"), "rows")
 
 
-def contextualise(chunks: DataFrame, provider: Provider, done: DataFrame | None = None, policy: Policy = CONTEXTUALISE) -> DataFrame:
+def contextualise(chunks: DataFrame, provider: Provider, done: DataFrame | None = None, policy: Policy = CONTEXTUALISE, spent: Observation | None = None) -> DataFrame:
     """(chunk_id, chunk): each chunk with a description of its place in the whole document before it."""
-    todo = chunks if done is None else chunks.join(done.select("chunk_id"), "chunk_id", "left_anti")
-    rows = todo.select("doc_id", "chunk_id", "chunk_idx", "chunk").join(C.merge_documents(chunks), "doc_id")
-    asked = _placed(rows.select("doc_id", "chunk_id", "chunk_idx", "chunk", F.col("doc_id").alias("cache_id"), situate(F.col("document"), F.col("chunk")).alias("prompt")))
-    said = call(asked, provider, policy)
+    rows = _together(chunks, done).select("doc_id", "document", F.explode("rows").alias("r")).filter("r.todo")
+    asked = rows.select("r.chunk_id", "r.chunk", F.col("doc_id").alias("cache_id"), situate(F.col("document"), F.col("r.chunk")).alias("prompt"))
+    said = call(asked, provider, policy, spent=spent)
     failed = F.col("response").startswith(CONTEXT_FAILURE[:-1])
     context = F.when(failed, F.col("response")).otherwise(F.concat(X.strip(F.col("response")), F.lit("\n\n")))
     return C.prepend_context(said.withColumn("context", context)).select("chunk_id", "chunk")
 
 
-def waterfall(chunks: DataFrame, provider: Provider, window: int = 32_000, overlap: int = 8_000, aggregation: str = "append", mode: str = "all", policy: Policy = CONTEXTUALISE) -> DataFrame:
-    """The same by overlapping token windows of the document, whose descriptions are appended or consolidated."""
+def waterfall(chunks: DataFrame, provider: Provider, window: int = 32_000, overlap: int = 8_000, aggregation: str = "append", mode: str = "all", policy: Policy = CONTEXTUALISE, pieces: X.Analyzer = X.pieces, spent: Observation | None = None) -> DataFrame:
+    """The same by overlapping token windows of the document, whose descriptions are appended or consolidated.
+
+    spent observes the calls about windows.
+    """
     C.check_windows(window, overlap)
     if aggregation not in ("append", "consolidate"):
         raise ValueError(f"unknown aggregation {aggregation!r}")
-    docs = C.merge_documents(chunks)
-    wins = C.windows(docs, X.tokens(F.col("document")), window, overlap)
-    alone = F.count("*").over(Window.partitionBy("doc_id")) == 1
-    wins = wins.withColumn("window_text", F.when(alone, F.col("document")).otherwise(F.col("window_text"))).select("doc_id", "win", "window_text")
-    pairs = C.chunk_window_pairs(chunks.select("doc_id", "chunk_id", "chunk_idx", "chunk"), wins)
-    asked = pairs.select("doc_id", "chunk_id", "chunk_idx", "chunk", "win", "cache_id", situate(F.col("window_text"), F.col("chunk")).alias("prompt"))
-    said = call(asked.repartition("doc_id").sortWithinPartitions("cache_id", "chunk_idx"), provider, policy)
+    docs = _together(chunks)
+    more = F.size(pieces(F.col("document"))) > window  # a document that fits is its own window, as it stands
+    wins = C.windows(docs, F.col("document"), window, overlap, pieces)
+    wins = wins.withColumn("window_text", F.when(more, F.col("window_text")).otherwise(F.col("document")))
+    asked = wins.select("doc_id", "win", "window_text", F.explode("rows").alias("r")).select(
+        "r.chunk_id", "win", F.concat_ws("_w", "doc_id", "win").alias("cache_id"), situate(F.col("window_text"), F.col("r.chunk")).alias("prompt")
+    )
+    said = call(asked, provider, policy, spent=spent)
     if aggregation == "append":
         context = C.aggregate_windows(said, mode)
     else:
@@ -196,7 +212,7 @@ QUERY_TEMPLATE = "Passage:\n{{chunk}}\n\nPassages it refers to:\n{{context_chunk
 ASSURANCE_TEMPLATE = "Question:\n{{query}}\n\nPassage:\n{{chunk}}\n\nContext:\n{{context_chunks}}\n{{impl_context_chunks}}\n\nContext ids: {{context_chunk_ids}}\n\nJudge each criterion, answer the question, and give a verdict of Yes or No. Answer in JSON."
 
 
-def generate(chunks: DataFrame, provider: Provider, template_name: str, template: str = QUERY_TEMPLATE, done: DataFrame | None = None, update: bool = False, policy: Policy = GENERATE) -> DataFrame:
+def generate(chunks: DataFrame, provider: Provider, template_name: str, template: str = QUERY_TEMPLATE, done: DataFrame | None = None, update: bool = False, policy: Policy = GENERATE, spent: Observation | None = None) -> DataFrame:
     """Queries (chunk_id, query, chunk, context_chunks, impl_context_chunks, target_context_chunk_id, utilized_context_chunk_ids).
 
     The template's name selects the answer's schema. done: ids of a checkpoint, left out, or with update the only ones.
@@ -208,7 +224,7 @@ def generate(chunks: DataFrame, provider: Provider, template_name: str, template
         rows = rows.join(done.select("chunk_id").distinct(), "chunk_id", "left_semi" if update else "left_anti")
     rows = rows.select("chunk_id", "chunk", F.col("context").alias("context_chunks"), F.col("target_context").alias("impl_context_chunks"))
     values = {c: F.col(c) for c in ("chunk", "context_chunks", "impl_context_chunks")}
-    said = call(rows.withColumns({"cache_id": F.col("chunk_id"), "prompt": X.render(template, values)}), provider, policy)
+    said = call(rows.withColumns({"cache_id": F.col("chunk_id"), "prompt": X.render(template, values)}), provider, policy, spent=spent)
     a = said.withColumn("a", parsed(F.col("response"), schema))
     has = lambda c, other: F.when(F.col("a").isNull(), other).otherwise(F.col(f"a.{c}")) if c in schema else other
     none, text = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
@@ -219,17 +235,14 @@ def generate(chunks: DataFrame, provider: Provider, template_name: str, template
     )
 
 
-def assure(queries: DataFrame, provider: Provider, template_name: str, template: str = ASSURANCE_TEMPLATE, done: DataFrame | None = None, policy: Policy = GENERATE) -> DataFrame:
-    """(chunk_id, passes_assurance, criterion_1 …, answer_to_query); not JSON: the parsing sentinel and the raw answer."""
+def assure(queries: DataFrame, provider: Provider, template_name: str, template: str = ASSURANCE_TEMPLATE, done: DataFrame | None = None, policy: Policy = GENERATE, spent: Observation | None = None) -> DataFrame:
+    """(chunk_id, passes_assurance, criterion_1 …, answer_to_query); not JSON, or a verdict other than those of VERDICTS: the
+    parsing sentinel and the raw answer."""
     _, schema = verdict_answer(template_name)
     rows = queries if done is None else queries.join(done.select("chunk_id").distinct(), "chunk_id", "left_anti")
     values = {c: F.col(c) for c in ("query", "chunk", "context_chunks", "impl_context_chunks")} | {"context_chunk_ids": F.array_join(F.coalesce("utilized_context_chunk_ids", F.array().cast("array<string>")), ", ")}
-    said = call(rows.select("chunk_id", F.col("chunk_id").alias("cache_id"), X.render(template, values).alias("prompt")), provider, policy)
+    said = call(rows.select("chunk_id", F.col("chunk_id").alias("cache_id"), X.render(template, values).alias("prompt")), provider, policy, spent=spent)
     a = said.withColumn("a", parsed(F.col("response"), schema))
     fields = [x.split()[0] for x in schema.split(", ") if not x.startswith("verdict")]
-    verdict = F.when(F.col("a").isNull(), F.concat(F.lit(PARSING_FAILURE), "response")).otherwise(F.col("a.verdict"))
+    verdict = F.when(~F.coalesce(F.col("a.verdict").isin(*VERDICTS), F.lit(False)), F.concat(F.lit(PARSING_FAILURE), "response")).otherwise(F.col("a.verdict"))
     return a.select("chunk_id", verdict.alias("passes_assurance"), *[F.col(f"a.{f}").alias(f) for f in fields])
-
-
-def total_cost(said: DataFrame) -> DataFrame:
-    return said.agg(F.sum("cost").alias("cost"), F.count("*").alias("calls"))

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..functions import vectors as V
 
 K1, B, DEPTH = 1.5, 0.75, 100
+#: Bytes of queries that go to every task at once; more are taken in several blocks.
+BLOCK_BYTES = 64 << 20
 
 
 def ranked(run: DataFrame, k: int = DEPTH, by: str = "query_id", item: str = "chunk_id") -> DataFrame:
@@ -40,46 +50,119 @@ def bm25(queries: DataFrame, posting: DataFrame, analyzer=X.tokens) -> DataFrame
     return qt.join(posting, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
+def _blocks(queries: DataFrame, n_bytes: Column, most_bytes: int, most_rows: int | None = None) -> list[DataFrame]:
+    """The queries in blocks by hash of their ids, each of about ``most_bytes`` (and ``most_rows``) or less."""
+    rows, size = queries.agg(F.count("*"), F.coalesce(F.sum(n_bytes), F.lit(0))).first()
+    n = max(1, -(-int(size) // most_bytes), -(-rows // most_rows) if most_rows else 1)
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def _best(ids: pa.Array, items: pa.Array, scores: np.ndarray, k: int) -> pa.RecordBatch:
+    """Of scores [queries, items], NaN where there is none: the k best of each query, and what ties with the last of them."""
+    least = np.full(len(scores), -np.inf) if scores.shape[1] <= k else -np.partition(np.where(np.isnan(scores), np.inf, -scores), k - 1, axis=1)[:, k - 1] - 2e-6
+    q, i = np.nonzero(scores >= least[:, None])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), items.take(pa.array(i)), pa.array(scores[q, i])], ["query_id", "item_id", "score"])
+
+
 def bm25_top(queries: DataFrame, chunks: DataFrame, k: int = DEPTH, pad_zero: bool = False, analyzer=X.tokens) -> DataFrame:
-    run = bm25(queries, postings(chunks, analyzer), analyzer)
+    """The k best chunks (query_id, chunk_id, score, rank) of each query (query_id, query) by BM25.
+
+    A block of queries, bounded in bytes, goes to every task. A first pass over the chunks counts lengths and the document
+    frequencies of the block's terms; in a second one chunks stream past, and each Arrow batch gives its own k best. So
+    neither postings nor pairs are shuffled, only those. pad_zero fills up with chunks that share no term, at score 0.
+    """
+    terms = queries.select("query_id", F.explode(analyzer(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    tokens = chunks.select("chunk_id", analyzer(F.col("chunk")).alias("t"))
+    kinds = {"query": dict(queries.dtypes)["query_id"], "item": dict(chunks.dtypes)["chunk_id"]}
+    runs = []
+    for block in _blocks(terms, F.octet_length("term") + 48, BLOCK_BYTES):
+        rows = block.toPandas().sort_values(["term", "query_id"])
+        ids, of = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
+        ids = pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType))
+        words, start = np.unique(rows["term"].to_numpy(dtype=object), return_index=True) if len(rows) else (np.empty(0, object), np.empty(0, np.int64))
+        vocabulary, stop = pa.array(words.tolist(), pa.string()), np.append(start[1:], len(rows))
+        times = rows["qtf"].to_numpy(np.float64)
+
+        def found(batch: pa.RecordBatch, vocabulary=vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """(tokens of each row; rows, terms and counts of the block's terms in them)"""
+            t = batch.column(1)
+            length = np.diff(t.offsets.to_numpy())
+            at = pc.index_in(t.flatten(), vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            key = np.repeat(np.arange(batch.num_rows, dtype=np.int64), length) * len(vocabulary) + at
+            key, n = np.unique(key[at >= 0], return_counts=True)
+            return length, key // max(1, len(vocabulary)), key % max(1, len(vocabulary)), n
+
+        def count(batches: Iterator[pa.RecordBatch], found=found, size=len(words)) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size + 2, np.int64)
+            for batch in batches:
+                length, _, term, _ = found(batch)
+                out[:2] += batch.num_rows, length.sum()
+                out[2:] += np.bincount(term, minlength=size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(out)), pa.array(out[out > 0])], ["place", "n"])
+
+        if not len(words):
+            continue
+        counted = np.zeros(len(words) + 2)
+        for r in tokens.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+            counted[r.place] = r.n
+        n, total, df = counted[0], counted[1], counted[2:]
+        idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+
+        def score(batches: Iterator[pa.RecordBatch], found=found, ids=ids, of=of, times=times, start=start, stop=stop, idf=idf, mean=total / max(1.0, n)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    length, row, term, tf = found(part)
+                    weight = idf[term] * tf / (tf + K1 * ((1 - B) + B * length[row] / mean))
+                    scores = np.zeros((len(ids), part.num_rows))
+                    order = np.argsort(term, kind="stable")
+                    cuts = np.flatnonzero(np.diff(term[order], prepend=-1))
+                    for i, j in zip(cuts, np.append(cuts[1:], len(order))):
+                        mine, t = order[i:j], term[order[i]]
+                        q = slice(start[t], stop[t])
+                        scores[of[q][:, None], row[mine][None]] += times[q][:, None] * weight[mine][None]
+                    yield _best(ids, part.column(0), np.where(scores > 0, scores, np.nan), k)
+
+        runs.append(tokens.mapInArrow(score, f"query_id {kinds['query']}, item_id {kinds['item']}, score double"))
+    none = queries.sparkSession.createDataFrame([], f"query_id {kinds['query']}, item_id {kinds['item']}, score double")
+    run = reduce(DataFrame.unionByName, runs, none) if len(runs) != 1 else runs[0]
+    run = ranked(run.withColumnRenamed("item_id", "chunk_id"), k)
     if pad_zero:
         first = chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(k)
-        pad = queries.select("query_id").join(F.broadcast(first)).join(run, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-        run = run.unionByName(pad)
-    return ranked(run, k)
+        pad = queries.select("query_id").distinct().join(F.broadcast(first)).join(run, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+        run = ranked(run.drop("rank").unionByName(pad), k)
+    return run
 
 
 def dense_top(queries: DataFrame, docs: DataFrame, k: int = DEPTH, cosine: bool = False, most_queries: int = 65_536) -> DataFrame:
     """The k nearest of docs (item_id, vector) to each of queries (query_id, vector) by dot product.
 
-    Queries up to ``most_queries`` go to every task as one matrix; documents stream past in Arrow batches, each batch gives
-    its own k best, and the k best of those are ranked. More queries are taken in several such blocks.
+    Queries go to every task as one matrix, in blocks of at most about ``most_queries`` and BLOCK_BYTES; documents stream past in
+    Arrow batches, each batch gives its own k best, and the k best of those are ranked.
     """
-    rows = queries.select("query_id", "vector").orderBy("query_id").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        cut = F.pmod(F.xxhash64("query_id"), F.lit(2))
-        return dense_top(queries.filter(cut == 0), docs, k, cosine, most_queries).unionByName(dense_top(queries.filter(cut == 1), docs, k, cosine, most_queries))
-    ids = [r["query_id"] for r in rows]
-    q = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
-    if cosine:
-        q = q / (np.linalg.norm(q, axis=1, keepdims=True) + V.EPSILON)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not ids:
-                continue
-            d = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            if cosine:
-                d = d / (np.linalg.norm(d, axis=1, keepdims=True) + V.EPSILON)
-            s = np.round(q @ d.T, 6)
-            item = np.asarray(batch.column(0))
-            order = np.lexsort((np.broadcast_to(item, s.shape), -s), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids)), order.shape[1])), pa.array(item[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["q", "item_id", "score"])
-
-    kind = dict(docs.dtypes)["item_id"]
-    best = docs.select("item_id", "vector").mapInArrow(score, f"q long, item_id {kind}, score double")
-    named = queries.sparkSession.createDataFrame(list(enumerate(ids)) or [(0, None)], f"q long, query_id {dict(queries.dtypes)['query_id']}")
-    return ranked(best.join(F.broadcast(named), "q").drop("q"), k, item="item_id").select("query_id", "item_id", "score", "rank")
+    kinds = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["item_id"]
+    runs = []
+    for block in _blocks(queries.select("query_id", "vector"), 8 * F.size("vector"), BLOCK_BYTES, most_queries):
+        rows = block.orderBy("query_id").collect()
+        ids = pa.array([r["query_id"] for r in rows], to_arrow_type(queries.schema["query_id"].dataType))
+        q = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
+        if cosine:
+            q = q / (np.linalg.norm(q, axis=1, keepdims=True) + V.EPSILON)
+
+        def score(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                step = max(1, (32 << 20) // (8 * len(ids)))
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
+                    d = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    if cosine:
+                        d = d / (np.linalg.norm(d, axis=1, keepdims=True) + V.EPSILON)
+                    yield _best(ids, part.column(0), q @ d.T, k)
+
+        runs.append(docs.select("item_id", "vector").mapInArrow(score, f"query_id {kinds[0]}, item_id {kinds[1]}, score double"))
+    return ranked(reduce(DataFrame.unionByName, runs), k, item="item_id").select("query_id", "item_id", "score", "rank")
 
 
 def sparse_run(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -106,14 +189,108 @@ def max_sim(run: DataFrame, group: Column) -> DataFrame:
     return run.groupBy("query_id", group.alias("doc_id")).agg(F.max("score").alias("score"))
 
 
-def pair_similarity(df: DataFrame, k: int | None = None) -> DataFrame:
-    """(a, b, sim) of rows (item_id, vector), both orders, the item itself included. For sets of vectors that fit a report."""
-    a, b = df.select(F.col("item_id").alias("a"), F.col("vector").alias("va")), df.select(F.col("item_id").alias("b"), F.col("vector").alias("vb"))
-    upper = a.join(b, F.col("a") <= F.col("b")).select("a", "b", F.round(V.cosine(F.col("va"), F.col("vb"), 0.0), 6).alias("sim"))
-    return upper.unionByName(upper.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+def pair_similarity(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """(a, b, sim) of rows (item_id, vector), both orders, the item itself included: a report's matrix.
+
+    The rows are the block that goes to every task, so more than ``most`` raise ValueError: that many pairs are no report.
+    """
+    if (n := df.limit(most + 1).count()) > most:
+        raise ValueError(f"a similarity matrix of more than {most} items")
+    rows = df.select("item_id", "vector").orderBy("item_id").collect()
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    ids, kind = np.array([r["item_id"] for r in rows]), dict(df.dtypes)["item_id"]
+    all_ = unit(np.array([r["vector"] for r in rows], np.float64).reshape(n, -1)) if n else np.zeros((0, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, (16 << 20) // (8 * max(1, len(ids))))
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                d = unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1))
+                sim = d @ all_.T
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(ids)))), pa.array(np.tile(ids, part.num_rows)).cast(part.column(0).type), pa.array(sim.ravel())], ["a", "b", "sim"])
+
+    return df.select("item_id", "vector").mapInArrow(run, f"a {kind}, b {kind}, sim double").withColumn("sim", F.round("sim", 6))
+
+
+class Encoder(Protocol):
+    """Texts to vectors of one size. It must pickle; what it loads, it loads on the executor at its first call."""
+
+    def encode(self, texts: list[str]) -> np.ndarray: ...
+
+
+class SparseEncoder(Protocol):
+    """Texts to weights of terms."""
+
+    def encode_sparse(self, texts: list[str]) -> list[dict[str, float]]: ...
+
+
+class NestedEncoder(Protocol):
+    """The chunks of one document to a vector each, every chunk seen in its document."""
+
+    def encode_nested(self, documents: list[list[str]]) -> list[np.ndarray]: ...
+
+
+def encode(df: DataFrame, encoder: Encoder, text: str = "chunk", into: str = "vector", batch_size: int = 32) -> DataFrame:
+    """df with the vector of a text column, ``batch_size`` texts a call; null counts as empty."""
+    out = df.schema.simpleString()[len("struct<") : -1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf[text].fillna("").tolist()
+            vectors = [v for i in range(0, len(texts), batch_size) for v in np.asarray(encoder.encode(texts[i : i + batch_size]), np.float32)]
+            yield pdf.assign(**{into: vectors})
+
+    return df.mapInPandas(run, f"{out},{into}:array<float>")
+
+
+def encode_sparse(df: DataFrame, encoder: SparseEncoder, text: str = "chunk", into: str = "weights", batch_size: int = 32) -> DataFrame:
+    """df with the weights of a text column's terms, as a map."""
+    out = df.schema.simpleString()[len("struct<") : -1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf[text].fillna("").tolist()
+            yield pdf.assign(**{into: [w for i in range(0, len(texts), batch_size) for w in encoder.encode_sparse(texts[i : i + batch_size])]})
+
+    return df.mapInPandas(run, f"{out},{into}:map<string,double>")
+
+
+def encode_nested(chunks: DataFrame, encoder: NestedEncoder) -> DataFrame:
+    """(chunk_id, vector) of chunks (doc_id, chunk_id, chunk, chunk_idx), each document's chunks in order and in one call."""
+    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_id", "chunk"))).alias("r"))
+    nested = rows.select(F.transform("r", lambda r: r["chunk_id"]).alias("ids"), F.transform("r", lambda r: F.coalesce(r["chunk"], F.lit(""))).alias("chunks"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ids, texts in zip(pdf["ids"], pdf["chunks"]):
+                yield pd.DataFrame({"chunk_id": list(ids), "vector": [*np.asarray(encoder.encode_nested([list(texts)])[0], np.float32)]})
+
+    return nested.mapInPandas(run, "chunk_id string, vector array<float>")
+
+
+class HashEncoder:
+    """A deterministic stand-in for the three kinds of encoder: counts of tokens in places that a hash of each names."""
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dim), np.float32)
+        for row, text in zip(out, texts):
+            for token in re.findall(r"[^\W_]+", text.lower()):
+                row[int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % self.dim] += 1
+        return out
+
+    def encode_sparse(self, texts: list[str]) -> list[dict[str, float]]:
+        return [{t: n / len(found) for t, n in Counter(found).items()} for found in (re.findall(r"[^\W_]+", x.lower()) for x in texts)]
+
+    def encode_nested(self, documents: list[list[str]]) -> list[np.ndarray]:
+        """A chunk's own vector plus the mean of its document's."""
+        return [(v := self.encode(d)) + v.mean(axis=0) for d in documents]
 
 
 def hash_embedding(c: Column, dim: int = 64) -> Column:
-    """A deterministic stand-in for an encoder: token counts in hashed places."""
-    places = F.transform(X.tokens(c), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    """HashEncoder's vectors as an expression."""
+    places = F.transform(X.tokens(c), lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(dim)))
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))

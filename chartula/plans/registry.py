@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,28 @@ from ..operators import metrics as M
 from ..operators import reports
 from ..operators import retrieval as R
 from ..schemas import CONTEXT_FAILURE, QUERY_FAILURE
+from ..sources import tables as S
 from . import tables as T
 
 QUERIES: dict = {}
+
+
+class Spaces:
+    """A tokenizer of what stands between spaces, in place of one with a vocabulary."""
+
+    def offsets(self, text: str) -> list[tuple[int, int]]:
+        return [m.span() for m in re.finditer("[^ ]+", text)]
+
+
+def quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def fixed_words(template: str) -> int:
+    return len(re.sub(r"\{\{\w+\}\}", "", template).split())
+
+
 ORACLE: dict = {}
 
 
@@ -103,9 +124,19 @@ def _(s, d):
     return T.chunks(s, d).select("chunk_id", X.word_count(c).alias("words"), F.length(c).cast("long").alias("chars"), X.token_count(c).alias("tokens"))
 
 
-@query("t15_length_guard", rf"WITH {T.CH} SELECT doc_id, sum(len(regexp_extract_all(chunk, '[^\s\x{{A0}}]+'))) <= 20000 AS fits FROM ch GROUP BY 1")
+@query("t15_length_guard", rf"WITH {T.CH} SELECT chunk_id FROM ch WHERE len(regexp_extract_all(chunk, '[^\s\x{{A0}}]+')) <= 25")
+def _(s, d):
+    return G.within_words(T.chunks(s, d), ("chunk",), 25).select("chunk_id")
+
+
+@query("t10_situate_prompt", f"WITH {T.CH} SELECT chunk_id, replace(replace({quoted(L.SITUATE)}, '{{{{chunk}}}}', chunk), '{{{{document}}}}', doc_id) AS prompt FROM ch")
 def _(s, d):
-    return T.chunks(s, d).groupBy("doc_id").agg((F.sum(X.word_count(F.col("chunk"))) <= 20000).alias("fits"))
+    return T.chunks(s, d).select("chunk_id", L.situate(F.col("doc_id"), F.col("chunk")).alias("prompt"))
+
+
+@query("t14_pluggable_tokens", f"WITH {T.CH} SELECT chunk_id, CAST(len(regexp_extract_all(chunk, '[^ ]+')) AS BIGINT) AS tokens FROM ch")
+def _(s, d):
+    return T.chunks(s, d).select("chunk_id", X.token_count(F.col("chunk"), X.pieces_of(Spaces())).alias("tokens"))
 
 
 @query("k1a_h1", "SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages")
@@ -128,20 +159,86 @@ def _(s, d):
     return C.with_chunk_idx(T.chunks(s, d).select("chunk_id"))
 
 
-@query("s8_union_all", "SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark")
+# Files: each query writes with the engine's writer and reads with its reader.
+
+CHUNK_LINES = "chunk_id string, chunk string, chunk_idx int"
+
+
+def lines(s, d, name="chunks", **options):
+    path = T.stage_path(s, name)
+    S.write_jsonl(T.chunks(s, d).select("chunk_id", "chunk", "chunk_idx"), path, **options)
+    return path
+
+
+@query("s1_jsonl_round_trip", f"WITH {T.CH} SELECT chunk_id, chunk, chunk_idx FROM ch")
+def _(s, d):
+    return S.read_jsonl(s, lines(s, d), CHUNK_LINES)
+
+
+@query("s2_saved_dataset", f"WITH {T.CH} SELECT chunk_id, doc_id, CAST(chunk_idx AS VARCHAR) AS internal_id FROM ch")
+def _(s, d):
+    path = T.stage_path(s, "saved")
+    T.chunks(s, d).select("chunk_id", "chunk").write.parquet(path)
+    return S.load_saved(s, path).select("chunk_id", "doc_id", "internal_id")
+
+
+@query("s3_registry", f"WITH {T.CH} SELECT chunk_id, doc_id FROM ch")
+def _(s, d):
+    known = S.Registry()
+    known.add("chunks", lines(s, d), "documents")
+    return known.load(s, ["chunks", "unknown"])["chunks"].select("chunk_id", "doc_id")
+
+
+@query("s5_skip_malformed", f"WITH {T.CH} SELECT chunk_id, chunk FROM ch WHERE chunk_idx % 5 <> 0")
+def _(s, d):
+    path = T.stage_path(s, "broken")
+    line = F.when(F.col("chunk_idx") % 5 == 0, F.lit('{"chunk_id": "cut')).otherwise(F.to_json(F.struct("chunk_id", "chunk")))
+    T.chunks(s, d).select(line.alias("value")).write.text(path)
+    return S.read_jsonl(s, path, "chunk_id string, chunk string", "skip")
+
+
+@query("s6_directory_tree", f"WITH {T.CH} SELECT chunk_id, CASE WHEN d % 2 = 0 THEN 'a-even' ELSE 'b-odd' END AS doc_id FROM ch")
 def _(s, d):
-    return T.table(s, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(T.table(s, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), "text"))
+    top = T.stage_path(s, "tree")
+    for rest, place in enumerate(("cluster_a/even", "cluster_b/odd")):
+        S.write_jsonl(T.chunks(s, d).filter(F.col("doc_id").cast("long") % 2 == rest).select("chunk_id"), f"{top}/{place}/chunks.jsonl")
+    return S.read_tree(s, f"{top}/cluster_*/*", "chunk_id string")
+
+
+@query("s7_csv_round_trip", f"WITH {T.CH} SELECT chunk_id, chunk FROM ch WHERE chunk <> ''")
+def _(s, d):
+    path = T.stage_path(s, "csv")
+    S.write_csv(T.chunks(s, d).filter("chunk <> ''").select("chunk_id", "chunk"), path)
+    return S.read_csv(s, path, "chunk_id string, chunk string")
+
+
+@query("s8_union_all", "SELECT doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark")
+def _(s, d):
+    paths = []
+    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        paths.append(T.stage_path(s, name))
+        S.write_jsonl(T.table(s, d, name).select(key, "text"), paths[-1])
+    return S.merge(s, paths, "doc_id long, item_id long, text string")
 
 
 @query("s10_sorted_output", f"WITH {T.CH} SELECT chunk_id, chunk FROM ch ORDER BY chunk_id")
 def _(s, d):
-    return T.chunks(s, d).select("chunk_id", "chunk").orderBy("chunk_id")
+    return S.read_jsonl(s, lines(s, d, sort_by="chunk_id"), CHUNK_LINES).select("chunk_id", "chunk")
+
+
+@query("s11_jsonl_to_columns", "SELECT doc_id, lang, n_chars FROM documents")
+def _(s, d):
+    path, out = T.stage_path(s, "documents"), T.stage_path(s, "columns")
+    S.write_jsonl(T.table(s, d, "documents").select("doc_id", "lang", "n_chars"), path)
+    S.jsonl_to_parquet(s, path, "doc_id long, lang string, n_chars long", out, ("lang",))
+    return s.read.parquet(out)
 
 
 @query("s13_embedding_cache", "SELECT label, count(*) AS n, round(sum(list_sum(CAST(embedding AS DOUBLE[]))), 4) AS total FROM embeddings GROUP BY 1")
 def _(s, d):
-    v = T.vectors(s, d)
-    return v.select("item_id", "label").join(v.select("item_id", "vector"), "item_id").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 4).alias("total"))
+    path, v = T.stage_path(s, "vectors"), T.vectors(s, d).withColumn("chunk_id", F.col("item_id").cast("string"))
+    S.cache_embeddings(v, path)
+    return S.with_cached(v.select("chunk_id", "label"), path).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)), 4).alias("total"))
 
 
 # Context graph.
@@ -185,9 +282,9 @@ def _(s, d):
     return G.assembled(T.chunks(s, d))
 
 
-@query("g6_sample")
+@query("g6_sample", f"WITH {T.CH}, {T.EX} SELECT chunk_id FROM (SELECT DISTINCT chunk_id FROM ex) ORDER BY md5('42:' || chunk_id), chunk_id LIMIT 100")
 def _(s, d):
-    return G.sample(G.candidates(T.chunks(s, d)), 100)
+    return G.sample(G.candidates(T.chunks(s, d)).select("chunk_id"), 100)
 
 
 @query("g7_chain_context", f"WITH {T.CH}, {T.EX}, h1 AS (SELECT DISTINCT chunk_id, ref FROM ex), h2 AS (SELECT DISTINCT a.chunk_id, b.ref FROM h1 a JOIN h1 b ON b.chunk_id = a.ref WHERE a.chunk_id <> b.ref) SELECT chunk_id, ref, 1 AS hop FROM h1 UNION ALL SELECT chunk_id, ref, 2 AS hop FROM h2 WHERE (chunk_id, ref) NOT IN (SELECT (chunk_id, ref) FROM h1)")
@@ -202,16 +299,25 @@ def _(s, d):
 
 # Windows.
 
-DOCTOK = f"dt AS (SELECT doc_id, {T.TOK.format('text')} AS t FROM documents)"
-WINS = f"{DOCTOK}, wn AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(w AS INT) AS win, list_slice(t, w * 75 + 1, w * 75 + 100) AS x FROM (SELECT *, unnest(range(0, CAST(floor(greatest(len(t) - 26, 0) / 75) AS BIGINT) + 1)) AS w FROM dt))"
+DOCTOK = r"dt AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+[^\p{L}\p{N}]*') AS t, regexp_extract(text, '\A[^\p{L}\p{N}]+') AS head FROM documents)"
+
+
+def windows_sql(window: int, overlap: int) -> str:
+    step = window - overlap
+    cut = f"list_slice(t, w * {step} + 1, w * {step} + {window})"
+    text = f"CASE WHEN w = 0 AND len(t) > 0 THEN head ELSE '' END || array_to_string({cut}, '')"
+    return rf"{DOCTOK}, wn AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(w AS INT) AS win, len(t) AS n, text, len({cut}) AS n_tokens, regexp_replace({text}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+\z', '', 'g') AS window_text FROM (SELECT *, unnest(range(0, CAST(floor(greatest(len(t) - {overlap + 1}, 0) / {step}) AS BIGINT) + 1)) AS w FROM dt))"
+
+
+WINS = windows_sql(100, 25)
 
 
 def doc_windows(s, d):
     docs = T.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return C.windows(docs, X.tokens(F.col("text")), 100, 25).drop("text")
+    return C.windows(docs, F.col("text"), 100, 25).drop("text")
 
 
-@query("w1_windows", f"WITH {WINS} SELECT doc_id, win, CAST(len(x) AS INT) AS n_tokens, array_to_string(x, ' ') AS window_text FROM wn")
+@query("w1_windows", f"WITH {WINS} SELECT doc_id, win, CAST(n_tokens AS INT) AS n_tokens, window_text FROM wn")
 def _(s, d):
     return doc_windows(s, d)
 
@@ -271,11 +377,32 @@ def _(s, d):
     return a.join(v, "item_id").select(F.col("item_id").alias("vec_id"), F.round(V.cosine(F.col("va"), F.col("vector")), 6).alias("sim"))
 
 
-@query("r7_sparse_cosine", f"WITH {T.CH}, {T.TK}, {T.WT}, nn AS (SELECT chunk_id, sqrt(sum(w * w)) AS nrm FROM wt GROUP BY 1), a AS (SELECT * FROM wt WHERE chunk_idx = 0), b AS (SELECT * FROM wt WHERE chunk_idx = 1) SELECT p.chunk_id, round(coalesce(x.s, 0) / (na.nrm * nb.nrm + 1e-9), 6) AS sim FROM (SELECT DISTINCT b.chunk_id, a.chunk_id AS other FROM b JOIN a USING (doc_id)) p JOIN nn na ON na.chunk_id = p.other JOIN nn nb ON nb.chunk_id = p.chunk_id LEFT JOIN (SELECT b.chunk_id, sum(a.w * b.w) AS s FROM b JOIN a USING (doc_id, term) GROUP BY 1) x ON x.chunk_id = p.chunk_id")
+@query("r7_sparse_cosine", f"WITH {T.CH}, {T.TK}, {T.WT}, nn AS (SELECT chunk_id, sqrt(sum(w * w)) AS nrm FROM wt GROUP BY 1), p AS (SELECT b.chunk_id, a.chunk_id AS other FROM (SELECT DISTINCT chunk_id, doc_id, chunk_idx FROM wt) b JOIN (SELECT DISTINCT chunk_id, doc_id, chunk_idx + 1 AS chunk_idx FROM wt) a USING (doc_id, chunk_idx)) SELECT p.chunk_id, round(coalesce(x.s, 0) / (na.nrm * nb.nrm + 1e-9) + 1e-9, 6) AS sim FROM p JOIN nn na ON na.chunk_id = p.other JOIN nn nb ON nb.chunk_id = p.chunk_id LEFT JOIN (SELECT p.chunk_id, sum(a.w * b.w) AS s FROM p JOIN wt b ON b.chunk_id = p.chunk_id JOIN wt a ON a.chunk_id = p.other AND a.term = b.term GROUP BY 1) x ON x.chunk_id = p.chunk_id")
 def _(s, d):
     w = T.weights(s, d)
-    a = w.filter("chunk_idx = 0").select("doc_id", F.col("weights").alias("wa"))
-    return w.filter("chunk_idx = 1").join(a, "doc_id").select("chunk_id", F.round(V.sparse_cosine(F.col("weights"), F.col("wa")), 6).alias("sim"))
+    a = w.select("doc_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), F.col("weights").alias("wa"))
+    return w.join(a, ["doc_id", "chunk_idx"]).select("chunk_id", F.round(V.sparse_cosine(F.col("weights"), F.col("wa")) + 1e-9, 6).alias("sim"))
+
+
+PLACES = f"pl AS (SELECT chunk_id, CAST(('0x' || substr(md5(term), 1, 4)) AS INT) % 64 AS place, count(*) AS n FROM tk GROUP BY 1, 2)"
+
+
+@query("r9_encode", f"WITH {T.CH}, {T.TK}, {PLACES} SELECT chunk_id, CAST(place AS INT) AS place, CAST(n AS DOUBLE) AS value FROM pl")
+def _(s, d):
+    v = R.encode(T.chunks(s, d).select("chunk_id", "chunk"), R.HashEncoder())
+    return v.select("chunk_id", F.posexplode("vector").alias("place", "value")).filter("value <> 0").withColumn("value", F.col("value").cast("double"))
+
+
+@query("r9_encode_sparse", f"WITH {T.CH}, {T.TK} SELECT tf.chunk_id, tf.term, round(tf / dl, 6) AS weight FROM tf JOIN dl USING (chunk_id)")
+def _(s, d):
+    v = R.encode_sparse(T.chunks(s, d).select("chunk_id", "chunk"), R.HashEncoder())
+    return v.select("chunk_id", F.explode("weights").alias("term", "weight")).withColumn("weight", F.round("weight", 6))
+
+
+@query("r10_nested_encode", f"WITH {T.CH}, {T.TK}, {PLACES}, mn AS (SELECT doc_id, place, sum(pl.n) AS total, any_value(ch.n) AS chunks FROM pl JOIN ch USING (chunk_id) GROUP BY 1, 2) SELECT ch.chunk_id, CAST(mn.place AS INT) AS place, round(coalesce(pl.n, 0) + total / chunks, 3) AS value FROM ch JOIN mn USING (doc_id) LEFT JOIN pl ON pl.chunk_id = ch.chunk_id AND pl.place = mn.place")
+def _(s, d):
+    v = R.encode_nested(T.chunks(s, d), R.HashEncoder())
+    return v.select("chunk_id", F.posexplode("vector").alias("place", "value")).filter("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 3))
 
 
 @query("r12_mean_pool", "SELECT label, CAST(i AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2")
@@ -293,10 +420,10 @@ def _(s, d):
     return R.max_sim(bm25(s, d), X.doc_id(F.col("chunk_id")))
 
 
-@query("r15_retrieve_10", f"WITH {T.BM}, h AS (SELECT query_id, min(rank) FILTER (chunk_id = query_id) AS r FROM rk WHERE rank <= 10 GROUP BY 1) SELECT count(*) AS n, round(count(*) FILTER (r <= 1) / count(*), 5) AS recall_1, round(count(*) FILTER (r <= 10) / count(*), 5) AS recall_10 FROM h")
+@query("r15_retrieve_10", f"WITH {T.BM}, h AS (SELECT qa.query_id, rank AS r FROM qa LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) t ON t.query_id = qa.query_id AND chunk_id = gt_chunk_id) SELECT count(*) AS n, round(count(*) FILTER (r <= 1) / count(*), 5) AS recall_1, round(count(*) FILTER (r <= 10) / count(*), 5) AS recall_10 FROM h")
 def _(s, d):
-    h = bm25(s, d, 10).groupBy("query_id").agg(F.min(F.when(F.col("chunk_id") == F.col("query_id"), F.col("rank"))).alias("r"))
-    return h.agg(F.count("*").alias("n"), *[F.round(F.count_if(F.col("r") <= k) / F.count("*"), 5).alias(f"recall_{k}") for k in (1, 10)])
+    h = M.ground_truth_rank(T.known_items(s, d), bm25(s, d, 10))
+    return h.agg(F.count("*").alias("n"), *[F.round(F.count_if(F.col("gt_rank") <= k) / F.count("*"), 5).alias(f"recall_{k}") for k in (1, 10)])
 
 
 @query("j15_doc_similarity", f"WITH {T.VEC}, p AS (SELECT label AS item_id, list(x ORDER BY i) AS vector FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM v) GROUP BY 1, 2) GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(list_cosine_similarity(a.vector, b.vector), 6) AS sim FROM p a, p b")
@@ -306,7 +433,7 @@ def _(s, d):
 
 # Metrics. One relevant chunk a known item; several relevant vectors a label.
 
-ONE = f"WITH {T.BM}, pq AS (SELECT q.query_id, r.rank FROM (SELECT DISTINCT query_id FROM rk) q LEFT JOIN (SELECT query_id, rank FROM rk WHERE chunk_id = query_id AND rank <= 100) r USING (query_id)), ks AS (SELECT unnest([1, 5, 10, 50, 100]) AS k)"
+ONE = f"WITH {T.BM}, pq AS (SELECT q.query_id, r.rank FROM (SELECT query_id FROM qa) q LEFT JOIN (SELECT query_id, rank FROM rk WHERE chunk_id = query_id AND rank <= 100) r USING (query_id)), ks AS (SELECT unnest([1, 5, 10, 50, 100]) AS k)"
 MANY = f"WITH {T.VEC}, nr AS (SELECT ql AS l, query_id, sum(rel) AS n_rel FROM vj GROUP BY 1, 2), hh AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM vj WHERE rank <= 100), ks AS (SELECT unnest([1, 5, 10, 50, 100]) AS k), pq AS (SELECT k, query_id, n_rel, coalesce(sum(rel), 0) AS hit, coalesce(sum(rel / log2(rank + 1)), 0) AS dcg, coalesce(sum(rel * hits / rank), 0) AS pr, coalesce(max(CASE WHEN rel = 1 THEN 1 / rank END), 0) AS rr FROM ks, nr JOIN hh USING (query_id) WHERE rank <= k GROUP BY 1, 2, 3)"
 
 
@@ -346,7 +473,7 @@ def _(s, d):
     return M.ground_truth_rank(T.known_items(s, d), bm25(s, d)).select("query_id", "gt_chunk_id", "gt_rank")
 
 
-@query("e2_result_rows", f"WITH {T.BM} SELECT qa.query_id, query, gt_chunk_id, g.chunk AS gt_chunk_text, r.rank AS gt_chunk_rank, string_agg(t.rank || '|' || t.chunk_id || '|' || c.chunk, '¶' ORDER BY t.rank) AS preds FROM qa JOIN ch g ON g.chunk_id = gt_chunk_id LEFT JOIN (SELECT * FROM rk WHERE rank <= 100) r ON r.query_id = qa.query_id AND r.chunk_id = gt_chunk_id JOIN (SELECT * FROM rk WHERE rank <= 10) t ON t.query_id = qa.query_id JOIN ch c ON c.chunk_id = t.chunk_id GROUP BY 1, 2, 3, 4, 5")
+@query("e2_result_rows", f"WITH {T.BM} SELECT qa.query_id, query, gt_chunk_id, g.chunk AS gt_chunk_text, r.rank AS gt_chunk_rank, coalesce(string_agg(t.rank || '|' || t.chunk_id || '|' || c.chunk, '¶' ORDER BY t.rank), '') AS preds FROM qa JOIN ch g ON g.chunk_id = gt_chunk_id LEFT JOIN (SELECT * FROM rk WHERE rank <= 100) r ON r.query_id = qa.query_id AND r.chunk_id = gt_chunk_id LEFT JOIN (SELECT * FROM rk WHERE rank <= 10) t ON t.query_id = qa.query_id LEFT JOIN ch c ON c.chunk_id = t.chunk_id GROUP BY 1, 2, 3, 4, 5")
 def _(s, d):
     rows = M.result_rows(T.known_items(s, d), bm25(s, d), T.chunks(s, d))
     line = lambda p: F.concat_ws("|", p["rank"].cast("string"), p["pred_chunk_id"], p["pred_chunk_text"])
@@ -401,7 +528,7 @@ def _(s, d):
 @query("f6_id_set", f"WITH {T.CH} SELECT chunk_id, chunk FROM ch WHERE chunk_id IN (SELECT concat(doc_id, '_0') FROM labels)")
 def _(s, d):
     ids = T.table(s, d, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit("_0")).alias("chunk_id"))
-    return U.only_ids(T.chunks(s, d).select("chunk_id", "chunk"), ids, exact=False)
+    return U.only_ids(T.chunks(s, d).select("chunk_id", "chunk"), ids)
 
 
 @query("f7_non_contextual", f"WITH {T.CH}, {T.FQ}, {T.FR} SELECT chunk_id, query FROM fr WHERE NOT ({KEPT})")
@@ -418,12 +545,12 @@ def _(s, d):
     return U.funnel_counts(q, failures=a, ranks=b, assurance=U.assurance_filter(b, T.assurance(s, d)))
 
 
-@query("j6_checkpoint_todo", f"WITH {T.CH}, {T.FQ} SELECT chunk_id FROM fq WHERE d NOT IN (SELECT doc_id FROM labels)")
+@query("j6_checkpoint_todo", f"WITH {T.CH}, {T.FQ} SELECT chunk_id FROM fq WHERE chunk_id NOT IN (SELECT concat(doc_id, '_1') FROM labels)")
 def _(s, d):
     return U.todo(T.funnel_queries(s, d), T.assurance(s, d)).select("chunk_id")
 
 
-@query("j7_checkpoint_update", f"WITH {T.CH}, {T.FQ} SELECT chunk_id FROM fq WHERE d IN (SELECT doc_id FROM labels)")
+@query("j7_checkpoint_update", f"WITH {T.CH}, {T.FQ} SELECT chunk_id FROM fq WHERE chunk_id IN (SELECT concat(doc_id, '_1') FROM labels)")
 def _(s, d):
     return U.todo(T.funnel_queries(s, d), T.assurance(s, d), update=True).select("chunk_id")
 
@@ -532,9 +659,9 @@ def _(s, d):
     return T.table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "source")
 
 
-@query("a13_sample")
+@query("a13_sample", f"WITH {T.CH}, r AS (SELECT doc_id, chunk_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || chunk_id), chunk_id) AS INT) AS place FROM ch) SELECT * FROM r WHERE place <= 4")
 def _(s, d):
-    return A.stratified(T.chunks(s, d).select("doc_id", "chunk_id"), "doc_id", 4, [F.xxhash64("chunk_id", F.lit(42)), F.col("chunk_id")])
+    return A.stratified(T.chunks(s, d).select("doc_id", "chunk_id"), "doc_id", 4, [G.seeded(F.col("chunk_id")), F.col("chunk_id")])
 
 
 @query("a14_n_smallest", f"WITH {T.CH}, {T.CUM}, r AS (SELECT doc_id, chunk_id, tok, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tok, chunk_id) AS INT) AS place FROM cum) SELECT * FROM r WHERE place <= 4")
@@ -547,11 +674,19 @@ def _(s, d):
     return T.chunks(s, d).groupBy("doc_id").agg(F.round(F.avg(F.length("chunk")), 6).alias("mean_chars"))
 
 
-@query("a16_lexical_overlap", f"WITH {T.CH}, {T.TK}, {T.WT}, pr AS (SELECT q.doc_id, q.chunk_id AS query_id, a.chunk_id AS c, b.chunk_id AS x FROM ch q JOIN ch a ON a.doc_id = q.doc_id AND a.chunk_idx = 0 JOIN ch b ON b.doc_id = q.doc_id AND b.chunk_idx = 2 WHERE q.chunk_idx = 1), nn AS (SELECT chunk_id, sqrt(sum(w * w)) AS nrm FROM wt GROUP BY 1), s AS (SELECT p.query_id, t.chunk_id, sum(q.w * t.w) AS dot FROM pr p JOIN wt q ON q.chunk_id = p.query_id JOIN wt t ON t.doc_id = p.doc_id AND t.term = q.term AND t.chunk_idx IN (0, 2) GROUP BY 1, 2) SELECT p.query_id, round(coalesce(sc.dot, 0), 6) AS lexical_chunk, round(coalesce(sc.dot, 0) / (nq.nrm * nc.nrm + 1e-9), 6) AS sparse_chunk, round(coalesce(sx.dot, 0), 6) AS lexical_context, round(coalesce(sx.dot, 0) / (nq.nrm * nx.nrm + 1e-9), 6) AS sparse_context FROM pr p JOIN nn nq ON nq.chunk_id = p.query_id JOIN nn nc ON nc.chunk_id = p.c JOIN nn nx ON nx.chunk_id = p.x LEFT JOIN s sc ON sc.query_id = p.query_id AND sc.chunk_id = p.c LEFT JOIN s sx ON sx.query_id = p.query_id AND sx.chunk_id = p.x")
+def likeness_sql(side: str, name: str) -> str:
+    dot, dense = f"coalesce(s{side}.dot, 0)", f"coalesce(v{side}.dot, 0)"
+    return f"round({dot} + 1e-9, 6) AS lexical_{name}, round({dot} / (nq.nrm * n{side}.nrm + 1e-9) + 1e-9, 6) AS sparse_{name}, round({dense} / (dq.nrm * d{side}.nrm + 1e-9) + 1e-9, 6) AS dense_{name}"
+
+
+A16 = f"WITH {T.CH}, {T.TK}, {T.WT}, {PLACES}, tx AS (SELECT DISTINCT chunk_id, doc_id, chunk_idx FROM wt), pr AS (SELECT q.chunk_id AS query_id, a.chunk_id AS c, b.chunk_id AS x FROM tx q JOIN tx a ON a.doc_id = q.doc_id AND a.chunk_idx = q.chunk_idx - 1 JOIN tx b ON b.doc_id = q.doc_id AND b.chunk_idx = q.chunk_idx + 1), nn AS (SELECT chunk_id, sqrt(sum(w * w)) AS nrm FROM wt GROUP BY 1), dn AS (SELECT chunk_id, sqrt(sum(n * n)) AS nrm FROM pl GROUP BY 1), po2 AS (SELECT query_id, c AS other FROM pr UNION ALL SELECT query_id, x FROM pr), sd AS (SELECT p.query_id, p.other, sum(q.w * t.w) AS dot FROM po2 p JOIN wt q ON q.chunk_id = p.query_id JOIN wt t ON t.chunk_id = p.other AND t.term = q.term GROUP BY 1, 2), vd AS (SELECT p.query_id, p.other, sum(q.n * t.n) AS dot FROM po2 p JOIN pl q ON q.chunk_id = p.query_id JOIN pl t ON t.chunk_id = p.other AND t.place = q.place GROUP BY 1, 2)"
+
+
+@query("a16_lexical_overlap", f"{A16} SELECT p.query_id, {likeness_sql('c', 'chunk')}, {likeness_sql('x', 'context')} FROM pr p JOIN nn nq ON nq.chunk_id = p.query_id JOIN nn nc ON nc.chunk_id = p.c JOIN nn nx ON nx.chunk_id = p.x JOIN dn dq ON dq.chunk_id = p.query_id JOIN dn dc ON dc.chunk_id = p.c JOIN dn dx ON dx.chunk_id = p.x LEFT JOIN sd sc ON sc.query_id = p.query_id AND sc.other = p.c LEFT JOIN sd sx ON sx.query_id = p.query_id AND sx.other = p.x LEFT JOIN vd vc ON vc.query_id = p.query_id AND vc.other = p.c LEFT JOIN vd vx ON vx.query_id = p.query_id AND vx.other = p.x")
 def _(s, d):
     w = T.weights(s, d).join(T.chunks(s, d).select("chunk_id", R.hash_embedding(F.col("chunk")).alias("v")), "chunk_id")
-    sides = [w.filter(F.col("chunk_idx") == i).select("doc_id", F.col("weights").alias(f"{n}_w"), F.col("v").alias(f"{n}_v"), *([F.col("chunk_id").alias("query_id")] if n == "q" else [])) for n, i in (("q", 1), ("c", 0), ("x", 2))]
-    return A.overlap_table(sides[0].join(sides[1], "doc_id").join(sides[2], "doc_id")).drop("dense_chunk", "dense_context")
+    side = lambda n, step, *more: w.select("doc_id", (F.col("chunk_idx") + step).alias("at"), F.col("weights").alias(f"{n}_w"), F.col("v").alias(f"{n}_v"), *more)
+    return A.overlap_table(side("q", 0, F.col("chunk_id").alias("query_id")).join(side("c", 1), ["doc_id", "at"]).join(side("x", -1), ["doc_id", "at"]))
 
 
 @query("a17_max_tokens", f"WITH {T.CH}, {T.CUM} SELECT max(tok) AS max_tokens FROM cum")
@@ -572,22 +707,30 @@ def _(s, d):
 # Model stages, with the offline provider.
 
 
-@query("l7_contextualise")
+def words_sql(*parts: str) -> str:
+    return " + ".join(WORDS.format(p) for p in parts)
+
+
+@query("l7_contextualise", f"WITH {T.CH} SELECT chunk_id, ch.doc_id || ': ' || ({fixed_words(L.SITUATE)} + {words_sql('text', 'chunk')}) || ' words' || chr(10) || chr(10) || ' ' || chunk AS chunk FROM ch JOIN documents ON documents.doc_id = ch.d")
 def _(s, d):
     return L.contextualise(T.chunks(s, d), L.Echo())
 
 
-@query("l8_waterfall")
+@query("l8_waterfall", f"WITH {T.CH}, {windows_sql(400, 100)}, a AS (SELECT chunk_id, chunk, string_agg(doc_id || '_w' || win || ': ' || ({fixed_words(L.SITUATE)} + {words_sql('CASE WHEN wn.n > 400 THEN window_text ELSE text END', 'chunk')}) || ' words', chr(10) || chr(10) ORDER BY win) AS said FROM ch JOIN wn USING (doc_id) GROUP BY 1, 2) SELECT chunk_id, said || chr(10) || chr(10) || ' ' || chunk AS chunk FROM a")
 def _(s, d):
     return L.waterfall(T.chunks(s, d), L.Echo(), window=400, overlap=100)
 
 
-@query("l9_generate")
+GENERATED = f"{ORACLE['g5_assembled_context'].replace('SELECT * FROM r', 'SELECT chunk_id, chunk, context AS context_chunks, target_context AS impl_context_chunks FROM r')}"
+LAST_WORD = L.QUERY_TEMPLATE.split()[-1]
+
+
+@query("l9_generate", f"SELECT chunk_id, 'what of {LAST_WORD}' AS query, chunk, context_chunks, impl_context_chunks, chunk_id AS target_context_chunk_id FROM ({GENERATED})")
 def _(s, d):
-    return L.generate(T.chunks(s, d), L.Echo("query"), "query_r8")
+    return L.generate(T.chunks(s, d), L.Echo("query"), "query_r8").drop("utilized_context_chunk_ids")
 
 
-@query("l10_assure")
+@query("l10_assure", f"SELECT chunk_id, CASE WHEN n % 2 = 1 THEN 'Yes' ELSE 'No' END AS passes_assurance, 'Yes' AS criterion_1, 'Yes' AS criterion_2, 'Yes' AS criterion_3, 'Yes' AS criterion_4, chunk_id || ': ' || n || ' words' AS answer_to_query FROM (SELECT chunk_id, {fixed_words(L.ASSURANCE_TEMPLATE)} + 3 + {words_sql('chunk', 'context_chunks', 'impl_context_chunks')} AS n FROM ({GENERATED}))")
 def _(s, d):
     q = L.generate(T.chunks(s, d), L.Echo("query"), "query_r8")
     return L.assure(q, L.Echo("verdict"), "assurance_r10")

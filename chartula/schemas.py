@@ -24,6 +24,7 @@ RESULTS = "query string, gt_chunk_text string, gt_chunk_id string, gt_chunk_rank
 
 #: The fields that a model's structured answer must hold, by revision of the prompt.
 QUERY_ANSWERS = {"r4": "query string", "r8": "target_context_chunk_id string, query string", "r9": "utilized_context_chunk_ids array<string>, query string"}
+VERDICTS = ("Yes", "No")
 VERDICT_CRITERIA = {"r4": 4, "r8": 5, "r9": 5, "r10": 4}
 
 

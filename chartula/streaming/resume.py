@@ -26,10 +26,3 @@ def run_new(spark: SparkSession, source: str, schema: str, stage: Callable[[Data
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return batches
-
-
-def event_rates(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums of an event stream (or table) by window and type, rows later than ``late`` left out of streams."""
-    from pyspark.sql import functions as F
-
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")

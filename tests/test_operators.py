@@ -1,8 +1,12 @@
 """Hand-computed cases of the operators that SQL can't check, and invariants of those that it can."""
 
 import io
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from chartula.functions import text as X
@@ -43,12 +47,108 @@ def test_context_graph(graph):
 
 @pytest.mark.parametrize("n, starts", [(4, [0]), (5, [0, 3]), (7, [0, 3]), (8, [0, 3, 6]), (0, [0])])
 def test_windows(spark, n, starts):
-    df = spark.createDataFrame([("d", [f"t{i}" for i in range(n)])], "doc_id string, t array<string>")
+    df = spark.createDataFrame([("d", " ".join(f"t{i}" for i in range(n)))], "doc_id string, t string")
     got = chunks.windows(df, F.col("t"), 4, 1).orderBy("win").collect()
     assert [r.window_text.split()[:1] for r in got] == [[f"t{s}"] if n else [] for s in starts]
     assert {w for r in got for w in r.window_text.split()} == {f"t{i}" for i in range(n)}
 
 
+class Letters:
+    """A tokenizer of single characters other than spaces."""
+
+    def offsets(self, text):
+        return [(i, i + 1) for i, c in enumerate(text) if c != " "]
+
+
+def test_windows_keep_the_text(spark):
+    df = spark.createDataFrame([("d", "Hello, World! The END.\nÆ (so).  ")], "doc_id string, t string")
+    got = [r.window_text for r in chunks.windows(df, F.col("t"), 3, 1).orderBy("win").collect()]
+    assert got == ["Hello, World! The", "The END.\nÆ (", "Æ (so)."]
+    assert "".join(df.select(X.pieces(F.col("t")).alias("p")).first().p) == "Hello, World! The END.\nÆ (so).  "
+    by = X.pieces_of(Letters())
+    small = spark.createDataFrame([("d", "ab, cd")], "doc_id string, t string")
+    assert [r.window_text for r in chunks.windows(small, F.col("t"), 3, 1, by).orderBy("win").collect()] == ["ab,", ", cd"]
+    assert small.select(X.token_count(F.col("t"), by).alias("n")).first().n == 5
+
+
+def test_analyzer(spark):
+    df = spark.createDataFrame([("The mice ran and Ran",)], "t string")
+    words = X.analyzer(stop=("the", "and"), lemmas={"mice": "mouse"})
+    assert df.select(words(F.col("t")).alias("w")).first().w == ["mouse", "ran", "ran"]
+
+
+def test_queries_without_hits(spark):
+    c = spark.createDataFrame([("d_0", "alpha beta"), ("d_1", "gamma")], "chunk_id string, chunk string")
+    q = spark.createDataFrame([("q0", "alpha", "d_0"), ("q1", "nothing here", "d_1"), ("q2", "", "d_1")], "query_id string, query string, gt_chunk_id string")
+    run = retrieval.bm25_top(q, c)
+    at = {r.k: r for r in metrics.mean_at(run, q.select("query_id", F.col("gt_chunk_id").alias("chunk_id"))).collect()}
+    assert at[1].recall == at[1].mrr == round(1 / 3, 5) and at[5].precision == round(1 / 15, 5)
+    rows = {r.query_id: r for r in metrics.result_rows(q, run, c).collect()}
+    assert rows["q1"].pred_chunks == [] and rows["q1"].gt_chunk_rank is None and rows["q1"].gt_chunk_text == "gamma"
+    assert [p.pred_chunk_id for p in rows["q0"].pred_chunks] == ["d_0"] and rows["q0"].gt_chunk_rank == 1
+
+
+def test_bm25_in_blocks_and_over_postings(spark, monkeypatch):
+    words = ["a", "b", "c", "dd", "e e", "b a"]
+    c = spark.createDataFrame([(f"d_{i}", " ".join(words[(i * j + j) % 6] for j in range(1, 2 + i % 5))) for i in range(40)], "chunk_id string, chunk string")
+    q = spark.createDataFrame([(i, w) for i, w in enumerate(["a a b", "dd", "zz", "c e a"])], "query_id long, query string")
+    one = retrieval.ranked(retrieval.bm25(q, retrieval.postings(c)), 7)
+    key = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 5)) for r in df.collect())
+    assert key(retrieval.bm25_top(q, c, 7)) == key(one)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 120)
+    assert key(retrieval.bm25_top(q, c, 7)) == key(one)
+
+
+def test_ids_that_repeat(spark):
+    rows = [("d_0", "old", 0, ["d_1"], []), ("d_1", "first", 1, [], []), ("d_1", "last", 2, [], [])]
+    g = spark.createDataFrame(rows, "chunk_id string, chunk string, chunk_idx int, explicit_context_chunks array<string>, implicit_context_chunks array<string>")
+    assert context.explicit_context(g).first().context_chunks == "last (chunk_id: d_1)"
+
+
+def test_verdicts_and_cost(spark):
+    class Maybe:
+        def complete(self, prompt, cache_id):
+            return json.dumps({"criterion_1": "Yes", "answer_to_query": "x", "verdict": "Maybe" if cache_id == "d_0" else "No"}), 0.25
+
+    q = spark.createDataFrame([("d_0", "q", "c", "", "", None), ("d_1", "q", "c", "", "", None)], "chunk_id string, query string, chunk string, context_chunks string, impl_context_chunks string, utilized_context_chunk_ids array<string>")
+    spent = Observation("spent")
+    got = {r.chunk_id: r.passes_assurance for r in generation.assure(q, Maybe(), "r10", spent=spent).collect()}
+    assert got["d_1"] == "No" and got["d_0"].startswith(PARSING_FAILURE) and "Maybe" in got["d_0"]
+    assert spent.get == {"cost": 0.5, "calls": 2}
+
+
+def test_chat_over_http(monkeypatch):
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"]))), self.headers["Authorization"]))
+            body = json.dumps({"choices": [{"message": {"content": "hi" if len(seen) == 1 else ""}}], "usage": {"cost": 0.5}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setitem(generation.SERVICES, "openrouter", (f"http://127.0.0.1:{server.server_port}/v1", "SOME_KEY"))
+    chat = generation.Chat("openrouter", "m")
+    with pytest.raises(ValueError):
+        chat.complete("p", "id")
+    monkeypatch.setenv("SOME_KEY", "k")
+    assert chat.complete("p", "id") == ("hi", 0.5)
+    assert seen[0][0] == "/v1/chat/completions" and seen[0][1]["messages"] == [{"role": "user", "content": "p"}] and seen[0][2] == "Bearer k"
+    with pytest.raises(ValueError):
+        chat.complete("p", "id")
+    server.shutdown()
+
+
+def test_timings(spark):
+    assert set(metrics.timed({"a": lambda: spark.range(3)})) == {"a"}
+
+
 def test_windows_need_a_smaller_overlap():
     with pytest.raises(ValueError):
         chunks.check_windows(4, 4)

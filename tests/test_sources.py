@@ -79,6 +79,12 @@ def test_commands(spark, tmp_path):
     run("assurance-filter", "--queries", tmp_path / "gen", "--assurance", tmp_path / "sure", "--output", tmp_path / "ctx")
     run("contextualise-dataset", "--chunks", chunks, "--output", tmp_path / "aug")
     assert spark.read.json(str(tmp_path / "aug")).count() == 4
+    (tmp_path / "base" / "one").mkdir(parents=True)
+    (tmp_path / "base" / "one" / "chunks.jsonl").write_bytes(open(chunks, "rb").read())
+    run("contextualise-datasets", "--base", tmp_path / "base", "--datasets", "one", "--output", tmp_path / "all", "--waterfall")
+    assert [r.chunk_id for r in spark.read.json(str(tmp_path / "all" / "one")).collect()] == [f"d_{i}" for i in range(4)]
+    run("eval", "--chunks", chunks, "--queries", queries, "--results", tmp_path / "res2", "--encoder", "chartula.operators.retrieval:HashEncoder")
+    assert spark.read.json(str(tmp_path / "res2")).count() == 2
     run("report", "--input", queries, "--output", tmp_path / "r.html")
     assert (tmp_path / "r.html").read_text().startswith("<!doctype html>")
     run("queries-to-dataset", "--queries", queries, "--output", tmp_path / "pq")
