@@ -138,6 +138,46 @@ def test_sharding_balances_a_hot_source(spark):
     assert len(sizes) == 10 and max(sizes) < 1.05 * min(sizes)
 
 
+def test_sharding_keeps_equal_texts_together(spark):
+    """Groups from a few rows to more than a shard: only the last are cut, into as few pieces as fit; sizes stay even."""
+    rows = [(i, f"single {i} " + "y" * (i * 53 % 200), "en", f"s{i % 5}") for i in range(3000)]
+    for g, n in enumerate((700, 300, 120, 60, 25, 9, 3, 2, 2)):
+        rows += [(10_000 + 1000 * g + i, f"group {g} " + "z" * 150, ("en", "de", None)[i % 3], f"s{i % 4}") for i in range(n)]
+    got = sharding.shard(frame(spark, rows), 10).collect()
+    text = {r[0]: r[1] for r in rows}
+    held, sizes, whole_size = defaultdict(set), Counter(), Counter()
+    for r in got:
+        held[text[r.doc_id]].add(r.shard)
+        sizes[r.shard] += r.size
+        whole_size[text[r.doc_id]] += r.size
+    share = sum(sizes.values()) / 10
+    assert all(len(s) == max(1, math.ceil(whole_size[t] / share)) for t, s in held.items()) and max(map(len, held.values())) > 1
+    assert len(got) == len(rows) and max(sizes.values()) < 1.05 * share and min(sizes.values()) > 0.95 * share
+
+
+def test_sharding_cuts_at_medians(spark):
+    """Each cut of a tree leaves the bytes nearest to its goal on the left, of all cuts along that dimension."""
+    rng = np.random.default_rng(8)
+    rows = [(int(h), int(size), *((int(d) << sharding.TIE) + (int(h) % (1 << sharding.TIE)) for d in ds)) for h, size, ds in zip(rng.integers(1, 1 << 40, 500), rng.integers(20, 900, 500), rng.integers(0, 9, (500, 3)))]
+    targets = [float(t) for t in rng.integers(1, 9, 7)]
+    root = sharding.grow(spark.createDataFrame(rows, "text_hash long, group_size long, x0 long, x1 long, x2 long"), targets)
+    todo, leaves = [(root, rows)], 0
+    while todo:
+        node, mine = todo.pop()
+        assert sum(r[1] for r in mine) == node.size
+        if not node.halves:
+            leaves += 1
+            continue
+        half = node.halves[0].last
+        goal = node.size * sum(targets[node.first : half]) / sum(targets[node.first : node.last])
+        by = sorted((r[2 + node.dim], r[1]) for r in mine)
+        sums = np.cumsum([0, *(size for _, size in by)])
+        assert abs(node.halves[0].size - goal) <= np.abs(sums - goal).min() + sharding.CLOSE * sum(r[1] for r in rows) / 7 + 1
+        assert node.dim == max(range(3), key=lambda i: (((node.box[i][1] >> sharding.TIE) - (node.box[i][0] >> sharding.TIE)) / max(1, (root.box[i][1] >> sharding.TIE) - (root.box[i][0] >> sharding.TIE)), -i))
+        todo += [(h, [r for r in mine if (r[2 + node.dim] <= node.cut) == (h is node.halves[0])]) for h in node.halves]
+    assert leaves == 7
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     sizes = Counter()
