@@ -93,15 +93,17 @@ def fingerprint(words: list[bytes]) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print) of documents (doc_id, text): the majority of each bit over the XXH64 of all 4-word shingles."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, print, also) of documents (doc_id, text): the majority of each bit over the XXH64 of all 4-word shingles."""
+    rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"), F.struct(*also, F.lit(0).alias("none_")).alias("carried"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(x.encode().lower().split()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2)], ["doc_id", "print", "carried"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole().alias("text")).mapInArrow(run, "doc_id long, print long")
+    made = rows.mapInArrow(run, rows.select("doc_id", F.lit(0).cast("long").alias("print"), "carried").schema)
+    return made.select("doc_id", "print", *[F.col("carried")[c].alias(c) for c in also])
 
 
 def _small(prints: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,21 +189,22 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "u long, v long").distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, component_id) of documents (doc_id, text): component_id is the smallest doc_id reachable by links.
+def near_groups(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, print, component_id, root) of documents (doc_id, text): component_id is the smallest doc_id reachable by
+    links, root a fingerprint that names the component; ``also`` names columns to carry.
 
     Equal fingerprints are one node before any key is made, so exact copies cost one row. Null and empty texts have the
     fingerprint zero, linked like any other; a null id is never the smallest unless all of its component are null; rows
     that repeat an id each come out. No rows give no rows.
     """
-    prints = written(fingerprints(docs))
+    prints = written(fingerprints(docs, *also))
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
     roots = stars(links(nodes.select("print")))
     rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     rooted = written(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(rooted.join(least, "root").select("print", "component_id"))
-    return prints.join(classes, "print").select("doc_id", "print", "component_id")
+    classes = written(rooted.join(least, "root").select("print", "component_id", "root"))
+    return prints.join(classes, "print").select("doc_id", "print", "component_id", "root", *also)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,20 +34,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return rest.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("left").cast("double") * F.col("weight") / F.col("by")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of documents (doc_id, text, source).
+def mix(docs: DataFrame, *also: str, seed: str = "mix-1", **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) of documents (doc_id, text, source); ``also`` names columns to carry.
 
     A document comes floor(rate) times, and once more with the probability of the rest: a hash of the seed and the id
     decides, so reruns agree and repeated rows fare alike. Null text has size 0, a null id hashes as the empty string, a
     null source is a source of its own. The rows joined are narrow; the targets are one row a source, whose size the
     optimizer knows from the written table: small ones are broadcast, others joined by sorted keys with skew split.
     """
-    sizes = written(docs.select("doc_id", "source", n_words(whole()).alias("size")))
-    targets = written(source_targets(sizes, **options)).withColumnRenamed("source", "of")
+    sizes = written(docs.select("doc_id", "source", n_words(whole()).alias("size"), F.struct(*also, F.lit(0).alias("none_")).alias("carried")))
+    targets = written(source_targets(sizes.select("source", "size"), **options)).withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long").alias("copies"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long").alias("copies"), *[F.col("carried")[c].alias(c) for c in also])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

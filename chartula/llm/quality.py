@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, WORD, documents, strip, whole
 
-#: Fixed values. Ends of a sentence and what may close after them, marks and words of a menu, phrases of page furniture (lower case).
+#: Fixed values. Ends of a sentence and what may close after them, marks of a menu; its words and the phrases of page
+#: furniture (lower case) in English, German, French and Spanish.
 TERMINAL, CLOSERS, MARKS = ".!?…。！？؟।:;", "\"'”’»)]", "|›»•>"
-MENU = r"^\W*(?:home|menu|next|previous|back to top|skip to (?:main )?content|log ?in|sign ?in|sign ?up|read more|share this|search)\W*$"
-FURNITURE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "javascript is disabled", "lorem ipsum", "subscribe to our", "click here to", "we use cookies")
+MENU_WORDS = (
+    "home", "menu", "next", "previous", "back to top", "skip to content", "skip to main content", "log ?in", "sign ?in", "sign ?up", "read more", "share this", "search",
+    "startseite", "menü", "weiter", "zurück", "nach oben", "anmelden", "registrieren", "mehr lesen", "suche",
+    "accueil", "suivant", "précédent", "haut de page", "connexion", "inscription", "lire la suite", "recherche",
+    "inicio", "menú", "siguiente", "anterior", "volver arriba", "iniciar sesión", "registrarse", "leer más", "buscar",
+)
+FURNITURE = (
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "javascript is disabled", "lorem ipsum", "subscribe to our", "click here to", "we use cookies",
+    "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "wir verwenden cookies",
+    "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "nous utilisons des cookies",
+    "política de privacidad", "términos de uso", "todos los derechos reservados", "utilizamos cookies",
+)
+MENU = rf"^\W*(?:{'|'.join(MENU_WORDS)})\W*$"
 SYMBOL = "#*$%&|<>"
 #: Share of a line's words that may end in a symbol, words a line needs to be held to the sentence rule, and the share of word characters a document must keep.
 MOST_SYMBOLS, SENTENCE_WORDS, LEAST_KEPT = 0.1, 3, 0.5
@@ -68,7 +80,7 @@ def measure(docs: DataFrame, *also: str) -> DataFrame:
     # Bound to a lambda's variable, the document's counts are found once; as columns, the optimizer would move them into the test of each line.
     clean = F.element_at(F.transform(F.array(F.struct("n_symbols", "n_marks", "furniture")), lambda of: F.filter("lines", lambda x: ~line_fails(x, of))), 1)
     d = c.select(
-        "doc_id", "carried", F.size("w").cast("long").alias("n_words"), F.length(F.translate("text_", WHITE, "")).cast("long").alias("word_chars"), "n_symbols",
+        "doc_id", "carried", "text_", F.size("w").cast("long").alias("n_words"), F.length(F.translate("text_", WHITE, "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(repeated("triples")).alias("n_repeat_words"), clean.alias("clean"),
     )
@@ -76,12 +88,13 @@ def measure(docs: DataFrame, *also: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, *also: str) -> DataFrame:
-    """measure() with base_failed and kept: not base_failed, and LEAST_KEPT of the word characters left in clean lines.
+    """measure() with base_failed and kept: not base_failed, and LEAST_KEPT of the word characters left in clean lines; and
+    cleaned: the text as it stands where no line fails, else its clean lines.
 
     The columns named in ``also`` come after them, as they are.
     """
     m = measure(docs, *also).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return m.withColumn("kept", ~F.col("base_failed") & (F.col("clean_chars") >= LEAST_KEPT * F.col("word_chars"))).withColumn("cleaned", F.array_join("clean", "\n")).select("*", *[F.col("carried")[c].alias(c) for c in also]).drop("clean", "carried")
+    return m.withColumn("kept", ~F.col("base_failed") & (F.col("clean_chars") >= LEAST_KEPT * F.col("word_chars"))).withColumn("cleaned", F.when(F.col("clean_chars") == F.col("word_chars"), F.col("text_")).otherwise(F.array_join("clean", "\n"))).drop("text_").select("*", *[F.col("carried")[c].alias(c) for c in also]).drop("clean", "carried")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from test_edges import brute_print, components, late, words
+from test_edges import ROWS, brute_print, components, frame, late, words
 
 import corpus_pipeline
 from chartula.llm import registry
@@ -59,5 +59,37 @@ def test_pipeline_stages(spark):
     assert max(bins.values()) <= 1024 and len(bins) <= sum(bins.values()) / 1024 * 1.05 + 8
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated ids and rows, missing and extra columns: each stage on its own input."""
+    stages = dict(corpus_pipeline.STAGES)
+    odd = frame(spark, ROWS)
+    none = frame(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, odd.drop("lang", "source"), none):
+            out = stage(spark, docs, SF)
+            if name != "best_fit_packing":
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+            assert out.count() == 0 if docs is none else out.count() >= 0
+    # One row a text; the text of a repeated id is lost with no row of another.
+    rows = [(1, "A", "en", "a"), (2, "A", "en", "a"), (1, "B", "en", "a"), (5, "C", "en", "a"), (5, "C", "en", "a"), (5, "C", "de", "a"), (None, "D", "en", "a"), (None, "D", "en", "a"), (None, None, "en", "a"), (7, "", "en", "a")]
+    got = stages["exact_dedup"](spark, frame(spark, rows), SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.lang) for r in got) == [(0, "D", "en"), (1, "B", "en"), (2, "A", "en"), (5, "C", "de"), (7, "", "en")]
+    text = " ".join(f"word{i * 7 % 311}" for i in range(300))
+    other = " ".join(f"term{i * 11 % 307}" for i in range(300))
+    rows = [(4, text, "en", "a"), (4, text, "en", "a"), (9, text + " more", "en", "a"), (None, text, "en", "a"), (None, other, "en", "a"), (None, other, "en", "a"), (4, other + " x " * 3 + text, "en", "a")]
+    got = stages["near_dedup"](spark, frame(spark, rows), SF).collect()
+    of = components([(d, brute_print(t)) for d, t, *_ in rows])
+    assert len(got) == len({of[brute_print(t)] if of[brute_print(t)] is not None else "null" for _, t, *_ in rows}) and (4, text) in {(r.doc_id, r.text) for r in got}
+    # Copies follow the row and its source, not the id alone.
+    rows = [(1, "one two three", "en", s) for s in ("a", "b", None)] + [(i, "x y z", "en", "b") for i in range(2, 40)]
+    mixed = stages["mix_sources"](spark, frame(spark, rows), SF).collect()
+    assert max(Counter((r.doc_id, r.source) for r in mixed).values()) <= 2
+    # Failing lines go, clean documents stay as they are.
+    prose = "\n".join(f"The {i} first line of plain prose says {i * 37} things about word{i * 13} and term{i * 29}." for i in range(12)) + "\n\n"
+    rows = [(1, prose, "en", "a"), (2, prose + "Home | News | Shop | Login | to | site\n", "en", "a")]
+    got = {r.doc_id: r for r in stages["quality_rules"](spark, frame(spark, rows), SF).collect()}
+    assert got[1].text == prose and "Home" not in got[2].text and all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_pipeline_run(spark):
     assert zlib.crc32(b"") == 0 and corpus_pipeline.run(spark, SF).columns[:2] == ["doc_id", "piece"]
