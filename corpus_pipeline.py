@@ -1,11 +1,15 @@
 """From raw documents to packed training sequences: five stages, each written and read again by the next.
 
-Every stage sees all that its predecessor kept. All but the last return the columns of documents:
-
-* quality: documents that the quality rules reject go; the texts of the others stay as they are;
-* exact: of equal texts, the row with the largest doc_id stays (rows that repeat that id stay with it);
-* near: one document of each SimHash component stays, the one with the smallest doc_id;
-* mix: a document comes as often as the mix takes it, not at all to twice;
+Every stage sees all that its predecessor kept, and carries the rows through its operator, so that each decision is about a
+row, whatever ids repeat. All but the last return the columns of documents; a column that the input lacks is null.
+
+* quality: documents that the quality rules reject go; of the others the lines that fail go, and n_chars is counted anew. A
+  document without such a line stays as it is;
+* exact: of equal texts one row stays, that with the largest doc_id (null is the smallest; of rows that repeat the id, the
+  first by the other columns);
+* near: of each SimHash component one row stays, that with the smallest doc_id (null is the largest; of rows that repeat
+  it, one by a hash of the row). A component of null ids alone keeps one row too;
+* mix: a row comes as often as the mix takes it, not at all to twice; rows that repeat an id fare alike;
 * pack: sequences of tokens; rows that the mix repeats are packed as often.
 
 Null texts count as empty (the quality rules reject them), empty tables give no rows. The near stage can't be put in SQL
@@ -23,33 +27,39 @@ from pyspark.sql import functions as F
 from chartula.llm import content_sort, golay, mixing, packing, quality
 from chartula.llm.common import documents, written
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KINDS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+COLUMNS = tuple(KINDS)
+CARRIED = COLUMNS[1:]
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(kind).alias(c) for c, kind in KINDS.items()])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(docs, *(c for c in COLUMNS if c != "doc_id"))
-    return written(judged.select(*COLUMNS, "kept")).filter("kept").select(*COLUMNS)
+    judged = quality.judge(_columns(docs), "lang", "source").select("doc_id", F.col("cleaned").alias("text"), "lang", "source", "kept")
+    # Written before the filter, so that the rules are evaluated once and not again inside it.
+    return written(judged).filter("kept").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = written(content_sort.exact_groups(docs).filter("NOT kept").select("doc_id").distinct())
-    left = docs.select(*COLUMNS).join(gone.select(F.col("doc_id").alias("gone")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    return left
+    return content_sort.exact_groups(_columns(docs), *CARRIED).filter("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = written(golay.near_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
+    rows = written(golay.near_groups(_columns(docs), *CARRIED).withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*CARRIED).alias("hash"), "row")
+    kept = written(rows.groupBy("root").agg(F.min(order).alias("least")).select("least.row"))
+    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = written(mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("taken"), "copies").distinct())
-    joined = docs.select(*COLUMNS).join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("taken")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    mixed = mixing.mix(_columns(docs), "text", "lang", "n_chars").filter("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(_columns(docs), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
