@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import ROWS, batch_of, by_bucket
-from .common import documents, whole, written
+from .common import discard, documents, whole, written
 from .suffix_dedup import Grams
 
 FOLDS, HELD = 7, 2
@@ -697,6 +697,7 @@ def score(docs: DataFrame, block_bytes: int = 1 << 23) -> DataFrame:
     blank = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("text")]
     both = replies.filter("kind >= 0").select("bucket", "kind", "data", *blank).unionByName(theirs)
     sums = written(gather(gather(both, n).mapInArrow(send(n, buckets, vocabulary), ROWS), n).mapInArrow(mix_contexts(vocabulary), ROWS))
+    discard(replies)
     scored = gather(rows(sums), n).mapInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
 

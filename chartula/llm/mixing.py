@@ -42,11 +42,14 @@ def mix(docs: DataFrame, *also: str, seed: str = "mix-1", **options) -> DataFram
     null source is a source of its own. The rows joined are narrow; the targets are one row a source, whose size the
     optimizer knows from the written table: small ones are broadcast, others joined by sorted keys with skew split.
     """
-    sizes = written(docs.select("doc_id", "source", n_words(whole()).alias("size"), F.struct(*also, F.lit(0).alias("none_")).alias("carried")))
-    targets = written(source_targets(sizes.select("source", "size"), **options)).withColumnRenamed("source", "of")
+    carried = F.struct(*also, F.lit(0).alias("none_")).alias("carried")
+    sizes = written(docs.select("doc_id", "source", n_words(whole()).alias("size")))
+    targets = written(source_targets(sizes, **options)).withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    joined = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
+    # Carried columns may be wide: rows with them come from the documents themselves, and are joined to the few targets.
+    rows = docs.select("doc_id", "source", n_words(whole()).alias("size"), carried) if also else sizes.withColumn("carried", carried)
+    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
     return joined.select("doc_id", "source", "size", "source_size", "target", (F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long").alias("copies"), *[F.col("carried")[c].alias(c) for c in also])
 
 

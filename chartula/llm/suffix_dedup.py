@@ -3,13 +3,16 @@
 A string of LENGTH bytes is dealt by its smallest hashed K-gram, which its own bytes decide, so equal strings meet wherever
 they start. Neighbouring strings with one such gram form a piece. Three steps:
 
-1. pieces: a piece whose whole content an earlier document has is covered at once; of the others under one gram, those
-   that differ are sent for;
-2. shards: the bytes of pieces that were sent for, one copy of each content, are put in suffix arrays by induced sorting;
-   runs of LENGTH common bytes name the strings that an earlier document has too;
+1. grams: pieces meet under their gram. Those of a gram that only one document has can't repeat. The others are sent for: to
+   the shard of the first document that has the gram, or, where more than SHARED pieces have it, to one of the gram's own,
+   or, beyond MANY pieces, string by string;
+2. shards: pieces of one document that follow each other and go to one place travel as one span. A suffix array of a
+   shard's spans, by induced sorting, brings equal strings together; runs of LENGTH common bytes, compared as bytes, name the
+   strings that an earlier document has too;
 3. documents: covered strings are cut out.
 
-Hashes only group: a chance collision of grams costs work, never a byte; contents are told apart by 64 + 32 bits.
+Hashes only group: a chance collision costs work, never a byte. Equal pieces of grams that have a shard of their own, from
+one bucket of documents, are compared as bytes before they are sent, and one of them goes.
 """
 
 from __future__ import annotations
@@ -23,31 +26,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import NO_ID, ROWS, batch_of, by_bucket, home, with_texts
-from .common import documents, whole, written
+from .common import discard, documents, whole, written
 from .induced import END, SEPARATOR, SHIFT, common, suffix_array
 
 LENGTH, K = 50, 24
-#: Bytes of text hashed together, strings in a piece, contents under one gram from which strings are dealt singly, bytes of a shard sorted at once, records dealt at once.
-TOGETHER, LONGEST, MANY, SORTED, DEALT = 1 << 21, 200, 1 << 14, 1 << 24, 1 << 20
+#: Bytes of text hashed together, strings in a piece, pieces under a gram beyond which it has its own shard, and beyond which its strings are dealt singly; bytes sorted at once, records dealt at once.
+TOGETHER, LONGEST, SHARED, MANY, SORTED, DEALT = 1 << 21, 200, 256, 1 << 14, 1 << 23, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
-PIECE = np.dtype([("gram", "<u4"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "u1")])
-COVER = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "u1"), ("shard", "<i4")])
-SENT = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "u1")])
-PIECES, COVERED, WANTED = 0, 1, 2
+PIECE = np.dtype([("gram", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "u1")])
+#: Strings of a document that follow each other; of those sent for, their shard (-1: dealt singly), what they are sorted with there, and whether equal ones are merged first.
+COVER = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "<u4")])
+WANT = np.dtype([*COVER.descr, ("shard", "<i4"), ("key", "<u4"), ("hot", "u1")])
+SENT = np.dtype([*COVER.descr, ("key", "<u4")])
+COVERED, WANTED = 1, 2
+PASSED = -1
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Column by column, which compresses better than row by row."""
-    return b"".join(np.ascontiguousarray(a[n]).tobytes() for n in a.dtype.names)
+    """Column by column and byte by byte, which compresses better than row by row."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(a[n]).view(np.uint8).reshape(len(a), -1).T).tobytes() for n in a.dtype.names) if len(a) else b""
 
 
 def unpack(data: bytes, kind: np.dtype) -> np.ndarray:
     n = len(data) // kind.itemsize
     out, at = np.empty(n, kind), 0
-    for name in kind.names:
+    for name in kind.names if n else ():
         step = kind[name].itemsize * n
-        out[name] = np.frombuffer(data, kind[name], n, at)
+        out[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, step, at).reshape(-1, n).T).view(kind[name]).ravel()
         at += step
     return out
 
@@ -135,18 +141,18 @@ class Grams:
             first = more + inside * LONGEST
             run = np.minimum(LONGEST, end - first)
         start = at[first]
-        size = run + LENGTH - 1
         out = np.empty(len(first), [("whole", "<u8"), *PIECE.descr])
         out["whole"], out["size"], out["doc"], out["tag"] = low[first], run, docs[of[first]], tags[of[first]]
-        out["content"] = self.mix((sums[start + size] - sums[start]) * self.down[start]) + size.astype(np.uint64)
         out["start"] = start - (ends - lengths)[of[first]]
         return out
 
 
-def _covered(p: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(p), COVER)
-    for name in ("doc", "tag", "start", "size"):
-        out[name] = p[name]
+def _as(a: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The same records under another type; fields that they lack are 0."""
+    out = np.zeros(len(a), kind)
+    for name in kind.names:
+        if name in a.dtype.names:
+            out[name] = a[name]
     return out
 
 
@@ -168,88 +174,100 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def find_pieces(buckets: int) -> Callable:
-    """Texts to dealt pieces; copies of a content in one batch of text are merged before the shuffle."""
+    """Texts to pieces, dealt by their grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for raw, lengths, docs, tags in _texts(batches):
             p = grams.pieces(raw, lengths, docs, tags)
-            order = np.lexsort((p["doc"], p["content"]))
-            p = p[order]
-            head = np.flatnonzero(np.r_[True, p["content"][1:] != p["content"][:-1]]) if len(p) else np.empty(0, np.int64)
-            least = np.repeat(p["doc"][head], np.diff(np.append(head, len(p))))
-            late = p["doc"] > least
-            known, p = _covered(p[late]), p[~late]
-            rest = np.empty(len(p), PIECE)
-            for name in PIECE.names[1:]:
-                rest[name] = p[name]
-            rest["gram"] = p["whole"] // np.uint64(buckets)
-            yield batch_of(dealt(rest, (p["whole"] % np.uint64(buckets)).astype(np.int32), PIECES) + [(buckets + b, k, d) for b, k, d in dealt(known, home(known["doc"], buckets), COVERED)])
+            out = _as(p, PIECE)
+            out["gram"] = p["whole"] // np.uint64(buckets)
+            yield batch_of(dealt(out, (p["whole"] % np.uint64(buckets)).astype(np.int32), WANTED))
 
     return run
 
 
 def match_pieces(buckets: int) -> Callable:
-    """Pieces of a bucket to covered ones and wanted ones, dealt to their documents."""
+    """Pieces of a bucket to those that are sent for, dealt to their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = Dealer(buckets, COVERED, WANTED)
+        dealer = Dealer(buckets, WANTED)
         for bucket, rows in by_bucket(batches):
-            yield from dealer.out(DEALT)
-            if bucket >= buckets:
-                for _, d in rows:
-                    dealer.add(COVERED, unpack(d, COVER))
-                continue
             p = np.concatenate([unpack(d, PIECE) for _, d in rows])
-            p = p[np.lexsort((p["doc"], p["content"], p["gram"]))]
-            new_gram = np.r_[True, p["gram"][1:] != p["gram"][:-1]]
-            new = new_gram | np.r_[True, p["content"][1:] != p["content"][:-1]]
-            head = np.flatnonzero(new)
-            least = np.repeat(p["doc"][head], np.diff(np.append(head, len(p))))
-            late = p["doc"] > least
-            dealer.add(COVERED, _covered(p[late]))
-            # Under one gram: several contents, held first by different documents.
-            gram_head = np.flatnonzero(new_gram)
-            many = np.add.reduceat(new.astype(np.int64), gram_head)
-            low, high = np.minimum.reduceat(least, gram_head), np.maximum.reduceat(least, gram_head)
-            size = np.diff(np.append(gram_head, len(p)))
-            mixed = np.repeat((many > 1) & (low != high), size) & ~late
-            w = _covered(p[mixed])
-            w["shard"] = np.where(np.repeat(many > MANY, size)[mixed], -1, bucket)
+            p = p[np.lexsort((p["doc"], p["gram"]))]
+            head = np.flatnonzero(np.r_[True, p["gram"][1:] != p["gram"][:-1]])
+            size = np.diff(np.append(head, len(p)))
+            first = p["doc"][head]
+            many = np.repeat(size, size)
+            mine = np.repeat(first != p["doc"][head + size - 1], size)
+            p, many, first = p[mine], many[mine], np.repeat(first, size)[mine]
+            w = _as(p, WANT)
+            w["hot"] = many > SHARED
+            w["shard"] = np.where(many > MANY, -1, np.where(many > SHARED, bucket, home(first, buckets)))
+            w["key"] = np.where(many > SHARED, p["gram"], (first.view(np.uint64) * np.uint64(BASE) >> np.uint64(32)).astype(np.uint32))
             dealer.add(WANTED, w)
+            yield from dealer.out(DEALT)
         yield from dealer.out()
 
     return run
 
 
+def spans(w: np.ndarray) -> np.ndarray:
+    """WANT records with those joined that follow each other in a document and go to one place; sorted by document."""
+    w = w[np.lexsort((w["start"], w["key"], w["shard"], w["tag"], w["doc"]))]
+    if not len(w):
+        return w
+    start, end = w["start"].astype(np.int64), w["start"].astype(np.int64) + w["size"]
+    new = np.ones(len(w), bool)
+    new[1:] = w["hot"][1:].astype(bool) | (start[1:] != end[:-1])
+    for name in ("doc", "tag", "shard", "key"):
+        new[1:] |= w[name][1:] != w[name][:-1]
+    head = np.flatnonzero(new)
+    out = w[head]
+    out["size"] = end[np.append(head[1:], len(w)) - 1] - start[head]
+    return out
+
+
 def send_pieces(buckets: int) -> Callable:
-    """Rows of a document bucket, wanted pieces before texts, to the bytes of those pieces, dealt to shards."""
+    """Rows of a document bucket, wanted pieces before texts, to the bytes of those pieces, dealt to shards. Of equal hot
+    pieces the smallest document's goes; those of later documents are covered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = None
         for bucket, asked, texts in with_texts(batches):
-            w = np.concatenate([unpack(d, COVER) for k, d in asked if k == WANTED] or [np.empty(0, COVER)])
-            w = w[np.lexsort((w["start"], w["tag"], w["doc"]))]
-            key = _key(w)
+            w = spans(np.concatenate([unpack(d, WANT) for _, d in asked] or [np.empty(0, WANT)]))
+            key, plain = _key(w), w.tolist()
             out: dict[int, list] = {}
+            hot: dict[tuple[int, int, bytes], list] = {}
             size = 0
             for doc, tag, text in texts:
                 lo, hi = _find(key, doc, tag)
-                for r in w[lo:hi]:
-                    start, n, shard = int(r["start"]), int(r["size"]), int(r["shard"])
-                    if shard >= 0:
-                        out.setdefault(shard, []).append((doc, tag, start, n, text[start : start + n + LENGTH - 1]))
-                        size += n + LENGTH
+                for r in plain[lo:hi]:
+                    _, _, start, n, shard, sorted_with, is_hot = r
+                    x = text[start : start + n + LENGTH - 1]
+                    if is_hot:
+                        hot.setdefault((shard, sorted_with, x), []).append((doc, tag, start, n))
                     else:
-                        grams = grams or Grams()
-                        for i in range(start, start + n):
-                            x = text[i : i + LENGTH]
-                            out.setdefault(int.from_bytes(hashlib.blake2b(x, digest_size=4).digest()) % buckets, []).append((doc, tag, i, 1, x))
-                            size += LENGTH
+                        out.setdefault(shard, []).append((doc, tag, start, n, sorted_with, x))
+                        size += len(x)
                 if size > TOGETHER:
                     yield _sent(out)
                     out, size = {}, 0
+            later = []
+            for (shard, sorted_with, x), found in hot.items():
+                least = min(found)[0]
+                later += [f for f in found if f[0] > least]
+                for doc, tag, start, n in found:
+                    if doc > least:
+                        continue
+                    if shard >= 0:
+                        out.setdefault(shard, []).append((doc, tag, start, n, sorted_with, x))
+                        continue
+                    for i in range(n):
+                        name = int.from_bytes(hashlib.blake2b(x[i : i + LENGTH], digest_size=8).digest())
+                        out.setdefault(name % buckets, []).append((doc, tag, start + i, 1, name // buckets & 0xFFFFFFFF, x[i : i + LENGTH]))
             yield _sent(out)
+            if later:
+                yield batch_of([(bucket, PASSED, pack(np.array(later, COVER)))])
 
     return run
 
@@ -257,8 +275,8 @@ def send_pieces(buckets: int) -> Callable:
 def _sent(out: dict[int, list]) -> pa.RecordBatch:
     rows = []
     for shard, found in out.items():
-        a = np.array([x[:4] for x in found], SENT)
-        rows.append((shard, len(a), pack(a) + b"".join(x[4] for x in found)))
+        a = np.array([x[:5] for x in found], SENT)
+        rows.append((shard, len(a), pack(a) + b"".join(x[5] for x in found)))
     return batch_of(rows)
 
 
@@ -273,10 +291,8 @@ def _find(key: np.ndarray, doc: int, tag: int) -> tuple[int, int]:
     return lo + int(np.searchsorted(key["tag"][lo:hi], tag)), lo + int(np.searchsorted(key["tag"][lo:hi], tag, "right"))
 
 
-def earlier(found: list[tuple[np.ndarray, bytes]]) -> np.ndarray:
-    """Of pieces (SENT records and their bytes end to end): the strings that a smaller document has too, as SENT records."""
-    sent = np.concatenate([a for a, _ in found])
-    raw = b"".join(x for _, x in found)
+def earlier(sent: np.ndarray, raw: bytes) -> np.ndarray:
+    """Of spans (SENT records, their bytes end to end): the strings that a smaller document has too, one a record."""
     sizes = sent["size"].astype(np.int64) + LENGTH - 1
     n = len(raw) + len(sent)
     at = np.cumsum(sizes + 1) - sizes - 1  # with a separator after each piece
@@ -307,41 +323,41 @@ def merged(a: np.ndarray) -> np.ndarray:
     a = a[np.lexsort((a["start"], a["tag"], a["doc"]))]
     if not len(a):
         return np.empty(0, COVER)
-    new = np.r_[True, (a["doc"][1:] != a["doc"][:-1]) | (a["tag"][1:] != a["tag"][:-1]) | (a["start"][1:].astype(np.int64) > a["start"][:-1].astype(np.int64) + 1)]
-    run = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
-    part = (a["start"].astype(np.int64) - a["start"][head][run].astype(np.int64)) // LONGEST
-    head = np.flatnonzero(new | np.r_[True, part[1:] != part[:-1]])
-    last = np.append(head[1:], len(a)) - 1
-    out = _covered(a[head])
-    out["size"] = a["start"][last].astype(np.int64) - a["start"][head].astype(np.int64) + 1
+    start = a["start"].astype(np.int64)
+    head = np.flatnonzero(np.r_[True, (a["doc"][1:] != a["doc"][:-1]) | (a["tag"][1:] != a["tag"][:-1]) | (start[1:] > start[:-1] + 1)])
+    out = _as(a[head], COVER)
+    out["size"] = start[np.append(head[1:], len(a)) - 1] - start[head] + 1
     return out
 
 
 def sort_shards(buckets: int) -> Callable:
     """Sent bytes of a shard to covered strings, dealt to their documents.
 
-    A shard beyond SORTED bytes is sorted in parts, and each part again with every later one, so memory stays bounded and
-    no pair of pieces is missed.
+    Equal strings have one key. So a shard beyond SORTED bytes is sorted in parts of whole keys, each span once. A key has
+    at most MANY pieces of a gram, or SHARED spans over each place of one document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = Dealer(buckets, COVERED)
         for _, rows in by_bucket(batches):
-            parts, part, size = [], [], 0
-            for n, data in rows:
-                head = n * SENT.itemsize
-                part.append((unpack(data[:head], SENT), data[head:]))
-                size += len(data)
-                if size > SORTED:
-                    parts.append(part)
-                    part, size = [], 0
-            if part:
-                parts.append(part)
-            for i in range(len(parts)):
-                for j in range(i + 1, len(parts)) if len(parts) > 1 else (i,):
-                    dealer.add(COVERED, merged(earlier(parts[i] + (parts[j] if j > i else []))))
-                    yield from dealer.out(DEALT)
+            for n, d in rows:
+                if n == PASSED:
+                    dealer.add(COVERED, unpack(d, COVER))
+            rows = [r for r in rows if r[0] != PASSED]
+            if not rows:
+                continue
+            sent = np.concatenate([unpack(d[: n * SENT.itemsize], SENT) for n, d in rows])
+            raw = b"".join(d[n * SENT.itemsize :] for n, d in rows)
+            sizes = sent["size"].astype(np.int64) + LENGTH - 1
+            start = np.cumsum(sizes) - sizes
+            order = np.argsort(sent["key"], kind="stable")
+            before = np.cumsum(sizes[order]) - sizes[order]
+            cut = np.flatnonzero(np.r_[True, np.diff(sent["key"][order].astype(np.int64)) != 0])
+            cut = cut[np.r_[True, np.diff(before[cut] // SORTED) > 0]]
+            for a, b in zip(cut, [*cut[1:], len(order)]):
+                mine = np.sort(order[a:b])
+                dealer.add(COVERED, merged(earlier(sent[mine], b"".join(raw[start[i] : start[i] + sizes[i]] for i in mine))))
+                yield from dealer.out(DEALT)
         yield from dealer.out()
 
     return run
@@ -373,29 +389,31 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names)
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
+def dedup_substrings(docs: DataFrame, bucket_bytes: int = 1 << 23) -> DataFrame:
     """(doc_id, text_bytes, n_bytes, n_removed, n_spans) of documents (doc_id, text): the bytes that stay.
 
     Null and empty texts, and those under LENGTH bytes, stay as they are. Null ids come after all others. Rows that repeat
     an id are never earlier than each other, so equal ones both stay. A text of any length is one row's work and is hashed
-    whole. No rows give no rows.
+    whole. Buckets are as many as bucket_bytes go into all texts. No rows give no rows.
     """
-    spark = docs.sparkSession
-    n = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(whole()) + 1)).first()[0] or 0
+    n = max(1, -(-size // bucket_bytes))
     tag = F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), whole().alias("text")).select("doc", tag.alias("tag"), F.col("text").cast("binary").alias("text"))
-    pieces = texts.mapInArrow(find_pieces(n), ROWS).repartition("bucket").sortWithinPartitions("bucket")
+    gather = lambda df, m, *by: df.repartitionById(m, F.col("bucket")).sortWithinPartitions("bucket", *by)
+    pieces = gather(texts.mapInArrow(find_pieces(n), ROWS), n)
     found = written(pieces.mapInArrow(match_pieces(n), ROWS))
     bucket = F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int")
     theirs = texts.select(bucket.alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("data"), "doc", "tag", "text")
     blank = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("int").alias("tag"), F.lit(None).cast("binary").alias("text")]
 
     def beside(rows: DataFrame) -> DataFrame:
-        return rows.select("bucket", "kind", "data", *blank).unionByName(theirs).repartition("bucket").sortWithinPartitions("bucket", "kind")
+        return gather(rows.select("bucket", "kind", "data", *blank).unionByName(theirs), n, "kind")
 
-    sent = beside(found.filter(F.col("kind") == WANTED)).mapInArrow(send_pieces(n), ROWS)
-    again = written(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_shards(n), ROWS))
-    return beside(found.filter(F.col("kind") == COVERED).unionByName(again)).mapInArrow(cut_texts, "doc_id long, text_bytes binary, n_bytes long, n_removed long, n_spans long")
+    sent = beside(found).mapInArrow(send_pieces(n), ROWS)
+    covered = written(gather(sent, n).mapInArrow(sort_shards(n), ROWS))
+    discard(found)
+    return beside(covered).mapInArrow(cut_texts, "doc_id long, text_bytes binary, n_bytes long, n_removed long, n_spans long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -386,6 +387,40 @@ def test_suffix_dedup_of_mosaics(spark, monkeypatch):
     same(got, [(d, bytes(b), *rest) for d, b, *rest in cut_bytes(rows)])
 
 
+@pytest.mark.parametrize(("shared", "many", "sorted_"), [(256, 1 << 14, 1 << 23), (3, 1 << 14, 2000), (3, 6, 500), (1, 1, 1)])
+def test_suffix_dedup_on_all_paths(spark, monkeypatch, shared, many, sorted_):
+    """Spans by first document, pieces by gram, strings one by one, shards in parts: all cut the same bytes."""
+    rng = np.random.default_rng(21)
+    blocks = ["".join(rng.choice(list("abcdefgh é"), int(rng.integers(40, 300)))) for _ in range(10)]
+    rows = [(int(i), "".join(b[int(rng.integers(0, 20)) : int(rng.integers(25, len(b) + 1))] for b in rng.choice(blocks, 5)), "en", "a") for i in range(40)]
+    rows += [(50 + i, blocks[3] * 2 + str(i), "en", "a") for i in range(12)] + [(50, "again " + blocks[3], "en", "a"), (None, blocks[3], "en", "a")]
+    for name, value in (("SHARED", shared), ("MANY", many), ("SORTED", sorted_)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    want = [(d, bytes(b), *rest) for d, b, *rest in cut_bytes(rows)]
+    texts = [(suffix_dedup.NO_ID if d is None else d, hash(t) % 65536, t.encode()) for d, t, *_ in rows]
+
+    def step(f, rows, *names):
+        kinds = {"bucket": pa.int32(), "kind": pa.int32(), "data": pa.binary(), "doc": pa.int64(), "tag": pa.int32(), "text": pa.binary()}
+        batch = pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*rows), names)] if rows else [pa.array([], kinds[n]) for n in names], list(names))
+        return sorted((r for b in f([batch]) for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0] is None, r[0] or 0))
+
+    n = 5
+    three, six = ("bucket", "kind", "data"), ("bucket", "kind", "data", "doc", "tag", "text")
+    home = lambda d: int(suffix_dedup.home(np.array([d], np.int64), n)[0])
+    theirs = [(home(d), 9, None, d, g, t) for d, g, t in texts]
+    beside = lambda rows: sorted([(*r, None, None, None) for r in rows] + theirs, key=lambda r: r[:2])
+    pieces = step(suffix_dedup.find_pieces(n), texts, "doc", "tag", "text")
+    found = step(suffix_dedup.match_pieces(n), pieces, *three)
+    sent = step(suffix_dedup.send_pieces(n), beside(found), *six)
+    covered = step(suffix_dedup.sort_shards(n), sent, *three)
+    got = step(suffix_dedup.cut_texts, beside(covered), *six)
+    same(got, want)
+    # Without the suffix arrays nothing is found but what equal hot pieces of one bucket tell.
+    monkeypatch.setattr(suffix_dedup, "earlier", lambda sent, raw: np.empty(0, suffix_dedup.SENT))
+    left = step(suffix_dedup.cut_texts, beside(step(suffix_dedup.sort_shards(n), sent, *three)), *six)
+    assert sum(r[3] for r in left) == 0 if shared == 256 else sum(r[3] for r in left) < sum(r[3] for r in got)
+
+
 def test_suffix_array_order():
     from chartula.llm.induced import END, SEPARATOR, suffix_array
 
