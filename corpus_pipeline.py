@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartula.llm import content_sort, golay, mixing, packing, quality
@@ -36,21 +36,38 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(kind).alias(c) for c, kind in KINDS.items()])
 
 
+#: Names a row besides its id: rows that agree in both are the same in all columns.
+ROW = F.xxhash64(*CARRIED)
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of docs for each of kept (doc_id, row); the texts are dealt once, by those two."""
+    keys = [F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    right = kept.select(*keys, F.col("row").alias("_row")).hint("shuffle_hash")
+    left = docs.select("*", *keys, ROW.alias("_row"))
+    found = left.join(right, ["_id", "_none", "_row"], "left_semi")
+    first = Window.partitionBy("_id", "_none", "_row").orderBy(F.lit(0))
+    return found.withColumn("_place", F.row_number().over(first)).filter("_place = 1").select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_columns(docs), "lang", "source").select("doc_id", F.col("cleaned").alias("text"), "lang", "source", "kept")
-    # Written before the filter, so that the rules are evaluated once and not again inside it.
-    return written(judged).filter("kept").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    judged = quality.judge(_columns(docs), "lang", "source")
+    # As one element of an array, a verdict is found once: as a column, the optimizer would evaluate it in a filter again.
+    row = F.struct("doc_id", F.col("cleaned").alias("text"), "lang", "source", "kept")
+    kept = judged.select(F.inline(F.filter(F.array(row), lambda x: x["kept"])))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return content_sort.exact_groups(_columns(docs), *CARRIED).filter("kept").select(*COLUMNS)
+    docs = _columns(docs)
+    return _only(docs, written(content_sort.exact_groups(docs.withColumn("row", ROW), "row").filter("kept").select("doc_id", "row")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = written(golay.near_groups(_columns(docs), *CARRIED).withColumn("row", F.monotonically_increasing_id()))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*CARRIED).alias("hash"), "row")
-    kept = written(rows.groupBy("root").agg(F.min(order).alias("least")).select("least.row"))
-    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*COLUMNS)
+    docs = _columns(docs)
+    groups = golay.near_groups(docs.withColumn("row", ROW), "row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    return _only(docs, written(groups.groupBy("root").agg(F.min(order).alias("least")).select("least.doc_id", "least.row")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
