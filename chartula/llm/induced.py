@@ -55,7 +55,7 @@ def sorted_lms(t: np.ndarray, small: np.ndarray, depth: int) -> np.ndarray:
         pair = names * (len(lms) + 1) + after
         names = np.unique(pair, return_inverse=True)[1].reshape(-1)
         reach *= 2
-    return lms[np.argsort(names, kind="stable")]
+    return lms[np.argsort(names)]
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -64,14 +64,15 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     Larger suffixes are induced from the left, bucket by bucket: those of a bucket push the suffixes one place before them
     to the heads of their buckets, in rounds while a bucket pushes into itself. Smaller ones follow from the right.
     """
-    n, t = len(t), t.astype(np.int64)
+    n, t = len(t), t.astype(np.int32)
+    symbols = t.astype(np.uint16)  # sixteen bits are sorted by radix
     small = types(t)
     sizes = np.bincount(t, minlength=SEPARATOR + 1)
     tops = np.cumsum(sizes)
     starts = tops - sizes
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     lms = sorted_lms(t, small, depth)
-    of = t[lms]
+    of = symbols[lms]
     n_lms = np.bincount(of, minlength=len(sizes))
     order = np.argsort(of, kind="stable")
     lms_by = np.split(lms[order], np.cumsum(n_lms)[:-1])
@@ -84,7 +85,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     def push_large(found: np.ndarray) -> None:
         p = before(found, False)
         if len(p):
-            c = t[p]
+            c = symbols[p]
             o = np.argsort(c, kind="stable")
             counts = np.bincount(c, minlength=len(sizes))
             sa[heads[c[o]] + np.arange(len(p)) - (np.cumsum(counts) - counts)[c[o]]] = p[o]
@@ -104,7 +105,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
         """found: in falling order."""
         p = before(found, True)
         if len(p):
-            c = t[p]
+            c = symbols[p]
             o = np.argsort(c, kind="stable")
             counts = np.bincount(c, minlength=len(sizes))
             sa[tails[c[o]] - 1 - (np.arange(len(p)) - (np.cumsum(counts) - counts)[c[o]])] = p[o]
@@ -128,15 +129,16 @@ def common(data: bytes | np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     those that agreed so far.
     """
     n = len(sa)
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(length + 8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1))
+    words = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(length + 16, np.uint8)]).astype(np.uint64)
+    for half in (1, 2, 4):  # the eight bytes from each place on
+        words = words[:-half] | (words[half:] << np.uint64(8 * half))
     phi = np.zeros(n, np.int64)
     phi[sa[1:]] = sa[:-1]
     alike = np.ones(n, bool)
     alike[sa[0]] = False
     live = np.flatnonzero(alike)
     for at in [*range(0, length - 8, 8), length - 8]:
-        a, b = (np.ascontiguousarray(words[np.minimum(x + at, len(words) - 1)]).view(np.uint64).ravel() for x in (live, phi[live]))
+        a, b = words[live + at], words[phi[live] + at]
         alike[live[a != b]] = False
         live = live[a == b]
     return alike[sa]

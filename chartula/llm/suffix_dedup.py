@@ -31,7 +31,7 @@ from .induced import END, SEPARATOR, SHIFT, common, suffix_array
 
 LENGTH, K = 50, 24
 #: Bytes of text hashed together, strings in a piece, pieces under a gram beyond which it has its own shard, and beyond which its strings are dealt singly; bytes sorted at once, records dealt at once.
-TOGETHER, LONGEST, SHARED, MANY, SORTED, DEALT = 1 << 21, 200, 256, 1 << 14, 1 << 23, 1 << 20
+TOGETHER, LONGEST, SHARED, MANY, SORTED, DEALT = 1 << 21, 200, 256, 1 << 14, 1 << 20, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 PIECE = np.dtype([("gram", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<u4"), ("size", "u1")])

@@ -59,6 +59,15 @@ def test_pipeline_stages(spark):
     assert max(bins.values()) <= 1024 and len(bins) <= sum(bins.values()) / 1024 * 1.05 + 8
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_held_out_texts_cost_less_than_the_base(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    r = registry.QUERIES["op8_context_mixing"](spark, folder).filter("held_out").selectExpr("sum(score) AS score", "sum(base_score) AS base").first()
+    assert r.score > r.base
+
+
 def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls, empty and long texts, ties, repeated ids and rows, missing and extra columns: each stage on its own input."""
     stages = dict(corpus_pipeline.STAGES)
