@@ -18,14 +18,15 @@ def keyed_lines(docs: DataFrame, least: int) -> DataFrame:
     return rows.select("doc_id", "text_hash", "line.pos", F.xxhash64("line.key").alias("h1"), F.xxhash64(F.lit(1), "line.key").alias("h2"))
 
 
-def dropped_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
-    """(doc_id, text_hash, dropped): for documents that lose lines, a sparse bitmap: word number to 64 bits.
+def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
+    """(doc_id, text_hash, keep): for documents that lose lines, a compressed bitmap: word number to 64 bits, 1: the line stays.
 
     A key of at least ``least`` code points goes from every document but the one with the smallest id; repeats inside
     that one stay. Hashes are range-partitioned with a salt taken from the document and sorted by document and position:
     a line that a third of all documents hold is cut into many ranges. In each run the first document is streamed ahead:
     lines of later ones go at once. Only the run's first document is undecided; one row each, at most SALTS a line, meets
-    the other runs of the line. Words of the bitmap without a dropped line aren't stored.
+    the other runs of the line. Words of all ones aren't stored, nor are
+    bitmaps of nothing else.
 
     Null ids count as one document after all others; rows that repeat id and text share their bitmap.
     """
@@ -38,8 +39,8 @@ def dropped_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
     heads = seen.filter(F.col("own") == F.col("first")).groupBy("h1", "h2", "doc_id", "text_hash").agg(F.collect_set("pos").alias("at"), F.first("own").alias("own"))
     later = heads.withColumn("least", F.min("own").over(Window.partitionBy("h1", "h2"))).filter(F.col("own") > F.col("least")).select("doc_id", "text_hash", F.explode("at").alias("pos"))
     word = F.col("pos").cast("long")
-    bits = again.unionByName(later).groupBy("doc_id", "text_hash", F.shiftright(word, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pos % 64 AS INT))")).alias("bits"))
-    return bits.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    bits = again.unionByName(later).groupBy("doc_id", "text_hash", F.shiftright(word, 6).alias("word")).agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, CAST(pos % 64 AS INT))"))).alias("bits"))
+    return bits.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keep"))
 
 
 def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
@@ -48,9 +49,9 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     Null and empty texts are one empty line. The texts are shuffled once, not sorted: the bitmaps are the hashed side.
     """
     texts = docs.select("doc_id", whole().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    maps = dropped_bitmaps(docs, least).withColumnRenamed("doc_id", "of").withColumnRenamed("text_hash", "of_hash").hint("shuffle_hash")
-    joined = texts.join(maps, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left").select("doc_id", F.split("text", "\n").alias("lines"), "dropped")
-    bits = F.expr("CASE WHEN dropped IS NULL THEN lines ELSE filter(lines, (x, i) -> (shiftright(coalesce(dropped[CAST(shiftright(i, 6) AS BIGINT)], 0L), i % 64) & 1L) = 0L) END")
+    maps = keep_bitmaps(docs, least).withColumnRenamed("doc_id", "of").withColumnRenamed("text_hash", "of_hash").hint("shuffle_hash")
+    joined = texts.join(maps, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left").select("doc_id", F.split("text", "\n").alias("lines"), "keep")
+    bits = F.expr("CASE WHEN keep IS NULL THEN lines ELSE filter(lines, (x, i) -> (shiftright(coalesce(keep[CAST(shiftright(i, 6) AS BIGINT)], -1L), i % 64) & 1L) = 1L) END")
     return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), bits.alias("left")).select("doc_id", "n_lines", (F.col("n_lines") - F.size("left")).alias("n_dropped"), F.array_join("left", "\n").alias("kept"))
 
 
