@@ -139,9 +139,9 @@ def _(s, d):
     return T.chunks(s, d).select("chunk_id", X.token_count(F.col("chunk"), X.pieces_of(Spaces())).alias("tokens"))
 
 
-@query("k1a_h1", "SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM pages")
+@query("k1a_h1", "SELECT page_id || '_0' AS chunk_id, trim(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&amp;', '&')) AS chunk FROM pages WHERE regexp_matches(html, '<h1[ >]')")
 def _(s, d):
-    return T.table(s, d, "pages").select("page_id", F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"))
+    return H.html_chunks(T.table(s, d, "pages").select(F.col("page_id").cast("string").alias("stem"), "html"), selector="nothing")
 
 
 @query("k1_html_chunks")

@@ -3,6 +3,7 @@
 import io
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -345,3 +346,23 @@ def test_reports(spark):
     out = io.StringIO()
     df = spark.createDataFrame([("c2", "<b>"), ("c1", "x")], "chunk_id string, chunk string")
     assert reports.records(df, out) == 2 and "&lt;b&gt;" in out.getvalue() and out.getvalue().index("c1") < out.getvalue().index("c2")
+
+
+class Slow:
+    def complete(self, prompt, cache_id):
+        time.sleep(0.1)
+        return prompt, 0.0
+
+
+def test_calls_run_at_once(spark):
+    df = spark.createDataFrame([(str(i), f"p{i}") for i in range(60)], "cache_id string, prompt string").coalesce(1)
+    generation.call(df.limit(1), Slow(), generation.GENERATE).collect()
+    began = time.monotonic()
+    assert {r.response for r in generation.call(df, Slow(), generation.GENERATE, concurrency=30).collect()} == {f"p{i}" for i in range(60)}
+    assert time.monotonic() - began < 5
+
+
+def test_flat_rows_nest_and_come_back(spark):
+    c = spark.createDataFrame([("d", "d_1", "b", 1), ("d", "d_0", "a", 0), ("e", "e_0", "c", 0)], "doc_id string, chunk_id string, chunk string, chunk_idx int")
+    flat = chunks.unnest(chunks.nest(c))
+    assert sorted((r.doc_id, r.pos, r.chunk_id, r.chunk) for r in flat.collect()) == [("d", 0, "d_0", "a"), ("d", 1, "d_1", "b"), ("e", 0, "e_0", "c")]

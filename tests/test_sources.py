@@ -87,6 +87,10 @@ def test_commands(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "res2")).count() == 2
     run("report", "--input", queries, "--output", tmp_path / "r.html")
     assert (tmp_path / "r.html").read_text().startswith("<!doctype html>")
+    run("report", "--input", tmp_path / "res", "--output", tmp_path / "r2.html", "--kind", "results")
+    assert "d_1" in (tmp_path / "r2.html").read_text()
+    run("report", "--input", queries, "--output", tmp_path / "r3.html", "--kind", "compare", "--results", tmp_path / "res", tmp_path / "res", "--ignore-mismatch")
+    assert "green" in (tmp_path / "r3.html").read_text()
     run("queries-to-dataset", "--queries", queries, "--output", tmp_path / "pq")
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 2
     page = tmp_path / "pages"
