@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartula.llm import content_sort, golay, mixing, packing, quality
@@ -36,15 +36,16 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(kind).alias(c) for c, kind in KINDS.items()])
 
 
-#: Names a row besides its id: rows that agree in both are the same in all columns.
-ROW = F.xxhash64(*CARRIED)
+def _row() -> Column:
+    """Names a row besides its id: rows that agree in both are the same in all columns."""
+    return F.xxhash64(*CARRIED)
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of docs for each of kept (doc_id, row); the texts are dealt once, by those two."""
     keys = [F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
     right = kept.select(*keys, F.col("row").alias("_row")).hint("shuffle_hash")
-    left = docs.select("*", *keys, ROW.alias("_row"))
+    left = docs.select("*", *keys, _row().alias("_row"))
     found = left.join(right, ["_id", "_none", "_row"], "left_semi")
     first = Window.partitionBy("_id", "_none", "_row").orderBy(F.lit(0))
     return found.withColumn("_place", F.row_number().over(first)).filter("_place = 1").select(*COLUMNS)
@@ -60,12 +61,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _columns(docs)
-    return _only(docs, written(content_sort.exact_groups(docs.withColumn("row", ROW), "row").filter("kept").select("doc_id", "row")))
+    return _only(docs, written(content_sort.exact_groups(docs.withColumn("row", _row()), "row").filter("kept").select("doc_id", "row")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _columns(docs)
-    groups = golay.near_groups(docs.withColumn("row", ROW), "row")
+    groups = golay.near_groups(docs.withColumn("row", _row()), "row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     return _only(docs, written(groups.groupBy("root").agg(F.min(order).alias("least")).select("least.doc_id", "least.row")))
 
