@@ -23,6 +23,8 @@ from ..functions import vectors as V
 K1, B, DEPTH = 1.5, 0.75, 100
 #: Bytes of queries that go to every task at once; more are taken in several blocks.
 BLOCK_BYTES = 64 << 20
+#: Scores of queries and items held at once.
+SCORES = 4 << 20
 
 
 def ranked(run: DataFrame, k: int = DEPTH, by: str = "query_id", item: str = "chunk_id") -> DataFrame:
@@ -110,8 +112,9 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, k: int = DEPTH, pad_zero: bo
 
         def score(batches: Iterator[pa.RecordBatch], found=found, ids=ids, of=of, times=times, start=start, stop=stop, idf=idf, mean=total / max(1.0, n)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
+                step = max(256, SCORES // max(1, len(ids)))
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
                     length, row, term, tf = found(part)
                     weight = idf[term] * tf / (tf + K1 * ((1 - B) + B * length[row] / mean))
                     scores = np.zeros((len(ids), part.num_rows))
@@ -153,7 +156,7 @@ def dense_top(queries: DataFrame, docs: DataFrame, k: int = DEPTH, cosine: bool
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
-                step = max(1, (32 << 20) // (8 * len(ids)))
+                step = max(1, SCORES // len(ids))
                 for a in range(0, batch.num_rows, step):
                     part = batch.slice(a, step)
                     d = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
