@@ -42,12 +42,18 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield now, held
 
 
+def tuples(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
+    """Rows, of which few are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in batch.slice(i, step).columns))
+
+
 def with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, Iterator[tuple[int, int, bytes]]]]:
     """(bucket, rows before the texts, texts) of rows (bucket, kind, data, doc, tag, text) sorted by bucket and kind."""
 
     def flat():
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+        yield from tuples(batches)
 
     rows, ahead = flat(), None
     ahead = next(rows, None)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import ROWS, batch_of, by_bucket
+from .blobs import ROWS, batch_of, by_bucket, tuples
 from .common import discard, documents, whole, written
 from .suffix_dedup import Grams
 
@@ -152,16 +152,15 @@ def gathered(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
 def blocks(batches: Iterator[pa.RecordBatch], grams: Grams) -> Iterator[tuple[int, list[tuple[int, bytes]], Block]]:
     """(block, rows for it by kind, its documents) of rows (bucket, kind, data, doc, text) sorted by bucket."""
     now, rows, docs = None, [], []
-    for batch in batches:
-        for b, k, d, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != now and docs:
-                yield now, sorted(rows), Block(grams, docs)
-            if b != now:
-                now, rows, docs = b, [], []
-            if text is None:
-                rows.append((k, d))
-            else:
-                docs.append((doc, text))
+    for b, k, d, doc, text in tuples(batches):
+        if b != now and docs:
+            yield now, sorted(rows), Block(grams, docs)
+        if b != now:
+            now, rows, docs = b, [], []
+        if text is None:
+            rows.append((k, d))
+        else:
+            docs.append((doc, text))
     if docs:
         yield now, sorted(rows), Block(grams, docs)
 
@@ -476,8 +475,8 @@ def send(n: int, buckets: int, vocabulary: Vocabulary) -> Callable:
                 spell[rare] = r.take(len(rare), "<f4")
             word, bits = vocabulary.words(b.distinct, total, index, bucket, buckets)
             bits = bits + spell
-            group = np.empty(len(b.hash), np.int64)
-            group[b.order] = np.repeat(np.arange(len(b.head)), np.diff(np.append(b.head, len(b.hash))))
+            group = np.empty(len(b.hash), np.int32)
+            group[b.order] = np.repeat(np.arange(len(b.head), dtype=np.int32), np.diff(np.append(b.head, len(b.hash))))
             last = np.cumsum(b.n)
             sums = lambda x: np.add.reduceat(x[group], last - b.n)
             known, base, cost = sums((total > 0).astype(np.int64)), sums(np.log10(total + 1.0) - norm), sums(bits)
@@ -641,13 +640,15 @@ def mix_contexts(vocabulary: Vocabulary) -> Callable:
                 places.append(r.take(m, "<u4"))
                 docs.append(d)
             rows = [k for k, _ in rows]
-            first = np.repeat(np.cumsum(docs) - docs, [len(x) for x in words])
+            first = np.repeat((np.cumsum(docs) - docs).astype(np.int32), [len(x) for x in words])
             context, second, word, place = (np.concatenate(x) for x in (contexts, seconds, words, places))
             del contexts, seconds, words, places
             order = np.argsort((context.astype(np.uint64) << np.uint64(32)) | word, kind="stable")
-            context, second, word, place = context[order], second[order], word[order], place[order]
+            context, second, word, place, first = context[order], second[order], word[order], place[order], first[order]
+            del order
             train = place >> np.uint32(31) == 0
-            target = first[order] + (place & np.uint32(0x7FFFFFFF))
+            target = first + (place & np.uint32(0x7FFFFFFF)).astype(np.int32)
+            del place, first
             new = np.r_[True, context[1:] != context[:-1]]
             head = np.flatnonzero(new)
             cuts = np.append(head[np.flatnonzero(np.diff(head // CHUNK, prepend=-1))], len(word))
