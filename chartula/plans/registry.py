@@ -680,7 +680,7 @@ def likeness_sql(side: str, name: str) -> str:
     return f"round({dot} + 1e-9, 6) AS lexical_{name}, round({dot} / (nq.nrm * n{side}.nrm + 1e-9) + 1e-9, 6) AS sparse_{name}, round({dense} / (dq.nrm * d{side}.nrm + 1e-9) + 1e-9, 6) AS dense_{name}"
 
 
-A16 = f"WITH {T.CH}, {T.TK}, {T.WT}, {PLACES}, tx AS (SELECT DISTINCT chunk_id, doc_id, chunk_idx FROM wt), pr AS (SELECT q.chunk_id AS query_id, a.chunk_id AS c, b.chunk_id AS x FROM tx q JOIN tx a ON a.doc_id = q.doc_id AND a.chunk_idx = q.chunk_idx - 1 JOIN tx b ON b.doc_id = q.doc_id AND b.chunk_idx = q.chunk_idx + 1), nn AS (SELECT chunk_id, sqrt(sum(w * w)) AS nrm FROM wt GROUP BY 1), dn AS (SELECT chunk_id, sqrt(sum(n * n)) AS nrm FROM pl GROUP BY 1), po2 AS (SELECT query_id, c AS other FROM pr UNION ALL SELECT query_id, x FROM pr), sd AS (SELECT p.query_id, p.other, sum(q.w * t.w) AS dot FROM po2 p JOIN wt q ON q.chunk_id = p.query_id JOIN wt t ON t.chunk_id = p.other AND t.term = q.term GROUP BY 1, 2), vd AS (SELECT p.query_id, p.other, sum(q.n * t.n) AS dot FROM po2 p JOIN pl q ON q.chunk_id = p.query_id JOIN pl t ON t.chunk_id = p.other AND t.place = q.place GROUP BY 1, 2)"
+A16 = f"WITH {T.CH}, {T.TK}, {T.WT}, {PLACES}, tx AS MATERIALIZED (SELECT DISTINCT chunk_id, doc_id, chunk_idx FROM wt), pr AS MATERIALIZED (SELECT q.chunk_id AS query_id, a.chunk_id AS c, b.chunk_id AS x FROM tx q JOIN tx a ON a.doc_id = q.doc_id AND a.chunk_idx = q.chunk_idx - 1 JOIN tx b ON b.doc_id = q.doc_id AND b.chunk_idx = q.chunk_idx + 1), nn AS MATERIALIZED (SELECT chunk_id, sqrt(sum(w * w)) AS nrm FROM wt GROUP BY 1), dn AS MATERIALIZED (SELECT chunk_id, sqrt(sum(n * n)) AS nrm FROM pl GROUP BY 1), po2 AS (SELECT query_id, c AS other FROM pr UNION ALL SELECT query_id, x FROM pr), wm AS MATERIALIZED (SELECT chunk_id, term, w FROM wt), qw AS MATERIALIZED (SELECT p.query_id, p.other, q.term, q.w FROM po2 p JOIN wm q ON q.chunk_id = p.query_id), sd AS MATERIALIZED (SELECT qw.query_id, qw.other, sum(qw.w * t.w) AS dot FROM qw JOIN wm t ON t.chunk_id = qw.other AND t.term = qw.term GROUP BY 1, 2), pm AS MATERIALIZED (SELECT * FROM pl), qv AS MATERIALIZED (SELECT p.query_id, p.other, q.place, q.n FROM po2 p JOIN pm q ON q.chunk_id = p.query_id), vd AS MATERIALIZED (SELECT qv.query_id, qv.other, sum(qv.n * t.n) AS dot FROM qv JOIN pm t ON t.chunk_id = qv.other AND t.place = qv.place GROUP BY 1, 2)"
 
 
 @query("a16_lexical_overlap", f"{A16} SELECT p.query_id, {likeness_sql('c', 'chunk')}, {likeness_sql('x', 'context')} FROM pr p JOIN nn nq ON nq.chunk_id = p.query_id JOIN nn nc ON nc.chunk_id = p.c JOIN nn nx ON nx.chunk_id = p.x JOIN dn dq ON dq.chunk_id = p.query_id JOIN dn dc ON dc.chunk_id = p.c JOIN dn dx ON dx.chunk_id = p.x LEFT JOIN sd sc ON sc.query_id = p.query_id AND sc.other = p.c LEFT JOIN sd sx ON sx.query_id = p.query_id AND sx.other = p.x LEFT JOIN vd vc ON vc.query_id = p.query_id AND vc.other = p.c LEFT JOIN vd vx ON vx.query_id = p.query_id AND vx.other = p.x")
