@@ -656,6 +656,31 @@ def test_chaining_of_many_holders(spark):
     assert all(in_class[i] == 100 for i in range(100, 130)) and not set(in_class) & set(range(200, 220))
 
 
+def test_chaining_links_passages_of_frequent_seeds(spark):
+    """Two texts share a passage whose every seed is in more texts than are all paired; the first of them and the one before
+    hold only a part of it, so neither leads to the other. Texts with a part alone stay without a link."""
+    p = [f"p{i}" for i in range(50)]
+    parts = [p[i : i + 20] for i in range(0, 31, 5)]
+    rows = [(100 * k + i, " ".join([f"a{k}x{i}x{j}" for j in range(12)] + part + [f"b{k}x{i}x{j}" for j in range(12)]), "en", "a") for k in range(12) for i, part in enumerate(parts)]
+    edited = p[:24] + ["other"] + p[25:]
+    rows += [(650, " ".join([f"c{j}" for j in range(15)] + p + [f"d{j}" for j in range(15)]), "en", "a"), (5000, " ".join([f"e{j}" for j in range(9)] + edited), "en", "a")]
+    got = chaining.passages(frame(spark, rows)).collect()
+    assert [(r.doc_id, r.partner_id, r.class_id, r.doc_start, r.doc_end, r.partner_start, r.partner_end) for r in got] == [(5000, 650, 650, 9, 59, 15, 65)]
+
+
+def test_chaining_left_out_places_against_plain_loops():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        places = sorted({(int(r), int(p)) for r, p in zip(rng.integers(0, 4, 90), rng.integers(0, 150, 90))})
+        row, pos = (np.array(x) for x in zip(*places))
+        words = {(r, p + j) for r, p in places for j in range(chaining.K)}
+        whole = {(r, b) for r in range(4) for b in range(-40, 200) if sum((r, b + j) in words for j in range(chaining.LEAST)) >= chaining.DENSE}
+        want = [any((r, b) in whole for b in range(p - chaining.LEAST + 1, p + 1)) and any((r, b) in whole for b in range(p + chaining.K - chaining.LEAST, p + chaining.K)) for r, p in places]
+        assert chaining.dense(row, pos).tolist() == want
+    same = chaining.anew(np.zeros(400, np.int64), np.arange(400), np.tile(np.array([3, 5], np.uint64), 200))
+    assert 2 <= same.sum() <= 4 * (1 << chaining.DOUBLED)
+
+
 def test_chaining_pairs_few_holders_all(spark):
     rng = np.random.default_rng(15)
     rows, true = [], set()
