@@ -716,6 +716,15 @@ def test_chain_prefers_the_cheaper_gap():
     assert best[0] == (0, 100, 20, 120) and (12, 900, 12, 900) in best
 
 
+def test_alignment_tries_a_run_once(monkeypatch):
+    """Spots of one run of equal words, too short for a passage, lead to the same alignment."""
+    calls, extend = [], chaining.extend
+    monkeypatch.setattr(chaining, "extend", lambda *a: calls.append(a[2:]) or extend(*a))
+    x, y = [*range(100, 130), *range(20), *range(130, 160)], [*range(200, 230), *range(20), *range(230, 260)]
+    spots = [(30 + k, 30 + k, 35 + k, 35 + k) for k in range(0, 10, 2)]
+    assert chaining.align(x, y, spots, 0) == [] and len(calls) == 2
+
+
 def test_alignments_are_true():
     """What an alignment reports as matches is never more than the fewest edits allow; few edits are all crossed."""
     rng = np.random.default_rng(2)
