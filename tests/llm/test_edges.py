@@ -668,6 +668,47 @@ def test_chaining_links_passages_of_frequent_seeds(spark):
     assert [(r.doc_id, r.partner_id, r.class_id, r.doc_start, r.doc_end, r.partner_start, r.partner_end) for r in got] == [(5000, 650, 650, 9, 59, 15, 65)]
 
 
+def test_chaining_of_runs_of_frequent_words(spark):
+    """Junk of two frequent words after each other, each text with words of its own around: one class, from fewer
+    rows than there are pairs of texts. Beside it a text whose runs are shorter, and one with too few of these words."""
+    rows = []
+    for i in range(60):
+        run = ["so"] * (22 + i % 9) + ["on"] * (24 + i % 7)
+        rows.append((i, " ".join([f"a{i}x{j}" for j in range(5)] + run + [f"b{i}x{j}" for j in range(45)]), "en", "a"))
+    rows += [(90, " ".join(["so"] * 20 + ["on"] * 21 + [f"c{j}" for j in range(30)]), "en", "a"), (91, " ".join(["so"] * 30 + [f"d{j}" for j in range(30)]), "en", "a")]
+    got = chaining.passages(frame(spark, rows)).collect()
+    in_class = {x: r.class_id for r in got for x in (r.doc_id, r.partner_id)}
+    assert in_class == dict.fromkeys([*range(60), 90], 0) and len(got) < 300
+
+
+def test_chaining_finds_windows_that_begin_and_end_elsewhere(spark):
+    """Either half of a passage is first in a text that holds it alone, with the same words around, so the places of the whole
+    one repeat surroundings; and the text it is shared with has it but once."""
+    first, second = [f"p{j}" for j in range(22)], [f"q{j}" for j in range(22)]
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(12)] + (first if i % 2 else second) + [f"b{i}x{j}" for j in range(12)]), "en", "a") for i in range(24)]
+    whole = [*first, "other", *second]
+    rows += [(100, " ".join([*first, *(f"c{j}" for j in range(50)), *second, *(f"d{j}" for j in range(50)), *whole]), "en", "a"), (101, " ".join([*whole, *(f"e{j}" for j in range(50))]), "en", "a")]
+    got = chaining.passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.partner_id, r.class_id, r.doc_start, r.doc_end, r.partner_start, r.partner_end) for r in got} == {(101, 100, 100, 0, 45, 144, 189)}
+
+
+def test_words_in_common_order():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, (2, 60, chaining.LEAST)).astype(np.uint8)
+    y[:20] = np.roll(x[:20], 3, axis=1)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for v in a:
+            new = [0]
+            for j, w in enumerate(b, 1):
+                new.append(row[j - 1] + 1 if v == w else max(row[j], new[-1]))
+            row = new
+        return row[-1]
+
+    assert chaining.in_order(x, y).tolist() == [longest(a, b) for a, b in zip(x.tolist(), y.tolist())]
+
+
 def test_chaining_left_out_places_against_plain_loops():
     rng = np.random.default_rng(8)
     for _ in range(30):
