@@ -541,6 +541,17 @@ def test_context_mixing_against_loops(spark):
     assert all(abs(r.score - of[r.doc_id]) < 2e-3 * max(1, abs(of[r.doc_id])) for r in got)
 
 
+def test_context_mixing_selects_without_branches():
+    """Sides are chosen by arithmetic, which random bits don't slow down; the tables made once are those each call would make."""
+    rng = np.random.default_rng(4)
+    bit, one, zero = rng.random(999) < 0.5, rng.integers(0, 1 << 30, 999).astype(np.int32), rng.integers(0, 1 << 30, 999).astype(np.int32)
+    got = context_mixing._either(bit, one, zero)
+    assert got.dtype == np.int32 and (got == np.where(bit, one, zero)).all()
+    right = rng.random(64).astype(np.float32).clip(0.01, 0.99)
+    stretched, paid = context_mixing._costs(right)
+    assert np.allclose(stretched, np.log(right / (1 - right))) and np.allclose(paid[1::2], -np.log2(right)) and np.allclose(paid[::2], -np.log2(1 - right))
+
+
 def test_context_mixing_learns_and_adds_up(spark):
     rng = np.random.default_rng(4)
     syllables = ["ba", "ko", "ri", "tun", "el", "sha", "vo"]
