@@ -22,23 +22,35 @@ def _names(t: np.ndarray, small: np.ndarray, lms: np.ndarray, depth: int) -> np.
 
     Each symbol is compared with its type after it, nine bits and one, six to a key: no substring is a prefix of another.
     """
-    symbol = (t.astype(np.uint64) << np.uint64(1)) | small
-    ends = np.append(lms[1:], len(t) - 1)
-    longest = int(min(depth, (ends - lms).max() + 1)) if len(lms) else 1
-    padded = np.concatenate([symbol, np.zeros(longest + 6, np.uint64)])
-    keys = []
+    if not len(lms):
+        return np.empty(0, np.int64)
+    length = np.minimum(np.append(lms[1:], len(t) - 1) - lms + 1, depth)
+    longest = int(length.max())
+    six = np.zeros(len(t) + longest + 6, np.uint64)
+    six[: len(t)] = (t.astype(np.uint64) << np.uint64(1)) | small
+    one = six.copy()
+    for _ in range(5):  # the six symbols from each place on
+        one = np.append(one[1:], np.uint64(0))
+        six <<= np.uint64(10)
+        six |= one
+    mask = np.array([~((1 << 10 * (6 - i)) - 1) & (1 << 60) - 1 for i in range(7)], np.uint64)
+    # A name is the place of the first of its like in order. Substrings with one key end in it all, or go on all.
+    names, mine = np.zeros(len(lms), np.int64), np.arange(len(lms))
     for at in range(0, longest, 6):
-        key = np.zeros(len(lms), np.uint64)
-        for i in range(at, at + 6):
-            key = (key << np.uint64(10)) | np.where(lms + i <= ends, padded[lms + i], np.uint64(0))
-        keys.append(key)
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(lms), np.int64)
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    names = np.empty(len(lms), np.int64)
-    names[order] = np.cumsum(new)
-    return names
+        if at:
+            mine = mine.take(np.flatnonzero(length.take(mine) > at))
+        key = six.take(lms.take(mine) + at) & mask.take(np.minimum(length.take(mine) - at, 6))
+        order = np.argsort(key, kind="stable") if not at else np.lexsort((key, names.take(mine)))
+        mine, key = mine.take(order), key.take(order)
+        old = names.take(mine)
+        fresh = np.r_[True, old[1:] != old[:-1]]
+        head = np.flatnonzero(fresh)
+        new = np.flatnonzero(fresh | np.r_[True, key[1:] != key[:-1]])
+        group = np.repeat(head, np.diff(np.append(head, len(mine))))
+        names[mine] = old + np.repeat(new, np.diff(np.append(new, len(mine)))) - group
+    used = np.zeros(len(lms), bool)
+    used[names] = True
+    return (np.cumsum(used) - 1).take(names)
 
 
 def sorted_lms(t: np.ndarray, small: np.ndarray, depth: int) -> np.ndarray:
@@ -123,22 +135,14 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common(data: bytes | np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix in order, whether it shares ``length`` bytes (8 or more) with the one before it.
-
-    Computed in the order of the text: phi names the suffix before each, and words of eight bytes are compared, only of
-    those that agreed so far.
-    """
-    n = len(sa)
+    """For each suffix in order, all or some of them, whether it shares ``length`` bytes (8 or more) with the one before it:
+    words of eight bytes are compared, only of those that agreed so far."""
     words = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(length + 16, np.uint8)]).astype(np.uint64)
     for half in (1, 2, 4):  # the eight bytes from each place on
         words = words[:-half] | (words[half:] << np.uint64(8 * half))
-    phi = np.zeros(n, np.int64)
-    phi[sa[1:]] = sa[:-1]
-    alike = np.ones(n, bool)
-    alike[sa[0]] = False
-    live = np.flatnonzero(alike)
-    for at in [*range(0, length - 8, 8), length - 8]:
-        a, b = words[live + at], words[phi[live] + at]
-        alike[live[a != b]] = False
-        live = live[a == b]
-    return alike[sa]
+    alike = np.zeros(len(sa), bool)
+    live = np.arange(1, len(sa))
+    for at in [length - 8, *range(0, length - 8, 8)]:  # the last first: neighbours rather differ there
+        live = live.take(np.flatnonzero(words.take(sa.take(live) + at) == words.take(sa.take(live - 1) + at)))
+    alike[live] = True
+    return alike

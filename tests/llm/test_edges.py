@@ -421,6 +421,19 @@ def test_suffix_dedup_on_all_paths(spark, monkeypatch, shared, many, sorted_):
     assert sum(r[3] for r in left) == 0 if shared == 256 else sum(r[3] for r in left) < sum(r[3] for r in got)
 
 
+def test_suffix_dedup_sends_runs_of_strings():
+    """A span's strings that an earlier document has come as few records, whatever their number, and as brute force finds them."""
+    rng = np.random.default_rng(6)
+    shared = bytes(rng.integers(97, 100, 400).astype(np.uint8))
+    texts = [(7, shared), (9, shared[100:390]), (7, bytes(rng.integers(97, 123, 90).astype(np.uint8))), (3, b"z" * 70 + shared[200:260]), (9, b"z" * 120)]
+    n = suffix_dedup.LENGTH
+    sent = np.array([(d, i, 10 * i, len(x) - n + 1, 0) for i, (d, x) in enumerate(texts)], suffix_dedup.SENT)
+    got = suffix_dedup.earlier(sent, b"".join(x for _, x in texts))
+    want = {(d, i, 10 * i + k) for i, (d, x) in enumerate(texts) for k in range(len(x) - n + 1) if any(x[k : k + n] in y for e, y in texts if e < d)}
+    assert {(int(r["doc"]), int(r["tag"]), int(r["start"]) + k) for r in got for k in range(int(r["size"]))} == want and got["size"].sum() == len(want)
+    assert 0 < len(got) <= 4
+
+
 def test_suffix_array_order():
     from chartula.llm.induced import END, SEPARATOR, suffix_array
 
