@@ -716,6 +716,22 @@ def test_chaining_finds_windows_that_begin_and_end_elsewhere(spark):
     assert {(r.doc_id, r.partner_id, r.class_id, r.doc_start, r.doc_end, r.partner_start, r.partner_end) for r in got} == {(101, 100, 100, 0, 45, 144, 189)}
 
 
+def test_chaining_of_two_classes_needs_one_link():
+    """Of 600 texts in two classes with one window, 90,000 pairs: the likeliest is sent first, none of a third class with other
+    words, and windows with the same words around stand for each other."""
+    rng = np.random.default_rng(12)
+    row, n = np.arange(700), 700
+    words = np.tile(np.arange(1, chaining.LEAST + 1, dtype=np.uint8), (n, 1))
+    words[600:] = 200
+    words[np.arange(300, 599), rng.integers(0, chaining.LEAST, 299)] = 99  # all but text 599 differ in a word
+    root = np.where(row < 300, 0, np.where(row < 600, 300, 600))
+    window = lambda around: chaining.packed([np.full(n, 5, np.uint64), root, around.astype(np.uint64), row.astype(np.uint64) + np.uint64(1), row, *np.zeros((2, n), np.uint32), np.ascontiguousarray(words).view(f"V{chaining.LEAST}").ravel()])
+    links = lambda data, every: [r for b in chaining.link_windows(every)(iter([chaining.batch_of([(0, 0, data)])])) for r in b.to_pylist()]
+    (best,) = links(window(row), False)
+    assert (best["low"], best["high"], best["alike"], best["row"], best["other"]) == (0, 300, chaining.LEAST, 599, 0)
+    assert len(links(window(row), True)) == 300 * 300 and len(links(window(root), True)) == 1
+
+
 def test_words_in_common_order():
     rng = np.random.default_rng(3)
     x, y = rng.integers(0, 9, (2, 60, chaining.LEAST)).astype(np.uint8)
