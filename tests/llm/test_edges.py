@@ -732,6 +732,57 @@ def test_chaining_of_two_classes_needs_one_link():
     assert len(links(window(row), True)) == 300 * 300 and len(links(window(root), True)) == 1
 
 
+def test_links_travel_as_a_row_for_two_texts():
+    """500 links of two texts each, in batches as they are found: three rows, which hold what a row for each link sends."""
+    rng = np.random.default_rng(6)
+    links = [(low, 7, 35, 9 + low, low, *rng.integers(0, 300, 4).tolist()) for low in range(3) for _ in range(500)]
+    rng.shuffle(links)
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["low", "high", "alike", *chaining.CHOSEN])
+    (got,) = chaining.by_texts(iter)([batch(links[i : i + 150]) for i in range(0, 1500, 150)])
+    assert sorted(zip(*(got.column(i).to_pylist() for i in range(4)))) == [(low, 7, 9 + low, low) for low in range(3)]
+
+    def sent(run, batches):
+        return [{k: [s.tolist() for _, s in v] for k, v in chaining.by_other(chaining.unpacked([x.column(2)[0].as_py() for x in run(iter(batches))], chaining.CHAIN)).items()}]
+
+    assert sent(chaining.send_spots(1), [got]) == sent(chaining.send_links(1), [batch(links)])
+
+
+def test_runs_that_lead_nowhere_are_not_aligned(monkeypatch):
+    """Runs of one word, shorter than a passage, in two texts with words of their own: of all spots at their edges none is aligned.
+    With words in common behind the runs, the passage is found from the same spots."""
+    calls, extend = [], chaining.extend
+    monkeypatch.setattr(chaining, "extend", lambda *a: calls.append(a[2:]) or extend(*a))
+    names = ["bucket", "kind", "data", "doc", "tag", "text"]
+    beside = lambda rows, text, doc: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(*r, None, None, None) for r in rows], (0, 1 << 30, None, doc, 0, text.encode())), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))], names)
+    for tail, want in (([], []), ([f"t{i}" for i in range(20)], [(2, 1)])):
+        x, y = (" ".join([*(f"{a}{i}" for i in range(9)), *["so"] * n, *tail, *(f"{b}{i}" for i in range(9))]) for a, b, n in (("a", "b", 36), ("c", "d", 38)))
+        spots = np.array([(9, 9 + k, 9 + 31 - k, 9 + 33) for k in range(20)] + [(9 + k, 9, 9 + 31, 9 + 33 - k) for k in range(1, 20)], "<u4").T
+        chains = chaining.dealt([np.full(39, 2), np.full(39, 1), *spots], np.zeros(39, np.int32))
+        words = [r for b in chaining.send_words(1)(iter([beside(chains, y, 1)])) for r in zip(*(c.to_pylist() for c in b.columns))]
+        got = [r for b in chaining.align_chains(iter([beside(words, x, 2)])) for r in b.to_pylist()]
+        assert sorted({(r["row"], r["other"]) for r in got}) == want and bool(calls) == bool(want)
+
+
+def test_spots_left_out_make_no_passage():
+    rng = np.random.default_rng(21)
+    found = left = 0
+    for _ in range(150):
+        word = lambda: [int(rng.integers(0, 4))] * int(rng.integers(1, 30)) if rng.random() < 0.5 else rng.integers(0, 50, int(rng.integers(1, 15))).tolist()
+        parts = [word() for _ in range(6)]
+        x, *ys = ([v for p in (parts[k] if rng.random() < 0.7 else word() for k in range(6)) for v in p] for _ in range(4))
+        others = []
+        for y in ys:
+            low = int(rng.integers(0, 9))
+            at = [(i, j + low) for i in range(len(x) - chaining.K + 1) for j in range(len(y) - chaining.K + 1) if x[i : i + chaining.K] == y[j : j + chaining.K]]
+            spots = np.array([(*at[a], *at[b]) for a, b in rng.integers(0, len(at), (40, 2))] if at else np.empty((0, 4)), "<u4")
+            others.append((y, low, spots))
+        for (y, low, spots), kept in zip(others, chaining.promising(x, others)):
+            whole = chaining.align(x, y, [tuple(s) for s in spots.tolist()], low)
+            assert chaining.align(x, y, [tuple(s) for s in kept.tolist()], low) == whole
+            found, left = found + len(whole), left + len(spots) - len(kept)
+    assert found > 50 and left > 1000
+
+
 def test_words_in_common_order():
     rng = np.random.default_rng(3)
     x, y = rng.integers(0, 9, (2, 60, chaining.LEAST)).astype(np.uint8)
