@@ -732,17 +732,17 @@ def test_chaining_of_two_classes_needs_one_link():
     assert len(links(window(row), True)) == 300 * 300 and len(links(window(root), True)) == 1
 
 
-def test_links_travel_as_a_row_for_two_texts():
-    """500 links of two texts each, in batches as they are found: three rows, which hold what a row for each link sends."""
+def test_links_travel_as_a_row_for_two_classes():
+    """500 links of two classes each, in batches as they are found: twelve rows, which hold what a row for each link sends."""
     rng = np.random.default_rng(6)
-    links = [(low, 7, 35, 9 + low, low, *rng.integers(0, 300, 4).tolist()) for low in range(3) for _ in range(500)]
+    links = [(low, 7, 35, 9 + low, int(rng.integers(0, 5)), *rng.integers(0, 300, 4).tolist()) for low in range(3) for _ in range(500)]
     rng.shuffle(links)
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["low", "high", "alike", *chaining.CHOSEN])
-    (got,) = chaining.by_texts(iter)([batch(links[i : i + 150]) for i in range(0, 1500, 150)])
-    assert sorted(zip(*(got.column(i).to_pylist() for i in range(4)))) == [(low, 7, 9 + low, low) for low in range(3)]
+    (got,) = chaining.by_classes(iter)([batch(links[i : i + 150]) for i in range(0, 1500, 150)])
+    assert sorted(zip(*(got.column(i).to_pylist() for i in range(2)))) == [(low, 7) for low in range(3) for _ in range(4)]
 
     def sent(run, batches):
-        return [{k: [s.tolist() for _, s in v] for k, v in chaining.by_other(chaining.unpacked([x.column(2)[0].as_py() for x in run(iter(batches))], chaining.CHAIN)).items()}]
+        return [{k: [(r, s.tolist()) for r, s in v] for k, v in chaining.by_other(chaining.unpacked([x.column(2)[0].as_py() for x in run(iter(batches))], chaining.CHAIN)).items()}]
 
     assert sent(chaining.send_spots(1), [got]) == sent(chaining.send_links(1), [batch(links)])
 
