@@ -12,8 +12,11 @@ NEVER = 2147483647
 
 
 def doc_totals(chunks: DataFrame) -> DataFrame:
+    """(doc_id, n_chunks, n_words, n_tokens, ratio): tokens a word to 6 decimals, NaN for a document without words."""
     c = F.col("chunk")
-    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(X.word_count(c)).alias("n_words"), F.sum(X.token_count(c)).alias("n_tokens")).withColumn("ratio", F.round(F.col("n_tokens") / F.col("n_words"), 6))
+    sums = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(X.word_count(c)).alias("n_words"), F.sum(X.token_count(c)).alias("n_tokens"))
+    # Rounded as a product of doubles, as SQL does: what lies just below an edge between two roundings stays below.
+    return sums.withColumn("ratio", F.when(F.col("n_words") > 0, F.round(F.try_divide("n_tokens", "n_words") * 1e6) / 1e6).when(F.col("n_words") == 0, F.lit(float("nan"))))
 
 
 def describe(df: DataFrame, value: Column, key: str) -> DataFrame:

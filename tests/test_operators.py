@@ -251,6 +251,13 @@ def test_heading_query_against_sql(spark, tmp_path):
     assert sorted(got) == sorted(duck.sql(entry.oracle_sql()["k1a_h1"]).fetchall()) == [("1_0", "a&&amp"), ("2_0", "x &lt; <b>y</b>")]
 
 
+def test_totals_without_words(spark):
+    rows = [("a", ""), ("b", " \n"), ("c", "one two-three"), *[("d", "x " * 639 + "x-y")]]
+    got = {r.doc_id: tuple(r)[1:] for r in analysis.doc_totals(spark.createDataFrame(rows, "doc_id string, chunk string")).collect()}
+    assert got["a"][:3] == got["b"][:3] == (1, 0, 0) and math.isnan(got["a"][3]) and math.isnan(got["b"][3])
+    assert got["c"] == (1, 2, 3, 1.5) and got["d"] == (1, 640, 641, 1.001562)
+
+
 def test_heading_escalation():
     page = "<body><h3>Chapter</h3><div><div><h3>1.</h3><div><p data-template=xText>text</p></div></div></div></body>"
     assert html.page_chunks(page) == ["Chapter 1. text"]
