@@ -800,6 +800,29 @@ def test_words_in_common_order():
     assert chaining.in_order(x, y).tolist() == [longest(a, b) for a, b in zip(x.tolist(), y.tolist())]
 
 
+def test_chaining_sends_anchors_together():
+    """Seeds of two to eight places, and of more, give one row for a bucket of anchors, and the anchors of all pairs."""
+    rng = np.random.default_rng(3)
+    shared = [[f"s{k}w{i}" for i in range(12)] for k in range(12)]
+    texts = {r: " ".join([f"t{r}"] + [w for k in rng.permutation(12) if r < k + 2 for w in shared[k]]).encode() for r in range(13)}
+    docs = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()), pa.binary())], ["row", "text"])
+    sent = [r for b in chaining.find_seeds(1)(iter([docs])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    got = [r for b in chaining.link_seeds(1)(iter([chaining.batch_of(sent)])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    (anchors,) = [d for _, kind, d in got if kind == chaining.ANCHORS]
+    row, other, pos, other_pos, _ = (c.tolist() for c in chaining.unpacked([anchors], chaining.ANCHOR))
+    words = {r: t.split() for r, t in texts.items()}
+    assert all(words[a][i : i + chaining.K] == words[b][j : j + chaining.K] for a, b, i, j in zip(row, other, pos, other_pos))
+    assert {(a, b) for a in range(8) for b in range(a)} <= set(zip(row, other)) and {(a, 0) for a in range(1, 13)} <= set(zip(row, other))
+
+
+def test_chaining_numbers_as_unique_does():
+    rng = np.random.default_rng(4)
+    for size, n in ((0, 1), (1, 1), (5, 900), (300, 40), (300, 2000), (300, 5000)):
+        x = rng.integers(0, n, size).astype(np.uint32)
+        for got, due in zip(chaining.numbered(x, n), np.unique(x, return_inverse=True)):
+            assert got.tolist() == due.tolist()
+
+
 def test_chaining_left_out_places_against_plain_loops():
     rng = np.random.default_rng(8)
     for _ in range(30):
