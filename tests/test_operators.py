@@ -95,6 +95,33 @@ def test_queries_without_hits(spark):
     assert [p.pred_chunk_id for p in rows["q0"].pred_chunks] == ["d_0"] and rows["q0"].gt_chunk_rank == 1
 
 
+def shuffled(node) -> list[int]:
+    """Rows that each exchange of an executed plan wrote."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(node.plan())
+    own = [node.metrics().apply("shuffleRecordsWritten").value()] if kind == "ShuffleExchangeExec" else []
+    return own + [n for i in range(node.children().size()) for n in shuffled(node.children().apply(i))]
+
+
+def test_result_rows_shuffle_few_texts(spark):
+    c = spark.range(3000).select(F.concat(F.lit("d_"), F.col("id")).alias("chunk_id"), F.concat(F.lit("text "), F.col("id")).alias("chunk"))
+    q = spark.createDataFrame([("q0", "one", "d_7"), ("q1", "two", "d_9999")], "query_id string, query string, gt_chunk_id string")
+    run = spark.createDataFrame([("q0", "d_2999", 2.0, 1), ("q0", "d_7", 1.0, 2), ("q1", "d_12", 1.0, 1)], "query_id string, chunk_id string, score double, rank int")
+    with_rows, least = metrics.result_rows(q, run, c), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to send
+    try:
+        rows = {r.query_id: r for r in with_rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert [p.pred_chunk_text for p in rows["q0"].pred_chunks] == ["text 2999", "text 7"] and rows["q0"].gt_chunk_text == "text 7"
+    assert [p.pred_chunk_text for p in rows["q1"].pred_chunks] == ["text 12"] and rows["q1"].gt_chunk_text == ""
+    written = shuffled(with_rows._jdf.queryExecution().executedPlan())
+    assert written and max(written) < 100
+
+
 def test_bm25_in_blocks_and_over_postings(spark, monkeypatch):
     words = ["a", "b", "c", "dd", "e e", "b a"]
     c = spark.createDataFrame([(f"d_{i}", " ".join(words[(i * j + j) % 6] for j in range(1, 2 + i % 5))) for i in range(40)], "chunk_id string, chunk string")
