@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +136,13 @@ def deal_great(great: list[tuple[int, int]], total: float, shards: int) -> tuple
     return out, [max(0.0, level - x) for x in load]
 
 
+def local(spark: SparkSession, rows: list[tuple[int, ...]], schema: str) -> DataFrame:
+    """Few rows of whole numbers, as Arrow: of a list, Spark makes an RDD that Python workers on the executors pass on."""
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    fields = [x.split() for x in schema.split(", ")]
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)}), schema)
+
+
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of documents (doc_id, text, lang, source); law: near-equal bytes.
 
@@ -155,8 +163,8 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     pieces = {}
     for h, piece, _ in placed:
         pieces[h] = max(pieces.get(h, 0), piece + 1)
-    dealt = F.broadcast(spark.createDataFrame([(h, piece, pieces[h], s) for h, piece, s in placed], "text_hash long, piece int, pieces int, great_shard int"))
-    whole_ = F.broadcast(spark.createDataFrame([*pieces.items()], "text_hash long, pieces int"))
+    dealt = F.broadcast(local(spark, [(h, piece, pieces[h], s) for h, piece, s in placed], "text_hash long, piece int, pieces int, great_shard int"))
+    whole_ = F.broadcast(local(spark, [*pieces.items()], "text_hash long, pieces int"))
     small = units.join(whole_.select("text_hash"), "text_hash", "left_anti")
     tree = grow(small, targets)
     x = [F.col(f"x{i}") for i in range(3)]

@@ -165,6 +165,15 @@ def test_sharding(docs, none):
     assert sharding.shard(none, 4).count() == 0
 
 
+def test_sharding_runs_no_python_on_executors(spark, monkeypatch):
+    """Rows of the driver's go out as Arrow; parallelize() has Python workers pass them on."""
+    docs = frame(spark, [(i, f"text {i % 7}" * 9, "en", "a") for i in range(60)]).localCheckpoint()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert sharding.shard(docs, 4).count() == 60
+    assert sharding.local(spark, [], "text_hash long, pieces int").collect() == []
+    assert [tuple(r) for r in sharding.local(spark, [(-5, 2), (1 << 62, 1)], "text_hash long, pieces int").collect()] == [(-5, 2), (1 << 62, 1)]
+
+
 def test_sharding_balances_a_hot_source(spark):
     rows = [(i, f"{'x' * (i * 37 % 400)} {i if i % 3 else 'copy'}", "en", "hot" if i % 3 else f"s{i % 7}") for i in range(4000)]
     got = sharding.shard(frame(spark, rows), 10).groupBy("shard").sum("size").collect()
