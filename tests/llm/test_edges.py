@@ -574,6 +574,29 @@ def test_context_mixing_selects_without_branches():
     assert np.allclose(stretched, np.log(right / (1 - right))) and np.allclose(paid[1::2], -np.log2(right)) and np.allclose(paid[::2], -np.log2(1 - right))
 
 
+def test_context_mixing_follows_live_records_alone():
+    """Groups and sums of the live records, and of no others, are those of plain loops, as bits part them and others go."""
+    rng = np.random.default_rng(4)
+    context = np.sort(rng.integers(0, 9, 400))
+    word, train = rng.integers(0, 16, 400), rng.integers(0, 2, 400).astype(np.int32)
+    order = np.lexsort((word, context))
+    word = word[order]
+    new = np.r_[True, context[1:] != context[:-1]]
+    live = np.flatnonzero(rng.random(400) < 0.4)
+    side = context_mixing.Side(None, new, train)
+    side.keep(live)
+    for d in range(4):
+        zero = word >> 3 - d & 1 == 0
+        m, left, right = side.split(zero)
+        assert len(side.a) == len(live)
+        for i, x, y in zip(live, left, right):
+            mine = (context == context[i]) & (word >> 4 - d == word[i] >> 4 - d)
+            assert (x, y) == (train[mine & zero].sum(), train[mine & ~zero].sum())
+        stay = np.flatnonzero(rng.random(len(live)) < 0.8)
+        side.move(~zero[live], m, stay)
+        live = live[stay]
+
+
 def test_context_mixing_learns_and_adds_up(spark):
     rng = np.random.default_rng(4)
     syllables = ["ba", "ko", "ri", "tun", "el", "sha", "vo"]
