@@ -847,6 +847,23 @@ def test_chaining_sends_anchors_together():
     assert {(a, b) for a in range(8) for b in range(a)} <= set(zip(row, other)) and {(a, 0) for a in range(1, 13)} <= set(zip(row, other))
 
 
+def test_chaining_workers_give_back_memory():
+    """Small arrays below one that stays would be kept by the allocator until the process ends."""
+    pages = lambda: int(open("/proc/self/statm").read().split()[1])
+    last = []
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            held += [np.ones(1000) for _ in range(25_000)]  # 200 MB
+            last.append(np.ones(1000))
+            yield batch
+
+    before = pages()
+    assert list(chaining.trimmed(run)(iter([1, 2]))) == [1, 2]
+    assert (pages() - before) * 4096 < 100 << 20
+
+
 def test_chaining_numbers_as_unique_does():
     rng = np.random.default_rng(4)
     for size, n in ((0, 1), (1, 1), (5, 900), (300, 40), (300, 2000), (300, 5000)):
